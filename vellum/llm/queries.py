@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import decontamination, packing
 
 
 def queries() -> dict:
     return {
+        "op1_pack": packing.op1_pack,
         "op2_decontaminate": decontamination.op2_decontaminate,
     }
 
