@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing
+from . import decontamination, near_dedup, packing
 
 
 def queries() -> dict:
     return {
         "op1_pack": packing.op1_pack,
         "op2_decontaminate": decontamination.op2_decontaminate,
+        "op5_near_duplicates": near_dedup.op5_near_duplicates,
     }
 
 
