@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, near_dedup, packing, pii
+from . import decontamination, language_id, media, near_dedup, packing, pii
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_near_duplicates": near_dedup.op5_near_duplicates,
         "op7_pii": pii.op7_pii,
         "op9_language_id": language_id.op9_language_id,
+        "op10_media": media.op10_media,
     }
 
 
