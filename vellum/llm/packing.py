@@ -32,7 +32,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, store, table
+from . import words as W
+from .common import slices, small_batches, store, table, utf8_view
 
 CAPACITY = 2048
 SHARD = 4096
@@ -42,37 +43,109 @@ GENERATIONS = 6
 POPULATION = 4
 #: Sequences filled less than this are taken apart and meet those of other shards.
 WELL_FILLED = 0.97
-#: Words whose ids a worker remembers; the memory is emptied at this size.
-WORDS_KEPT = 400_000
+#: Words whose ids a worker remembers; at this number it begins anew.
+WORDS_KEPT = 2_000_000
 END = b"\0\0\0\0"
 PIECE = "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
-_tokenizer: dict = {}
+_TAIL = np.zeros(256, bool)
+_TAIL[list(b".,!?;:")] = True
+_ALNUM = np.zeros(256, bool)
+_ALNUM[48:58] = _ALNUM[97:123] = True
+_words: dict = {}
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Little-endian unsigned 32-bit ids of each text, without special tokens.
+def _letters_only(word: str) -> bool:
+    """Letters that stay letters in lower case."""
+    return word.isalpha() and word.lower().isalpha()
 
-    The tokenizer drops white space and never joins across it, so words split
-    at ASCII white space are tokenised once and remembered.
+
+class Words:
+    """Ids of words by the tokenizer, without special tokens, each word once.
+
+    The tokenizer lowers case, drops white space and never joins across it, so
+    texts are cut at ASCII white space; it also ends a token where one of
+    ``.,!?;:`` follows an ASCII letter or digit, so they are cut there too. Words
+    of letters alone end in one token that is marked as an end, so that many can
+    be tokenised as one text. A table of word hashes leads to the ids.
     """
-    if path not in _tokenizer:
+
+    def __init__(self, path: str, most: int = WORDS_KEPT):
         from tokenizers import Tokenizer
 
-        _tokenizer[path] = (Tokenizer.from_file(path), {})
-    tokenizer, known = _tokenizer[path]
-    if len(known) > WORDS_KEPT:
-        known.clear()
-    out = []
-    split = [t.encode().split() for t in texts]
-    new = list(set().union(*split).difference(known)) if split else []
-    for a in range(0, len(new), 50_000):
-        some = new[a : a + 50_000]
-        for word, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-            known[word] = np.array(e.ids, "<u4").tobytes()
-    for w in split:
-        out.append(b"".join(map(known.__getitem__, w)))
-    return out
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self):
+        self.table, self.ids, self.filled = W.Numbering(), np.zeros(1 << 16, np.uint32), 0
+        self.at = np.zeros((1 << 14, 2), np.int64)
+
+    def _letters(self, words: list[bytes]) -> list[np.ndarray]:
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words) or len(ids) != ends[-1]:
+            return self._any(words)
+        return np.split(ids, ends[:-1])
+
+    def _any(self, words: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+
+    def _learn(self, hashed: np.ndarray, words: list[bytes]) -> None:
+        plain = np.array([w.isalpha() or _letters_only(w.decode()) for w in words], bool)
+        found: list = [None] * len(words)
+        letters, others = np.flatnonzero(plain).tolist(), np.flatnonzero(~plain).tolist()
+        for a in range(0, len(letters), 500):
+            some = letters[a : a + 500]
+            for k, ids in zip(some, self._letters([words[k] for k in some]), strict=True):
+                found[k] = ids
+        for k, ids in zip(others, self._any([words[k] for k in others]), strict=True):
+            found[k] = ids
+        sizes = np.array([len(x) for x in found], np.int64)
+        first, n = self.table.size, self.filled + int(sizes.sum())
+        while n > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while first + len(words) > len(self.at):
+            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
+        self.ids[self.filled : n] = np.concatenate(found)
+        self.at[first : first + len(words), 0] = self.filled + np.cumsum(sizes) - sizes
+        self.at[first : first + len(words), 1] = sizes
+        self.filled = n
+        self.table.add(hashed, np.arange(first, first + len(words), dtype=np.int32))
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text."""
+        # special tokens' strings are found before case is lowered
+        low = data if b"<|" in data.tobytes() else W.LOWER[data]
+        cut = np.zeros(len(low), bool)
+        cut[1:] = _TAIL[low[1:]] & _ALNUM[low[:-1]]
+        starts, ends, rows = W.split(low, offsets, W.NOT_SPACE, cut)
+        hashed = W.hashes(low, starts, ends)
+        if self.table.size > self.most:
+            self._forget()
+        number = self.table.find(hashed)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            value, first = np.unique(hashed[new], return_index=True)
+            raw = low.tobytes()
+            self._learn(value, [raw[starts[k] : ends[k]] for k in new[first].tolist()])
+            number[new] = self.table.find(hashed[new])
+        at, size = self.at[number, 0], self.at[number, 1]
+        before = np.cumsum(size) - size
+        ids = self.ids[np.repeat(at - before, size) + np.arange(int(size.sum()))]
+        bounds = np.append(before, len(ids))[np.searchsorted(rows, np.arange(len(offsets)))]
+        return np.split(ids, bounds[1:-1]) if len(offsets) > 1 else []
+
+
+def token_ids(column: pa.Array, path: str):
+    """The ids of each text of a column, in slices of bounded size."""
+    if path not in _words:
+        _words[path] = Words(path)
+    data, offsets = utf8_view(column)
+    for a, b in slices(offsets):
+        yield from _words[path](data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
@@ -85,9 +158,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         for batch in batches:
             rows = []
-            ids = token_bytes([t or "" for t in batch.column(1).to_pylist()], path)
-            for doc, raw in zip(batch.column(0).to_pylist(), ids, strict=True):
-                raw += END
+            for doc, ids in zip(batch.column(0).to_pylist(), token_ids(batch.column(1), path), strict=True):
+                raw = ids.astype("<u4").tobytes() + END
                 for k, a in enumerate(range(0, len(raw), 4 * capacity)):
                     part = raw[a : a + 4 * capacity]
                     rows.append((doc, k, a // 4, len(part) // 4, zlib.crc32(part)))

@@ -39,8 +39,10 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def split(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
-    """Starts, ends and rows of the words of all texts; none crosses a text's end."""
+def split(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray, cut: np.ndarray | None = None):
+    """Starts, ends and rows of the words of all texts; none crosses a text's end.
+
+    ``cut`` marks the bytes at which a new word begins even inside of one."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, none
@@ -49,10 +51,14 @@ def split(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray):
     before[0], before[1:] = False, inside[:-1]
     edges = offsets[:-1][offsets[:-1] < len(data)]
     before[edges] = False
+    if cut is not None:
+        before &= ~cut
     starts = np.flatnonzero(inside & ~before)
     after = np.empty(len(data), bool)
     after[-1], after[:-1] = False, inside[1:]
     after[edges[edges > 0] - 1] = False
+    if cut is not None:
+        after[:-1] &= ~cut[1:]
     ends = np.flatnonzero(inside & ~after) + 1
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
@@ -81,3 +87,46 @@ def windows(word_hashes: np.ndarray, n: int) -> np.ndarray:
             out *= _BASE
             out += word_hashes[j : j + k]
         return mix(out)
+
+
+class Numbering:
+    """Open-addressing table from 64-bit hashes to numbers, probed in numpy."""
+
+    def __init__(self, bits: int = 16):
+        self.keys, self.numbers, self.size = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32), 0
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        mask = np.uint64(len(self.keys) - 1)
+        h = np.where(h == 0, np.uint64(1), h)
+        out, slot = np.full(len(h), -1, np.int32), (h & mask).astype(np.int64)
+        got = self.keys[slot]
+        hit = got == h
+        out[hit] = self.numbers[slot[hit]]
+        at = np.flatnonzero(~hit & (got != 0))
+        while len(at):
+            slot[at] = (slot[at] + 1) & int(mask)
+            got = self.keys[slot[at]]
+            hit = got == h[at]
+            out[at[hit]] = self.numbers[slot[at[hit]]]
+            at = at[~hit & (got != 0)]
+        return out
+
+    def add(self, h: np.ndarray, numbers: np.ndarray) -> None:
+        """New distinct hashes and their numbers."""
+        if 2 * (self.size + len(h)) > len(self.keys):
+            old = self.keys != 0
+            keys, values = self.keys[old], self.numbers[old]
+            bits = int(4 * (self.size + len(h))).bit_length()
+            self.__init__(bits)
+            self.add(keys, values)
+        self.size += len(h)
+        mask = len(self.keys) - 1
+        h = np.where(h == 0, np.uint64(1), h)
+        slot = (h & np.uint64(mask)).astype(np.int64)
+        while len(h):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[free]
+            mine = free & (self.keys[slot] == h)
+            self.numbers[slot[mine]] = numbers[mine]
+            h, numbers, slot = h[~mine], numbers[~mine], (slot[~mine] + 1) & mask
