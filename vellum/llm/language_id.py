@@ -24,8 +24,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import slices, small_batches, table, utf8_view
+from .common import free_name, slices, small_batches, table, utf8_view
 
 DIM = 4096
 SAMPLE_ROWS = 2000
@@ -160,12 +161,13 @@ def learn(docs: DataFrame, may_learn) -> dict:
     return train(sorted((r[0], bytes(r[1])) for r in sample.mapInArrow(run, "lang string, x binary").collect()))
 
 
-def identify(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs``, lang_pred and score."""
+def identify(docs: DataFrame, model: dict, keep: list[str], names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Columns ``keep`` of ``docs``, and the predicted language and score under ``names``."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    taken = docs.select(*keep, "text")
+    taken = docs.select(*keep, F.col("text").alias(free_name(keep, "read")))
     at = len(keep)
+    types = [T.StructField(c, docs.schema[c].dataType) for c in keep] + [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())]
 
     def run(batches):
         for batch in batches:
@@ -176,9 +178,9 @@ def identify(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
                 for a, b, x in features(text):
                     langs[a:b], scores[a:b] = predict(x, shared.value)
             langs = [g if k else "und" for g, k in zip(langs, known, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(langs, pa.string()), pa.array(np.where(known, np.clip(scores, 0, 1), 0.0))], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], pa.array(langs, pa.string()), pa.array(np.where(known, np.clip(scores, 0, 1), 0.0))], [*keep, *names])
 
-    return taken.mapInArrow(run, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"]))
+    return taken.mapInArrow(run, T.StructType(types))
 
 
 def held_out(modulus: int, fold: int):
@@ -196,5 +198,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without those whose language is not found (und or a score under REJECT)."""
     small_batches(docs.sparkSession)
     model = learn(docs.withColumn("held_out", held_out(4, 2)), ~F.col("held_out") & F.col("doc_id").isNotNull())
-    found = identify(docs, model, docs.columns)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= REJECT)).select(*docs.columns)
+    lang, score = free_name(docs.columns, "lang_pred"), free_name(docs.columns, "lang_score")
+    found = identify(docs, model, docs.columns, (lang, score))
+    return found.filter((F.col(lang) != "und") & (F.col(score) >= REJECT)).select(*docs.columns)
