@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, media, near_dedup, packing, pii
+from . import decontamination, language_id, lm_scoring, media, near_dedup, packing, pii
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_pack": packing.op1_pack,
         "op2_decontaminate": decontamination.op2_decontaminate,
         "op5_near_duplicates": near_dedup.op5_near_duplicates,
+        "op6_lm_scores": lm_scoring.op6_lm_scores,
         "op7_pii": pii.op7_pii,
         "op9_language_id": language_id.op9_language_id,
         "op10_media": media.op10_media,
