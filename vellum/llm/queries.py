@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, lm_scoring, media, near_dedup, packing, pii
+from . import decontamination, language_id, lm_scoring, media, near_dedup, packing, pii, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_near_duplicates": near_dedup.op5_near_duplicates,
         "op6_lm_scores": lm_scoring.op6_lm_scores,
         "op7_pii": pii.op7_pii,
+        "op8_warc": warc.op8_warc,
         "op9_language_id": language_id.op9_language_id,
         "op10_media": media.op10_media,
     }
@@ -20,4 +21,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontamination.SQL,
+        "op8_warc": warc.SQL,
     }
