@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, lm_scoring, media, near_dedup, packing, pii, warc
+from . import decontamination, language_id, lm_scoring, media, near_dedup, packing, pii, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_pack": packing.op1_pack,
         "op2_decontaminate": decontamination.op2_decontaminate,
+        "op3_url_filter": url_filter.op3_url_filter,
         "op5_near_duplicates": near_dedup.op5_near_duplicates,
         "op6_lm_scores": lm_scoring.op6_lm_scores,
         "op7_pii": pii.op7_pii,
@@ -21,5 +22,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontaminate": decontamination.SQL,
+        "op3_url_filter": url_filter.SQL,
         "op8_warc": warc.SQL,
     }
