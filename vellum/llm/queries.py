@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language_id, lm_scoring, media, near_dedup, packing, pii, url_filter, warc
+from . import decontamination, language_id, license_scan, lm_scoring, media, near_dedup, packing, pii, url_filter, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_pack": packing.op1_pack,
         "op2_decontaminate": decontamination.op2_decontaminate,
         "op3_url_filter": url_filter.op3_url_filter,
+        "op4_license_scan": license_scan.op4_license_scan,
         "op5_near_duplicates": near_dedup.op5_near_duplicates,
         "op6_lm_scores": lm_scoring.op6_lm_scores,
         "op7_pii": pii.op7_pii,
