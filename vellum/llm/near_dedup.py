@@ -14,10 +14,10 @@ next points of all its shells are later than the latest of its components.
 Components of two texts agree with probability equal to the similarity.
 
 Candidates share a band. Copies (equal word sequences) are one node. Every
-bucket first tests one leader against its members; later rounds test another
-leader against members of other classes, and whatever then still lies in
-different classes of one bucket is tested pair by pair, so no link inside a
-bucket is lost while large groups of copies never become all pairs.
+bucket first tests one leader against its members, then another one against the
+members of other classes. What then still lies in different classes of one
+bucket is compared in tiles of bounded size that let out links only. So no link
+inside a bucket is lost, and large groups of copies never become all pairs.
 
 Defined cases: null texts and texts without words have a class of their own;
 class_id is the least doc_id of the class (null where all are null); rows with
@@ -27,21 +27,21 @@ columns don't matter.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import discard, slices, small_batches, store, table, utf8_view
+from .common import discard, free_name, slices, small_batches, store, table, utf8_view
 
 SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
-LEADER_ROUNDS = 2
+#: Members of a bucket that a task compares with as many others.
+TILE = 256
 _LOW52 = np.uint64((1 << 52) - 1)
 #: Rows of one kernel call; the row's number takes the 12 bits over a window's 52.
 MOST_ROWS = 4096
@@ -175,21 +175,70 @@ def components(links: DataFrame) -> DataFrame:
         labels.stored_at = moved.stored_at
 
 
+def _tiles(left: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) between members of different classes of a bucket, found in tiles.
+
+    The members outside of a bucket's largest class meet all its members, TILE by
+    TILE; only links leave a tile. A pair is compared in the first bucket it shares.
+    """
+    per = left.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+    main = per.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("size"))
+    rows = left.select("bucket", "band", "node", "label").join(main, "bucket").withColumn("odd", F.col("label") != F.col("main.label"))
+    across = F.ceil(F.col("size") / TILE).cast("int")
+    down = F.ceil((F.col("size") - F.col("main.n")) / TILE).cast("int")
+    place = F.xxhash64("node", F.lit("tile"))
+    member = rows.select("bucket", "band", "node", "label", F.lit(False).alias("odd"), F.pmod(place, across).cast("int").alias("x"), F.explode(F.sequence(F.lit(0), down - 1)).alias("y"))
+    odd = rows.filter("odd").select("bucket", "band", "node", "label", "odd", F.explode(F.sequence(F.lit(0), across - 1)).alias("x"), F.pmod(place, down).cast("int").alias("y"))
+    full = member.unionByName(odd).join(texts, "node").join(nodes.select("node", "bands"), "node")
+    return full.groupBy("bucket", "x", "y").applyInPandas(_tile, "a binary, b binary").distinct()
+
+
+def _tile(pdf: pd.DataFrame) -> pd.DataFrame:
+    band, odd = int(pdf["band"].iloc[0]), pdf["odd"].to_numpy(bool)
+    members, odds = pdf[~odd].reset_index(drop=True), pdf[odd].reset_index(drop=True)
+    out: list[tuple[bytes, bytes]] = []
+    if len(members) and len(odds):
+        bands = np.array(members["bands"].tolist(), np.int64)
+        rows, hashed, weight = [], [], []
+        data, offsets = utf8_view(pa.array(members["text"], pa.string()))
+        for a, b in slices(offsets):
+            r, h, w, _, _ = bags(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            rows.append(r + a)
+            hashed.append(h)
+            weight.append(w)
+        rows, hashed, weight = map(np.concatenate, (rows, hashed, weight))
+        total = np.bincount(rows, weight, len(members))
+        labels, nodes = members["label"].to_numpy(), members["node"].to_numpy()
+        for o in odds.itertuples():
+            differ = np.array([x != o.label for x in labels]) & ~(bands[:, :band] == np.array(o.bands[:band])).any(axis=1)
+            if not differ.any():
+                continue
+            data, offsets = utf8_view(pa.array([o.text], pa.string()))
+            _, h, w, _, _ = bags(data, offsets)
+            at = np.minimum(np.searchsorted(h, hashed), len(h) - 1)
+            both = np.bincount(rows, np.where(h[at] == hashed, np.minimum(w[at], weight), 0), len(members))
+            for k in np.flatnonzero(differ & (both >= SIMILAR * (total + w.sum() - both))).tolist():
+                out.append((min(o.node, nodes[k]), max(o.node, nodes[k])))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+
+
 def classes(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, class_id (least doc_id of its class), n_links
-    (verified links of its text to different texts)."""
+    """One row per document: doc_id, class_id (least doc_id of its class)."""
     small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.md5("text").alias("key"), "text")
     sketch = store(keyed.mapInArrow(_sketch, "doc_id long, key string, node binary, bands array<long>"), "sketch")
     nodes = store(sketch.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.any_value("bands").alias("bands")), "nodes")
 
-    each = nodes.select("node", F.posexplode("bands"))
-    banded = each.select("node", F.xxhash64("pos", "col").alias("bucket"))
-    order = F.struct(F.xxhash64("node", "bucket").alias("h"), "node")
-    leaders = banded.groupBy("bucket").agg(F.min(order)["node"].alias("leader"), F.count("*").alias("size")).filter("size > 1")
-    buckets = store(banded.join(leaders, "bucket"), "buckets")
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", "band", F.xxhash64("band", "hash").alias("bucket"))
+    sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    shared = store(banded.join(sizes, "bucket"), "shared")
+    # texts near the middle of a group share bands with most others: the best leaders
+    weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = shared.join(weights, "node")
+    leaders = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("leader"))
+    buckets = store(weighed.join(leaders, "bucket"), "buckets")
 
-    seen = buckets.select("node").distinct().join(nodes.select("node", "rep.doc_id", "rep.key"), "node")
+    seen = weights.select("node").join(nodes.select("node", "rep.doc_id", "rep.key"), "node")
     t = keyed.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "text")
     texts = store(seen.join(t, (F.col("key") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("node", "text").dropDuplicates(["node"]), "texts")
 
@@ -200,43 +249,48 @@ def classes(docs: DataFrame) -> DataFrame:
     def pair(x, y):
         return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
-    done = [tested(buckets.filter("node <> leader").select(*pair("node", "leader")).distinct())]
-    for turn in range(LEADER_ROUNDS + 1):
-        links = reduce(DataFrame.unionByName, done).filter(F.col("similarity") >= SIMILAR)
+    def mixed(labels: DataFrame) -> DataFrame:
+        """Buckets of three or more whose members have several classes."""
+        known = buckets.filter("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        several = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
+        return store(known.join(several, "bucket"), "mixed")
+
+    near = F.col("similarity") >= SIMILAR
+    star = tested(buckets.filter("node <> leader").select(*pair("node", "leader")).distinct())
+    links = star.filter(near).select("a", "b")
+    labels = components(links)
+    left = mixed(labels)
+    if left.limit(1).count():
+        # a second leader: the weightiest member outside the first one's class
+        first = left.filter("node = leader").select("bucket", F.col("label").alias("own"))
+        outside = left.join(first, "bucket").filter("label <> own")
+        second = outside.groupBy("bucket").agg(F.max(F.struct("weight", "node", "label")).alias("lead"))
+        pairs = left.join(second, "bucket").filter("label <> lead.label").select(*pair("node", "lead.node")).distinct()
+        again = tested(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"))
+        links = links.unionByName(again.filter(near).select("a", "b"))
         labels = components(links)
-        labelled = buckets.filter("size > 2").join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(F.struct(F.xxhash64("node", "bucket", F.lit(turn)).alias("h"), "node", "label")).alias("lead")).filter("x <> y")
-        if turn < LEADER_ROUNDS:
-            new = labelled.join(mixed, "bucket").filter("label <> lead.label").select(*pair("node", "lead.node"))
-        else:
-            open_ = store(labelled.join(mixed.select("bucket"), "bucket"), "open")
-            other = open_.select("bucket", F.col("node").alias("node2"), F.col("label").alias("label2"))
-            new = open_.join(other, "bucket").filter("label <> label2 and node < node2").select(*pair("node", "node2"))
-        new = new.distinct().join(reduce(DataFrame.unionByName, done).select("a", "b"), ["a", "b"], "left_anti")
-        new = store(new, "pairs")
-        if not new.limit(1).count():
-            break
-        done.append(tested(new))
-        discard(labels)
-    else:
-        links = reduce(DataFrame.unionByName, done).filter(F.col("similarity") >= SIMILAR)
+        left = mixed(labels)
+    if left.limit(1).count():
+        found = store(_tiles(left, texts, nodes), "rest")
+        links = links.unionByName(found).distinct()
         labels = components(links)
 
-    degree = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
-    member = nodes.select("node", "rep.doc_id").join(labels, "node", "left").join(degree, "node", "left")
-    member = member.select("node", F.coalesce("label", "node").alias("label"), "doc_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    member = nodes.select("node", "rep.doc_id").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id")
     least = member.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    known = store(member.join(least, "label").select("node", "class_id", "n_links"), "classes")
-    for df in (buckets, texts, nodes):
+    known = store(member.join(least, "label").select("node", "class_id"), "classes")
+    for df in (shared, buckets, texts, nodes):
         discard(df)
     out = sketch.select("doc_id", "node").join(known, "node", "left")
-    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select("doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: the one with the least doc_id."""
-    kept = classes(docs.select(F.col("doc_id").cast("long"), "text")).filter("class_id = doc_id or class_id is null and doc_id is null").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
+    """``docs`` with one document of each class: the one with the least doc_id.
+
+    Rows that repeat a kept doc_id stay together."""
+    kept_id = free_name(docs.columns, "kept_id")
+    kept = classes(docs.select(F.col("doc_id").cast("long"), "text")).filter(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(kept_id)).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)), "left_semi")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
