@@ -25,6 +25,7 @@ other columns don't matter.
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 import pandas as pd
@@ -37,7 +38,7 @@ from . import words as W
 from .common import BATCH_ROWS, discard, slices, small_batches, store, table, utf8_view
 from .language_id import held_out
 
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 #: Tokens of the input per owner partition.
 OWNER_TOKENS = 2_000_000
 BUCKETS, GRID, ROUNDS = 34, 96, 60
@@ -52,6 +53,17 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(raw)), kind)
 
 
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted hashes as steps, byte by byte of all of them, whose upper bytes shrink to little."""
+    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+    return _pack(steps.view(np.uint8).reshape(-1, 8).T)
+
+
+def _unpack_sorted(raw: bytes) -> np.ndarray:
+    planes = _unpack(raw, np.uint8).reshape(8, -1)
+    return np.add.accumulate(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
 CHUNK = "doc_ids array<long>, held binary, sizes binary, vocabulary binary, codes binary, tokens long"
 
 
@@ -62,7 +74,7 @@ def _chunks(batches):
         ids, held = sum((x[0] for x in some), []), np.concatenate([x[1] for x in some])
         sizes, tokens = np.concatenate([x[2] for x in some]).astype(np.uint32), np.concatenate([x[3] for x in some])
         vocabulary, codes = np.unique(tokens, return_inverse=True)
-        row = [[ids], [_pack(held)], [_pack(sizes)], [vocabulary.tobytes()], [_pack(codes.astype(np.uint32))], [len(tokens)]]
+        row = [[ids], [_pack(held)], [_pack(sizes)], [_pack_sorted(vocabulary)], [_pack(codes.astype(np.uint32))], [len(tokens)]]
         types = [pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], ["doc_ids", "held", "sizes", "vocabulary", "codes", "tokens"])
 
@@ -96,7 +108,7 @@ def _bigrams(vocabulary: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> np
 
 def _opened(row: dict):
     sizes, held = _unpack(row["sizes"], np.uint32).astype(np.int64), _unpack(row["held"], bool)
-    return np.frombuffer(row["vocabulary"], np.uint64), _unpack(row["codes"], np.uint32).astype(np.int64), sizes, held
+    return _unpack_sorted(row["vocabulary"]), _unpack(row["codes"], np.uint32).astype(np.int64), sizes, held
 
 
 def _requests(owners: int):
@@ -110,7 +122,7 @@ def _requests(owners: int):
                     counts = np.bincount(at[learned], minlength=len(keys)).astype(np.uint32)
                     cut = np.searchsorted(keys, np.array([(k << 64) // owners for k in range(1, owners)], np.uint64))
                     parts = list(zip(np.split(keys, cut), np.split(counts, cut), strict=True))
-                    made = [pa.array([k for k in range(owners)], pa.int32()), pa.array([kind] * owners, pa.int32()), pa.array([row["chunk"]] * owners, pa.int64()), pa.array([k.tobytes() for k, _ in parts], pa.binary()), pa.array([_pack(c) for _, c in parts], pa.binary())]
+                    made = [pa.array([k for k in range(owners)], pa.int32()), pa.array([kind] * owners, pa.int32()), pa.array([row["chunk"]] * owners, pa.int64()), pa.array([_pack_sorted(k) for k, _ in parts], pa.binary()), pa.array([_pack(c) for _, c in parts], pa.binary())]
                     yield pa.RecordBatch.from_arrays(made, ["owner", "kind", "chunk", "grams", "counts"])
 
     return run
@@ -123,7 +135,7 @@ def _own(pdf: pd.DataFrame) -> pd.DataFrame:
     """Totals of the n-grams of one owner, for each chunk in the order it asked."""
     out = []
     for kind, rows in pdf.groupby("kind"):
-        keys = [np.frombuffer(x, np.uint64) for x in rows["grams"]]
+        keys = [_unpack_sorted(x) for x in rows["grams"]]
         counts = np.concatenate([_unpack(x, np.uint32) for x in rows["counts"]])
         each, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(inverse, counts, len(each)).astype(np.uint64)
@@ -244,8 +256,10 @@ def _scored(total: int, distinct: int, ends: int, weights: np.ndarray):
 
 def _settle(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps now, not at some later GC."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # the first round only lets go of what Python held
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
 def score(docs: DataFrame) -> DataFrame:
