@@ -1,4 +1,4 @@
 """Queries over the tables, by area; importing this package registers all of them."""
 
-from . import language  # noqa: F401
+from . import joins, language, metrics, profiles, routing  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
