@@ -38,7 +38,7 @@ from . import words as W
 from .common import BATCH_ROWS, discard, slices, small_batches, store, table, utf8_view
 from .language_id import held_out
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Tokens of the input per owner partition.
 OWNER_TOKENS = 2_000_000
 BUCKETS, GRID, ROUNDS = 34, 96, 60
