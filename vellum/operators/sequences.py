@@ -31,12 +31,10 @@ def extrema(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Turning points of (i, y): flats are skipped; prominence is the smaller flank."""
     w = Window.partitionBy(*keys).orderBy("i")
     moved = rows.withColumn("d", F.signum(F.col("y") - F.lag("y").over(w))).filter("d <> 0")
-    turned = moved.withColumns({"before": F.lag("d").over(w), "at": F.lag("i").over(w)})
     run = runs(moved, keys, "i", F.col("d")).groupBy(*keys, "run").agg(F.min_by("d", "i").alias("d"), F.min("i").alias("first"), F.max("i").alias("last"), F.max_by("y", "i").alias("end"))
     lead = Window.partitionBy(*keys).orderBy("run")
     start = rows.groupBy(*keys).agg(F.min_by("y", "i").alias("y0"))
     out = run.join(start, keys).withColumns({"begin": F.coalesce(F.lag("end").over(lead), F.col("y0")), "next": F.lead("end").over(lead)}).filter("next is not null")
-    del turned
     return out.select(*keys, F.col("last").alias("i"), F.col("end").alias("y"), F.when(F.col("d") > 0, "max").otherwise("min").alias("kind"), F.least(F.abs(F.col("end") - F.col("begin")), F.abs(F.col("end") - F.col("next"))).alias("prominence"))
 
 

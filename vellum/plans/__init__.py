@@ -1,4 +1,4 @@
 """Queries over the tables, by area; importing this package registers all of them."""
 
-from . import fusion, joins, language, metrics, profiles, routing, sequences  # noqa: F401
+from . import fusion, joins, language, metrics, profiles, routing, sequences, structure  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401
