@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from .common import free_name, slices, small_batches, table, utf8_view
 
 DIM = 4096
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1200
 MOST_LABELS = 200
 #: Score below which the pipeline's stage rejects a document.
 REJECT = 0.2
@@ -85,13 +85,13 @@ def fit_svm(x: np.ndarray, y: np.ndarray, rounds: int = 150, c: float = 30.0) ->
     """Weights and bias of a linear SVM with squared hinge loss, by accelerated gradient
     steps; classes weigh the same whatever their sizes. y is +1 or -1."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    w = np.zeros(x.shape[1])
-    v, step = w.copy(), 1.0 / (1.0 + 4.0 * c)
+    share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    y, w = y.astype(np.float32), np.zeros(x.shape[1], np.float32)
+    v, step = w.copy(), np.float32(1.0 / (1.0 + 4.0 * c))
     for k in range(rounds):
         slack = np.maximum(0, 1 - y * (x @ v))
-        new = v - step * (v - 2 * c * ((share * y * slack) @ x))
-        v, w = new + k / (k + 3) * (new - w), new
+        new = v - step * (v - np.float32(2 * c) * ((share * y * slack) @ x))
+        v, w = new + np.float32(k / (k + 3)) * (new - w), new
     return w
 
 
@@ -119,7 +119,7 @@ def _vote(x: np.ndarray, names: list[str], pairs: dict) -> tuple[np.ndarray, np.
         return np.zeros(n, np.int64), np.ones(n)
     votes, chance = np.zeros((n, k)), np.zeros((n, k))
     for (i, j), w in pairs.items():
-        p = 1 / (1 + np.exp(-4 * (x @ w[:-1].astype(np.float32) + w[-1]).astype(np.float64)))
+        p = 1 / (1 + np.exp(-4 * (x @ w[:-1] + w[-1]).astype(np.float64)))
         votes[:, i] += p >= 0.5
         votes[:, j] += p < 0.5
         chance[:, i] += p
