@@ -14,6 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Dealt by key to as many partitions as shuffles have: the work on a group is much
+    more than its bytes, by which adaptive execution would put groups together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 @dataclass(frozen=True)
 class Grouping:
     """Limits of the component grouping."""
@@ -88,16 +94,19 @@ def component_groups(components: DataFrame, settings: Grouping = Grouping()) ->
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").reset_index(drop=True)
         root = grouped(pdf[["x1", "y1", "x2", "y2", "small", "wide"]].to_numpy(object), settings)
-        rows = []
-        for r in dict.fromkeys(root.tolist()):
-            p = pdf[root == r]
-            x1, y1, x2, y2, ink = p.x1.min(), p.y1.min(), p.x2.max(), p.y2.max(), p.ink.sum()
-            w, h = x2 - x1, y2 - y1
-            rows.append((p.doc.iloc[0], p.layer.iloc[0], 0, p.id.tolist(), x1, y1, x2, y2, ink, round(float(ink / max(w * h, 1)), 4), round(float(w / max(h, 1)), 3), int(p.small.sum())))
+        members: dict[int, list[int]] = {}
+        for k, r in enumerate(root.tolist()):
+            members.setdefault(r, []).append(k)
+        ids, x1s, y1s, x2s, y2s, inks, smalls = (pdf[c].tolist() for c in ("id", "x1", "y1", "x2", "y2", "ink", "small"))
+        doc, layer, rows = pdf.doc.iloc[0], pdf.layer.iloc[0], []
+        for at in members.values():
+            x1, y1, x2, y2 = min(x1s[k] for k in at), min(y1s[k] for k in at), max(x2s[k] for k in at), max(y2s[k] for k in at)
+            w, h, ink = x2 - x1, y2 - y1, sum(inks[k] for k in at)
+            rows.append((doc, layer, 0, [ids[k] for k in at], x1, y1, x2, y2, ink, round(ink / max(w * h, 1), 4), round(w / max(h, 1), 3), sum(map(bool, (smalls[k] for k in at)))))
         rows.sort(key=lambda g: (g[5], g[4], g[3]))
         return pd.DataFrame([(g[0], g[1], k, *g[3:]) for k, g in enumerate(rows, 1)], columns=[c.split()[0] for c in schema.split(", ")])
 
-    return components.groupBy("doc", "layer").applyInPandas(run, schema)
+    return spread(components, "doc", "layer").groupBy("doc", "layer").applyInPandas(run, schema)
 
 
 def line_buckets(groups: DataFrame, max_center: float = 18.0, min_overlap: float = 0.45) -> DataFrame:
@@ -123,7 +132,7 @@ def line_buckets(groups: DataFrame, max_center: float = 18.0, min_overlap: float
                 out.append((g.doc, g.id, best[1] + 1))
         return pd.DataFrame(out, columns=["doc", "id", "bucket"])
 
-    return groups.groupBy("doc").applyInPandas(run, schema)
+    return spread(groups, "doc").groupBy("doc").applyInPandas(run, schema)
 
 
 def text_units(rows: DataFrame, max_gap: int = 60, max_width: int = 420) -> DataFrame:
@@ -143,7 +152,7 @@ def text_units(rows: DataFrame, max_gap: int = 60, max_width: int = 420) -> Data
             out.append((g.doc, g.bucket, g.id, unit, reason or "merged"))
         return pd.DataFrame(out, columns=["doc", "bucket", "id", "unit", "reason"])
 
-    return rows.groupBy("doc", "bucket").applyInPandas(run, schema)
+    return spread(rows, "doc", "bucket").groupBy("doc", "bucket").applyInPandas(run, schema)
 
 
 def greedy_matches(pairs: DataFrame, keys: list[str], tolerance: int) -> DataFrame:

@@ -55,13 +55,13 @@ def truth_alignment(t):
     return a.select("token", "truth", "said", i).select("token", (F.col("i") - 1).cast("bigint").alias("position"), F.substring(F.col("truth"), F.col("i"), F.lit(1)).alias("truth"), F.substring(F.col("said"), F.col("i"), F.lit(1)).alias("said"))
 
 
-_BOX = "l_orderkey % 300 AS doc, l_orderkey * 8 + l_linenumber AS id, l_partkey * 13 % 900 AS x1, l_suppkey * 31 % 700 AS y1, l_partkey * 13 % 900 + l_quantity::BIGINT AS x2, l_suppkey * 31 % 700 + l_linenumber * 4 AS y2, l_returnflag AS layer"
+_BOX = "l_orderkey // 50 AS doc, l_orderkey * 8 + l_linenumber AS id, l_partkey * 13 % 900 AS x1, l_suppkey * 31 % 700 AS y1, l_partkey * 13 % 900 + l_quantity::BIGINT AS x2, l_suppkey * 31 % 700 + l_linenumber * 4 AS y2, l_returnflag AS layer"
 
 
 def boxes(t):
     i = F.col
     x, y = i("l_partkey") * 13 % 900, i("l_suppkey") * 31 % 700
-    return t.lineitem.select((i("l_orderkey") % 300).alias("doc"), (i("l_orderkey") * 8 + i("l_linenumber")).alias("id"), C.box(x, y, x + i("l_quantity").cast("bigint"), y + i("l_linenumber") * 4).alias("box"), i("l_returnflag").alias("layer")).distinct()
+    return t.lineitem.select(F.floor(i("l_orderkey") / 50).alias("doc"), (i("l_orderkey") * 8 + i("l_linenumber")).alias("id"), C.box(x, y, x + i("l_quantity").cast("bigint"), y + i("l_linenumber") * 4).alias("box"), i("l_returnflag").alias("layer")).distinct()
 
 
 _SPATIAL = f"""b AS (SELECT DISTINCT {_BOX} FROM lineitem),

@@ -57,7 +57,7 @@ def components(t) -> DataFrame:
     i = F.col
     x, y = i("l_partkey") * 13 % 900, i("l_suppkey") * 31 % 700
     w, h = i("l_quantity").cast("bigint") + 2, i("l_linenumber") * 4 + 3
-    rows = t.lineitem.select((i("l_orderkey") % 300).alias("doc"), i("l_returnflag").alias("layer"), (i("l_orderkey") * 8 + i("l_linenumber")).alias("id"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).cast("bigint").alias("y2"), (w * h / 3).cast("bigint").alias("ink"), (i("l_quantity") < 6).alias("small"), (w > 15 * h).alias("wide"))
+    rows = t.lineitem.select(F.floor(i("l_orderkey") / 40).alias("doc"), i("l_returnflag").alias("layer"), (i("l_orderkey") * 8 + i("l_linenumber")).alias("id"), x.alias("x1"), y.alias("y1"), (x + w).alias("x2"), (y + h).cast("bigint").alias("y2"), (w * h / 3).cast("bigint").alias("ink"), (i("l_quantity") < 6).alias("small"), (w > 15 * h).alias("wide"))
     return joins.first_of(rows, ["doc", "id"], "x1", "y1", "layer", "ink", "small")
 
 
@@ -130,10 +130,10 @@ def unique_names(t):
     return t.orders.groupBy("o_custkey").agg((F.length(F.array_join(names, "")) > 0).alias("any_name"), F.size(names).cast("bigint").alias("names"))
 
 
-@query("w2_renumbered_groups", "WITH b AS (SELECT DISTINCT l_orderkey % 300 AS doc, l_returnflag AS layer, l_orderkey * 8 + l_linenumber AS id, l_partkey * 13 % 900 AS x1, l_suppkey * 31 % 700 AS y1 FROM lineitem) SELECT doc, layer, id, x1, y1, row_number() OVER (PARTITION BY doc, layer ORDER BY y1, x1, id) AS group_id, printf('%d_line%02d', id, row_number() OVER (PARTITION BY doc, layer ORDER BY y1, x1, id) % 3) AS child FROM b")
+@query("w2_renumbered_groups", "WITH b AS (SELECT DISTINCT l_orderkey // 50 AS doc, l_returnflag AS layer, l_orderkey * 8 + l_linenumber AS id, l_partkey * 13 % 900 AS x1, l_suppkey * 31 % 700 AS y1 FROM lineitem) SELECT doc, layer, id, x1, y1, row_number() OVER (PARTITION BY doc, layer ORDER BY y1, x1, id) AS group_id, printf('%d_line%02d', id, row_number() OVER (PARTITION BY doc, layer ORDER BY y1, x1, id) % 3) AS child FROM b")
 def renumbered_groups(t):
     i = F.col
-    b = t.lineitem.select((i("l_orderkey") % 300).alias("doc"), i("l_returnflag").alias("layer"), (i("l_orderkey") * 8 + i("l_linenumber")).alias("id"), (i("l_partkey") * 13 % 900).alias("x1"), (i("l_suppkey") * 31 % 700).alias("y1")).distinct()
+    b = t.lineitem.select(F.floor(i("l_orderkey") / 50).alias("doc"), i("l_returnflag").alias("layer"), (i("l_orderkey") * 8 + i("l_linenumber")).alias("id"), (i("l_partkey") * 13 % 900).alias("x1"), (i("l_suppkey") * 31 % 700).alias("y1")).distinct()
     b = b.withColumn("group_id", rules.rank_in(["doc", "layer"], "y1", "x1", "id").cast("bigint"))
     return b.withColumn("child", F.format_string("%d_line%02d", "id", F.col("group_id") % 3))
 
