@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows of an Arrow batch; a worker holds one batch at a time.
 BATCH_ROWS = 256
 #: Bytes of text that the numpy kernels take at once (one longer text is taken alone).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +32,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, light: bool = False) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The copy cuts the lineage: executors lost later only cost their own tasks.
+    ``light``: rows are ids and numbers, so an eighth of the shuffle's partitions
+    suffices; each file costs a process and a directory entry.
     """
     spark = df.sparkSession
+    if light:
+        df = df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{scratch_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -159,19 +159,26 @@ def _verify(batches):
 
 def components(links: DataFrame) -> DataFrame:
     """(node, label): least node that links (a, b) connect with each node that has one."""
-    both = store(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    labels = store(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node"), "labels")
-    while True:
+    both = store(links.select("a", "b").union(links.select("b", "a")).distinct(), "links", light=True)
+
+    def nearer(labels: DataFrame) -> DataFrame:
+        """Each node's least label among its neighbours and itself, then that label's own."""
         near = both.join(labels.withColumnsRenamed({"node": "b"}), "b").groupBy("a").agg(F.min("label").alias("near"))
-        nearer = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("next"))
+        moved = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.least("label", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        moved = store(nearer.join(jump, "next", "left").select("node", F.coalesce("far", "next").alias("label"), (F.coalesce("far", "next") != F.col("label")).alias("moved")), "labels")
+        return moved.join(jump, "next", "left").select("node", F.coalesce("far", "next").alias("label"))
+
+    labels = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("label")).withColumnRenamed("a", "node")
+    while True:
+        one = nearer(labels)
+        two = nearer(one)
+        moved = store(two.join(one.withColumnRenamed("label", "was"), "node").select("node", "label", (F.col("label") != F.col("was")).alias("moved")), "labels", light=True)
         changed = moved.filter("moved").limit(1).count()
         discard(labels)
+        labels = moved.select("node", "label")
         if not changed:
             discard(both)
-            return moved.select("node", "label")
-        labels = moved.select("node", "label")
+            return labels
         labels.stored_at = moved.stored_at
 
 
@@ -227,16 +234,16 @@ def classes(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.md5("text").alias("key"), "text")
     sketch = store(keyed.mapInArrow(_sketch, "doc_id long, key string, node binary, bands array<long>"), "sketch")
-    nodes = store(sketch.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.any_value("bands").alias("bands")), "nodes")
+    nodes = store(sketch.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.any_value("bands").alias("bands")), "nodes", light=True)
 
     banded = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", "band", F.xxhash64("band", "hash").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    shared = store(banded.join(sizes, "bucket"), "shared")
+    shared = store(banded.join(sizes, "bucket"), "shared", light=True)
     # texts near the middle of a group share bands with most others: the best leaders
     weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
     weighed = shared.join(weights, "node")
     leaders = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("leader"))
-    buckets = store(weighed.join(leaders, "bucket"), "buckets")
+    buckets = store(weighed.join(leaders, "bucket"), "buckets", light=True)
 
     seen = weights.select("node").join(nodes.select("node", "rep.doc_id", "rep.key"), "node")
     t = keyed.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "text")
@@ -253,7 +260,7 @@ def classes(docs: DataFrame) -> DataFrame:
         """Buckets of three or more whose members have several classes."""
         known = buckets.filter("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         several = known.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
-        return store(known.join(several, "bucket"), "mixed")
+        return store(known.join(several, "bucket"), "mixed", light=True)
 
     near = F.col("similarity") >= SIMILAR
     star = tested(buckets.filter("node <> leader").select(*pair("node", "leader")).distinct())
@@ -277,7 +284,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
     member = nodes.select("node", "rep.doc_id").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id")
     least = member.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    known = store(member.join(least, "label").select("node", "class_id"), "classes")
+    known = store(member.join(least, "label").select("node", "class_id"), "classes", light=True)
     for df in (shared, buckets, texts, nodes):
         discard(df)
     out = sketch.select("doc_id", "node").join(known, "node", "left")
