@@ -95,3 +95,67 @@ def damaged_samples(t):
 @query("f18_sample_identities", "SELECT p_partkey AS id, r AS recipe, e AS epoch, sha256(p_partkey || '|' || r || '|' || e || '|0') AS sample FROM part, unnest(['cut_line', 'blur', 'black_noise', 'erosion', 'stamp']) u(r), unnest([0, 1]) v(e)")
 def sample_identities(t):
     return damaged_samples(t).select("id", "recipe", "epoch", "sample")
+
+
+_PIX = "q AS (SELECT event_id AS id, (event_id * 37 % 256)::BIGINT AS b, (user_id * 53 % 256)::BIGINT AS g, (value * 7)::BIGINT % 256 AS r FROM events), h AS (SELECT *, greatest(b, g, r) AS v, greatest(b, g, r) - least(b, g, r) AS c FROM q), z AS (SELECT *, CASE WHEN v > 0 THEN round(255.0 * c / v) ELSE 0 END AS s FROM h)"
+
+
+@query("i3_pixel_layers", f"WITH {_PIX} SELECT layer, count(*) AS pixels, sum(v)::BIGINT AS value FROM (SELECT *, CASE WHEN NOT (s >= 55 AND v >= 70 AND v <= 245 AND c >= 25) THEN CASE WHEN v <= 110 AND c < 40 THEN 'black' ELSE 'paper' END WHEN r >= b + 12 AND r >= g + 12 THEN 'red' WHEN b >= r + 12 AND b >= g + 12 THEN 'blue' WHEN g >= r + 12 AND g >= b + 12 THEN 'green' ELSE 'unknown' END AS layer FROM z) GROUP BY layer")
+def pixel_layers(t):
+    """Exclusive layers of pixels by saturation, value and the leading channel, as columns."""
+    i = F.col
+    q = t.events.select(i("event_id").alias("id"), (i("event_id") * 37 % 256).alias("b"), (i("user_id") * 53 % 256).alias("g"), (F.bround(i("value") * 7).cast("bigint") % 256).alias("r"))
+    h = q.withColumns({"v": F.greatest("b", "g", "r"), "c": F.greatest("b", "g", "r") - F.least("b", "g", "r")}).withColumn("s", F.when(i("v") > 0, F.round(F.lit(255.0) * i("c") / i("v"))).otherwise(0))
+    strong = (i("s") >= 55) & (i("v") >= 70) & (i("v") <= 245) & (i("c") >= 25)
+    leads = lambda x, y, z: (i(x) >= i(y) + 12) & (i(x) >= i(z) + 12)
+    layer = F.when(~strong & (i("v") <= 110) & (i("c") < 40), "black").when(~strong, "paper").when(leads("r", "b", "g"), "red").when(leads("b", "r", "g"), "blue").when(leads("g", "r", "b"), "green").otherwise("unknown")
+    return h.groupBy(layer.alias("layer")).agg(F.count("*").alias("pixels"), F.sum("v").alias("value"))
+
+
+@query("i4_bridge_pixels")
+def bridge_pixels(t):
+    """Pixels lent to each glyph where ink stands on both sides of a gap within four pixels."""
+    return I.per_mask(glyphs(t), lambda m: [(int(y), int(x)) for y, x in zip(*I.bridges(m, ~m, 2).nonzero(), strict=True)], "y int, x int")
+
+
+@query("r18_trace_paths")
+def trace_paths(t):
+    """Paths of each skeleton after short ends have joined their continuations."""
+    return I.per_mask(glyphs(t), lambda m: [(k, len(p["points"]), p["closed"], p["start"], p["end"], p["length"], len(p["merged"]), p["short"]) for k, p in enumerate(I.merged_spurs(I.Skeleton.of(I.thinned(m)).paths()))], "path int, points int, closed boolean, start string, stop string, length double, merged int, short boolean")
+
+
+@query("r19_character_units")
+def character_units(t):
+    """Column ranges that blank columns split each glyph into."""
+    return I.per_mask(glyphs(t), lambda m: [(k, a, b) for k, (a, b) in enumerate(I.character_parts(m))], "part int, start int, stop int")
+
+
+@query("i17_image_differences", f"WITH {_INK} SELECT a.id, (SELECT count(*) FROM g WHERE g.id = a.id) AS ink, (SELECT count(*) FROM g WHERE g.id = a.id AND NOT (x = l AND y BETWEEN 3 AND 5)) AS kept FROM (SELECT DISTINCT id, l FROM p) a")
+def image_differences(t):
+    """Ink of each glyph, and what of it is left when part of its stem is wiped out."""
+
+    def kernel(m):
+        wiped = m.copy()
+        columns = m.nonzero()[1]
+        wiped[3:6, columns.min()] = False
+        return [(int(m.sum()), int(wiped.sum()))]
+
+    return I.per_mask(glyphs(t), kernel, "ink bigint, kept bigint")
+
+
+@query("i15_manifest_regeneration", "SELECT count(*) AS samples, 0::BIGINT AS drifted FROM part, unnest(['cut_line', 'blur', 'black_noise', 'erosion', 'stamp']) u(r), unnest([0, 1]) v(e)")
+def manifest_regeneration(t):
+    """Samples made again from their coordinates: none may differ from the manifest."""
+    keys = ["id", "recipe", "epoch", "variant"]
+    first, again = damaged_samples(t), damaged_samples(t).withColumnsRenamed({"sample": "s", "changed": "c"})
+    both = first.join(again, keys, "full_outer")
+    return both.agg(F.count("*").alias("samples"), F.count_if(~(F.col("sample").eqNullSafe(F.col("s")) & F.col("changed").eqNullSafe(F.col("c")))).alias("drifted"))
+
+
+@query("i1_step_pipeline", "SELECT p_partkey AS id, p_size AS before, p_size * 2 + 1 AS after FROM part WHERE p_size > 10")
+def step_pipeline(t):
+    """Named steps over a state run in order; an unknown name is an error."""
+    from vellum.operators.steps import run_steps
+
+    steps = {"keep_large": lambda df: df.filter("before > 10"), "double": lambda df: df.withColumn("after", F.col("before") * 2), "increment": lambda df: df.withColumn("after", F.col("after") + 1)}
+    return run_steps(t.part.select(F.col("p_partkey").alias("id"), F.col("p_size").alias("before")), ["keep_large", "double", "increment"], steps)
