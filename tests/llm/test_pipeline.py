@@ -86,3 +86,13 @@ def test_registered_names(spark):
     names = registered.queries()
     assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
     assert set(registered.oracle_sql()) <= set(names)
+
+
+def test_stored_results_can_be_released(spark, folder):
+    from vellum.llm import common
+
+    kept = store(spark.range(3).selectExpr("id"), "release")
+    assert kept.count() == 3
+    common.release(spark)
+    assert not common._stored
+    assert store(spark.range(2).selectExpr("id"), "release").count() == 2

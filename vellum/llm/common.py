@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 256
 #: Bytes of text that the numpy kernels take at once (one longer text is taken alone).
 SLICE_BYTES = 1 << 19
+#: Where this application has stored results.
+_stored: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,12 +45,21 @@ def store(df: DataFrame, name: str, light: bool = False) -> DataFrame:
     if light:
         df = df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{scratch_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
+    _stored.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Delete all stored results of this application, once nothing reads them any more."""
+    for path in _stored:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+    _stored.clear()
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a stored result that nothing reads any more."""
     path = getattr(df, "stored_at", None)
