@@ -42,9 +42,9 @@ def log_probabilities(model: DataFrame, smoothing: float = SMOOTHING) -> tuple[D
 def averages(words: DataFrame, model: DataFrame) -> DataFrame:
     """word and its mean log probability over the n-grams of all orders."""
     seen, unseen = log_probabilities(model)
-    rows = exploded(words.select("word").distinct(), "word").groupBy("word", "order", "ngram").agg(F.count("*").alias("times"))
-    scored = rows.join(seen, ["order", "ngram"], "left").join(F.broadcast(unseen), "order", "left").withColumn("p", F.coalesce("logp", "unseen"))
-    return scored.groupBy("word").agg((F.sum(F.col("p") * F.col("times")) / F.sum("times")).alias("average"))
+    rows = exploded(words.select("word").distinct(), "word")
+    scored = rows.join(seen, ["order", "ngram"], "left").join(F.broadcast(unseen), "order", "left")
+    return scored.groupBy("word").agg(F.avg(F.coalesce("logp", "unseen")).alias("average"))
 
 
 def spread(scored: DataFrame, ranked: DataFrame, most: int = TRAINING_WORDS) -> DataFrame:

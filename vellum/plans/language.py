@@ -38,8 +38,8 @@ def word_plausibility(t):
     words = vocabulary(t)
     scored = L.averages(words, L.fit(words))
     ranked = words.orderBy(F.desc("count"), "word").limit(L.TRAINING_WORDS).withColumn("rank", F.lit(0))
-    row = L.spread(scored, ranked)
-    mean, deviation = row.select("mean").scalar(), row.select("deviation").scalar()
+    both = L.spread(scored, ranked).select(F.struct("mean", "deviation").alias("s")).scalar()
+    mean, deviation = both["mean"], both["deviation"]
     out = L.judged(scored, mean, deviation).join(words, "word")
     return out.select("word", F.col("count").alias("n"), F.round("average", 6).alias("average"), F.round("z", 5).alias("z"), F.round("confidence", 5).alias("confidence"), "gibberish")
 
@@ -75,8 +75,8 @@ def lexicon_membership(t):
 @query("f10_language_prior", f"WITH w AS ({_WORDS}) SELECT word, n, round(least(1.0, ln(1 + n) / ln(1 + (SELECT sum(n) FROM w))), 9) AS prior, round(n / greatest(1, (SELECT max(n) FROM w)), 9) AS confidence FROM w")
 def language_prior(t):
     words = vocabulary(t)
-    both = words.agg(F.sum("count").alias("total"), F.max("count").alias("top"))
-    total, top = both.select("total").scalar(), both.select("top").scalar()
+    both = words.agg(F.struct(F.sum("count").alias("total"), F.max("count").alias("top")).alias("s")).scalar()
+    total, top = both["total"], both["top"]
     return words.select("word", F.col("count").alias("n"), F.round(F.least(F.lit(1.0), F.log1p(F.col("count").cast("double")) / F.log1p(total.cast("double"))), 9).alias("prior"), F.round(C.per(F.col("count"), top), 9).alias("confidence"))
 
 
@@ -157,7 +157,7 @@ def ngram_repairs(t):
     tried = L.candidates(repair_tokens(t))
     every = tried.select(F.col("text").alias("word")).union(tried.select("repaired")).distinct()
     trained = L.averages(words, model)
-    row = L.spread(trained, words.orderBy(F.desc("count"), "word").limit(L.TRAINING_WORDS).withColumn("rank", F.lit(0)))
-    mean, deviation = row.select("mean").scalar(), row.select("deviation").scalar()
+    both = L.spread(trained, words.orderBy(F.desc("count"), "word").limit(L.TRAINING_WORDS).withColumn("rank", F.lit(0))).select(F.struct("mean", "deviation").alias("s")).scalar()
+    mean, deviation = both["mean"], both["deviation"]
     best = L.repairs(tried, L.averages(every, model), mean, deviation)
     return best.groupBy("token", "text").agg(F.max(F.round("z", 5)).alias("best_z"), F.max(F.round("gain", 5)).alias("best_gain"), F.count("*").alias("n"))
