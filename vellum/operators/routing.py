@@ -48,6 +48,9 @@ EXPERTS = {
     "stamp_interference": (0.65, 0.65, 0.7, 0.85),
     "edge_crop_loss": (0.7, 0.7, 0.7, 0.9),
 }
+# Reason codes of groups that aren't classified.
+NOT_REQUIRED, REJECTED, NO_INPUT = "minos_not_required_by_n02_policy", "rejected_by_refiner", "no_valid_minos_input_crop"
+
 RISKY = ("ink_overlap", "stamp_interference")
 
 
@@ -88,10 +91,10 @@ def layer_of(layer: Column, mask: Column) -> Column:
 
 def skip_reason(required: Column, status: Column, path: Column, include_rejected: bool = False) -> Column:
     """Why a group isn't classified; null if it is."""
-    out = F.when(required == F.lit(False), "minos_not_required_by_n02_policy")
+    out = F.when(required == F.lit(False), NOT_REQUIRED)
     if not include_rejected:
-        out = out.when(status == "rejected", "rejected_by_refiner")
-    return out.when(path.isNull(), "no_valid_minos_input_crop")
+        out = out.when(status == "rejected", REJECTED)
+    return out.when(path.isNull(), NO_INPUT)
 
 
 def policies(spark: SparkSession) -> DataFrame:

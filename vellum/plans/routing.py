@@ -58,7 +58,7 @@ def threshold_grid(t):
     return rows.groupBy("p", "h", "n", F.col("visual").alias("truth"), said.alias("said")).agg(F.sum("k").alias("crops"))
 
 
-@query("p7_skip_reasons", f"WITH {_CROPS} SELECT layer, coalesce(CASE WHEN layer = 'red' THEN 'minos_not_required_by_n02_policy' WHEN l_quantity > 45 THEN 'rejected_by_refiner' WHEN l_suppkey % 17 = 0 THEN 'no_valid_minos_input_crop' END, 'processed') AS reason, count(*) AS n FROM c GROUP BY ALL")
+@query("p7_skip_reasons", f"WITH {_CROPS} SELECT layer, coalesce(CASE WHEN layer = 'red' THEN '{R.NOT_REQUIRED}' WHEN l_quantity > 45 THEN '{R.REJECTED}' WHEN l_suppkey % 17 = 0 THEN '{R.NO_INPUT}' END, 'processed') AS reason, count(*) AS n FROM c GROUP BY ALL")
 def skip_reasons(t):
     rows = R.with_policy(crops(t))
     path = F.when(F.col("l_suppkey") % 17 != 0, F.lit("crop.png"))
