@@ -92,10 +92,10 @@ def document_lines(t):
     return lines.select("doc_id", F.col("line").cast("bigint").alias("line"), F.btrim("t", F.lit(" \t\r")).alias("said")).filter("said <> ''")
 
 
-@query("f18_identities", r"SELECT part, digest, ('0x' || substr(digest, 1, 16))::UHUGEINT::DECIMAL(20, 0) AS seed, variant FROM (SELECT p_partkey AS part, v AS variant, sha256(concat_ws('|', p_partkey, p_name, v)) AS digest FROM part, (SELECT unnest(range(0, 3)) AS v))")
+@query("f18_identities", r"SELECT part, digest, ('0x' || substr(digest, 1, 16))::UHUGEINT::VARCHAR AS seed, variant FROM (SELECT p_partkey AS part, v AS variant, sha256(concat_ws('|', p_partkey, p_name, v)) AS digest FROM part, (SELECT unnest(range(0, 3)) AS v))")
 def identities(t):
     rows = t.part.select(F.col("p_partkey").alias("part"), "p_name", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint"))).alias("variant"))
-    return rows.withColumn("digest", C.identity(F.col("part"), F.col("p_name"), F.col("variant"))).select("part", "digest", C.seed(F.col("digest")).alias("seed"), "variant")
+    return rows.withColumn("digest", C.identity(F.col("part"), F.col("p_name"), F.col("variant"))).select("part", "digest", C.seed(F.col("digest")).cast("string").alias("seed"), "variant")
 
 
 @query("f19_slugs", r"SELECT page_id, coalesce(nullif(trim(regexp_replace(url, '[^0-9A-Za-z_-]+', '_', 'g'), '_'), ''), 'unknown') AS slug FROM pages")

@@ -59,7 +59,7 @@ def smoothed_valleys(t):
     return s.groupBy("u").agg(F.min(F.struct("smooth", "i")).alias("m")).select("u", "m.i", F.round("m.smooth", 6).alias("smooth"))
 
 
-@query("w10_text_bands", f"WITH {_SIG}, o AS (SELECT u, i, i - lag(i) OVER (PARTITION BY u ORDER BY i) - 1 AS gap FROM s WHERE y >= 2), b AS (SELECT *, sum((coalesce(gap, 3) > 2)::INT) OVER (PARTITION BY u ORDER BY i) AS band FROM o) SELECT u, band, min(i) AS start, max(i) AS stop FROM b GROUP BY u, band HAVING max(i) - min(i) + 1 >= 2")
+@query("w10_text_bands", f"WITH {_SIG}, o AS (SELECT u, i, i - lag(i) OVER (PARTITION BY u ORDER BY i) - 1 AS gap FROM s WHERE y >= 2), b AS (SELECT *, sum((coalesce(gap, 3) > 2)::INT) OVER (PARTITION BY u ORDER BY i) AS band FROM o) SELECT u, band::BIGINT AS band, min(i) AS start, max(i) AS stop FROM b GROUP BY u, band HAVING max(i) - min(i) + 1 >= 2")
 def text_bands(t):
     return Q.bands(signal(t).select("u", "i", "y"), ["u"], 2.0, 2, 2)
 
