@@ -142,20 +142,13 @@ def judge(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = W
     return marked.select("doc_id", F.col(c["n_words"]).alias("n_words"), hit.alias("n_hit"), F.size(c["items"]).cast("long").alias("n_items"), F.sha2(joined, 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
-def _cut(batches, text_at: int, cuts_at: int):
-    for batch in batches:
-        texts = batch.column(text_at).to_pylist()
-        for r, spans in enumerate(batch.column(cuts_at).to_pylist()):
-            if spans:
-                raw = texts[r].encode()
-                keep, at = [], 0
-                for s, e in zip(spans[::2], spans[1::2], strict=True):
-                    keep.append(raw[at:s])
-                    at = e
-                texts[r] = b"".join([*keep, raw[at:]]).decode()
-        cols = batch.columns[:cuts_at]
-        cols[text_at] = pa.array(texts, pa.string())
-        yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:cuts_at])
+def _without(text, cuts):
+    """A text without byte spans [start, end, start, end, ...]."""
+    raw, n = F.encode(text, "UTF-8"), F.size(cuts)
+    first = lambda k: F.when(k == 0, F.lit(0).cast("bigint")).otherwise(F.get(cuts, 2 * k - 1))
+    last = lambda k: F.when(2 * k == n, F.octet_length(raw).cast("bigint")).otherwise(F.get(cuts, 2 * k))
+    kept = F.transform(F.sequence(F.lit(0), (n / 2).cast("int")), lambda k: F.substring(raw, (first(k) + 1).cast("int"), (last(k) - first(k)).cast("int")))
+    return F.decode(F.aggregate(kept, F.lit(b""), lambda done, part: F.concat(done, part)), "UTF-8")
 
 
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = WINDOW) -> DataFrame:
@@ -163,9 +156,7 @@ def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = W
     there is one, follows), and documents go of which at least DROP_SHARE was hit."""
     marked, c = mark(spark, docs, benchmark.select(F.col("item_id").cast("long"), "text"), n)
     kept = marked.filter(F.size(c["hits"]) < F.greatest(F.lit(1.0), F.col(c["n_words"]) * DROP_SHARE))
-    kept = kept.select(*docs.columns, c["cuts"])
-    text_at, cuts_at = docs.columns.index("text"), len(docs.columns)
-    out = kept.mapInArrow(lambda b: _cut(b, text_at, cuts_at), T.StructType([T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]))
+    out = kept.withColumn("text", F.when(F.size(c["cuts"]) > 0, _without(F.col("text"), F.col(c["cuts"]))).otherwise(F.col("text"))).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
