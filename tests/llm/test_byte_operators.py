@@ -191,6 +191,15 @@ def test_license_scan(spark):
     assert {k: [r.license for r in v] for k, v in got.items()} == {0: ["CC-BY-NC-4.0"], 1: ["CC-BY-4.0"], 2: ["GPL-3.0"], 3: ["GPL-2.0"], 8: ["MIT", "MIT"], 7: ["Apache-2.0"]}
 
 
+PROSE = "you can use it as you wish and modify it with or without changes, provided that the following steps are met. any person who has a copy of this software and the documentation files may deal in them without restriction, as published by the foundation. this work is subject to the terms of the form, and the author has no related or neighboring rights to it under law, to the extent that is possible. "
+
+
+@pytest.mark.parametrize(("sentence", "license"), [("Licensed under the MIT License.", "MIT"), ("Released under the MIT License.", "MIT"), ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"), ("Licensed under CC BY 4.0.", "CC-BY-4.0")])
+def test_license_in_long_prose(spark, sentence, license):
+    docs = spark.createDataFrame([(1, PROSE + sentence + " " + PROSE)], "doc_id long, text string")
+    assert [r.license for r in license_scan.scan(docs).collect()] == [license]
+
+
 def test_url_filter(spark):
     urls = ["http://a.example.com/en/1", "https://EXAMPLE.com/en/7?x", "ftp://x.net/de/1", "http://example.net/de/8#t", "http://q.org/es/", "http://q.org/fr/", "http://q.org/es/2", "nourl", None, "http://notcom/en/", "://h/p", "http://com/en/", "http://z.info/en/x?y://b.org/es/", "http://sample.com", "http://a.b.org?es/"]
     pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls * 2)], "page_id long, url string, host string")

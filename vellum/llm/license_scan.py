@@ -3,8 +3,8 @@
 A candidate block is a line with a licensing word, or the stretch of ``REACH``
 characters around such words in a long line. It is compressed on its own and with
 each template as a raw zstandard dictionary; templates are ranked by how much
-smaller the block gets. The best ranks are then compared word by word: a license
-is confirmed if the words of its template stand in the block in order, with at
+smaller the block gets. The wording of all of them is compared word by word: a
+license is confirmed if the words of its template stand in the block in order, with at
 most ``MISSING`` of them missing or replaced and every word that tells the
 license from its versions (numbers and codes) present.
 
@@ -30,8 +30,6 @@ from .common import small_batches, table
 REACH = 400
 #: Share of a template's words that a block may lack or replace.
 MISSING = 0.15
-#: Templates, best first, whose wording is compared.
-COMPARED = 4
 
 # Usual wordings of public licenses.
 TEMPLATES = {
@@ -144,10 +142,10 @@ def judge_block(block: str):
     alone = len(plain.compress(raw))
     ranked = sorted(((alone - len(c.compress(raw)), name, template) for name, template, c in made), key=lambda x: (-x[0], x[1]))
     found = []
-    for saved, name, template in ranked[:COMPARED]:
+    for saved, name, template in ranked:
         lacking, extra = differences(template, said)
         codes = any(w in _CODES or w.isdigit() for w in lacking) or any(w in _CODES for w in extra)
-        if saved > 0 and not codes and len(lacking) + len(extra) <= MISSING * len(template):
+        if not codes and len(lacking) + len(extra) <= MISSING * len(template):
             found.append((-saved, len(lacking) + len(extra), name, lacking, extra))
     if not found:
         return None
