@@ -200,6 +200,51 @@ def test_license_in_long_prose(spark, sentence, license):
     assert [r.license for r in license_scan.scan(docs).collect()] == [license]
 
 
+def test_each_license_of_a_line(spark):
+    both = "Licensed under the MIT License. Licensed under the Apache License, Version 2.0."
+    gpl = license_scan.TEMPLATES["GPL-3.0"][1]
+    # a long line: licensing words before, and a statement over the end of what they reach
+    texts = [both, both * 2, *("license " + "x " * n + gpl + " y" * 500 for n in range(20, 120, 7)), "x " * 300 + gpl + " " + "license " * 300 + gpl + " Licensed under CC BY 4.0."]
+    got = collections.defaultdict(list)
+    for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id", "start").collect():
+        got[r.doc_id].append((r.license, texts[r.doc_id][r.start : r.stop]))
+    mit, apache = (x.strip(" .") for x in (both[:31], both[31:]))
+    assert got[0] == [("MIT", mit), ("Apache-2.0", apache)] and got[1] == got[0] * 2
+    assert all(got[k] == [("GPL-3.0", gpl[:-1])] for k in range(2, len(texts) - 1))
+    assert [x for x, _ in got[len(texts) - 1]] == ["GPL-3.0", "GPL-3.0", "CC-BY-4.0"]
+    lesser = gpl.replace("GNU General", "GNU Lesser General")
+    assert license_scan.judge_block(lesser, next(license_scan.blocks(lesser))) == []
+
+
+def least_differences(template, said):
+    """By brute force over all stretches."""
+    most, best = int(license_scan.MISSING * len(template)), None
+    for a in range(len(said)):
+        for b in range(a + 1, len(said) + 1):
+            part = said[a:b]
+            common = [[0] * (len(part) + 1) for _ in range(len(template) + 1)]
+            for i, x in enumerate(template):
+                for j, y in enumerate(part):
+                    common[i + 1][j + 1] = common[i][j] + 1 if x == y else max(common[i][j + 1], common[i + 1][j])
+            cost = len(template) + len(part) - 2 * common[-1][-1]
+            if cost <= most and (best is None or cost < best):
+                best = cost
+    return best
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_license_places_against_brute_force(seed):
+    rng = random.Random(seed)
+    template = [rng.choice("abcdefgh") + "x" for _ in range(14)]
+    for _ in range(20):
+        said = [rng.choice("abcdefgh") + "x" for _ in range(6)] + template + [rng.choice("abcdefgh") + "x" for _ in range(6)]
+        for _ in range(rng.randrange(4)):
+            said[rng.randrange(len(said))] = "other"
+            del said[rng.randrange(len(said))]
+        found = license_scan.places(template, said)
+        assert (found[0][0] if found else None) == least_differences(template, said)
+
+
 def test_url_filter(spark):
     urls = ["http://a.example.com/en/1", "https://EXAMPLE.com/en/7?x", "ftp://x.net/de/1", "http://example.net/de/8#t", "http://q.org/es/", "http://q.org/fr/", "http://q.org/es/2", "nourl", None, "http://notcom/en/", "://h/p", "http://com/en/", "http://z.info/en/x?y://b.org/es/", "http://sample.com", "http://a.b.org?es/"]
     pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls * 2)], "page_id long, url string, host string")

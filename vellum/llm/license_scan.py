@@ -1,23 +1,25 @@
 """License scans by conditional compression.
 
-A candidate block is a line with a licensing word, or the stretch of ``REACH``
-characters around such words in a long line. It is compressed on its own and with
-each template as a raw zstandard dictionary; templates are ranked by how much
-smaller the block gets. The wording of all of them is compared word by word: a
-license is confirmed if the words of its template stand in the block in order, with at
-most ``MISSING`` of them missing or replaced and every word that tells the
-license from its versions (numbers and codes) present.
+A candidate block is what stands within ``REACH`` words of a licensing word in its
+line. In a block the places of every template are looked for: stretches that hold
+the template's words in order, with at most ``MISSING`` of them missing or replaced
+and every word that tells the license from its versions (numbers and codes)
+present. Each place is compressed on its own and with each such template as a raw
+zstandard dictionary; of places that overlap, the one that gets smallest by its
+template is the license that stands there.
 
 Defined cases: null and empty texts have no blocks; a tie in size goes to the
 template with fewer differences, then to the name that sorts first; equal texts
-get equal rows; each of several blocks of a text is a row; other columns don't
-matter. No step shuffles, and a worker holds one batch.
+get equal rows; each place in a block is a row, so a block with several licenses
+has several; other columns don't matter. No step shuffles, and a worker holds one
+batch.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-REACH = 400
 #: Share of a template's words that a block may lack or replace.
 MISSING = 0.15
 
@@ -74,11 +75,11 @@ TEMPLATES = {
     ],
 }
 
-_ANCHOR = r"(?i)licen[cs]|copyright|redistribut|permission is|waived all"
+_ANCHOR = r"(?i)licen[cs]|copyright|redistribut|permission|waived|cc0"
 _anchor = re.compile(_ANCHOR)
 _WORD = re.compile(r"[^\W_]+")
 #: Words that must not differ: numbers and the short codes of license families.
-_CODES = frozenset("mit apache gnu gpl lgpl agpl bsd mozilla cc cc0 by sa nc nd attribution sharealike noncommercial noderivatives".split())
+_CODES = frozenset("mit apache gnu gpl lgpl agpl lesser library affero bsd mozilla cc cc0 by sa nc nd attribution sharealike noncommercial noderivatives".split())
 
 
 def words(text: str) -> list[str]:
@@ -96,17 +97,60 @@ def _compressors():
     return made, zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False)
 
 
-def blocks(text: str) -> list[tuple[int, int]]:
-    """Candidate stretches of a text, apart from each other."""
-    out: list[tuple[int, int]] = []
-    for m in _anchor.finditer(text):
-        if out and m.start() < out[-1][1]:
-            continue
-        a, b = text.rfind("\n", max(0, m.start() - REACH), m.start()) + 1, text.find("\n", m.end(), m.end() + REACH)
-        a = a or max(0, m.start() - REACH)
-        b = b if b >= 0 else min(len(text), m.end() + REACH)
-        a = max(a, out[-1][1]) if out else a
-        out.append((a, b))
+#: Words to each side of a licensing word: the longest template with all it may have between.
+REACH = max(len(words(t)) + int(MISSING * len(words(t))) for texts in TEMPLATES.values() for t in texts)
+
+
+def blocks(text: str) -> Iterator[list[tuple[str, int, int]]]:
+    """Candidate stretches of a text, apart from each other, as (word, start, stop)."""
+    block: list[tuple[str, int, int]] = []
+    since = None  # words after the last licensing word
+    for m in _WORD.finditer(text):
+        if block and "\n" in text[block[-1][2] : m.start()]:
+            if since is not None:
+                yield block
+            block, since = [], None
+        block.append((m[0].lower(), m.start(), m.end()))
+        if _anchor.search(m[0]):
+            block, since = block if since is not None else block[-REACH - 1 :], 0
+        elif since is not None:
+            since += 1
+            if since == 2 * REACH:
+                yield block[:-REACH]
+                block, since = block[-REACH:], None
+        elif len(block) > 2 * REACH:
+            block = block[-REACH:]
+    if since is not None:
+        yield block
+
+
+def places(template: list[str], said: list[str]) -> list[tuple[int, int, int]]:
+    """(differences, first word, word after the last) of a template's places in a block,
+    apart from each other: fewest differences first, then the shortest."""
+    n, most = len(template), int(MISSING * len(template))
+    price = [most + 1 if w in _CODES or w.isdigit() else 1 for w in template]
+    there = set(said)
+    if sum(p for w, p in zip(template, price, strict=True) if w not in there) > most:
+        return []
+    # by number of template words: fewest differences of a stretch that ends here, and less its start
+    best = [(0, 0)]
+    for p in price:
+        best.append((best[-1][0] + p, 0))
+    ends = []
+    for j, w in enumerate(said):
+        extra = most + 1 if w in _CODES else 1
+        corner, best[0] = (0, -j), (0, -j - 1)
+        for i in range(1, n + 1):
+            cost, start = min((best[i][0] + extra, best[i][1]), (best[i - 1][0] + price[i - 1], best[i - 1][1]))
+            if template[i - 1] == w:
+                cost, start = min((cost, start), corner)
+            corner, best[i] = best[i], (cost, start)
+        if best[n][0] <= most:
+            ends.append((best[n][0], j + 1 + best[n][1], -best[n][1], j + 1))
+    out: list[tuple[int, int, int]] = []
+    for cost, _, a, b in sorted(ends):
+        if all(b <= x or y <= a for _, x, y in out):
+            out.append((cost, a, b))
     return out
 
 
@@ -135,29 +179,28 @@ def differences(template: list[str], block: list[str]) -> tuple[list[str], list[
     return lacking + template[i:], extra
 
 
-def judge_block(block: str):
-    """(license, bytes saved, words lacking, words extra) of a confirmed block, or None."""
+def judge_block(text: str, block: list[tuple[str, int, int]]) -> list[tuple]:
+    """(start, stop, license, bytes saved, words lacking, words extra) of each license
+    that stands in a block, in order of place."""
     made, plain = _compressors()
-    raw, said = block.lower().encode("utf-8", "surrogatepass"), words(block)
-    alone = len(plain.compress(raw))
-    ranked = sorted(((alone - len(c.compress(raw)), name, template) for name, template, c in made), key=lambda x: (-x[0], x[1]))
+    said = [w for w, _, _ in block]
     found = []
-    for saved, name, template in ranked:
-        lacking, extra = differences(template, said)
-        codes = any(w in _CODES or w.isdigit() for w in lacking) or any(w in _CODES for w in extra)
-        if not codes and len(lacking) + len(extra) <= MISSING * len(template):
-            found.append((-saved, len(lacking) + len(extra), name, lacking, extra))
-    if not found:
-        return None
-    saved, _, name, lacking, extra = min(found)
-    return name, -saved, lacking, extra
+    for name, template, compressor in made:
+        for cost, a, b in places(template, said):
+            raw = text[block[a][1] : block[b - 1][2]].lower().encode("utf-8", "surrogatepass")
+            found.append((len(compressor.compress(raw)) - len(plain.compress(raw)), cost, name, a, b, template))
+    out: list[tuple] = []
+    for size, _, name, a, b, template in sorted(found):
+        if all(b <= x or y <= a for x, y, *_ in out):
+            out.append((a, b, name, -size, *differences(template, said[a:b])))
+    return [(block[a][1], block[b - 1][2], *rest) for a, b, *rest in sorted(out)]
 
 
 RESULT = "doc_id long, block int, start long, stop long, license string, bytes_saved long, n_lacking long, n_extra long, differences string"
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """One row per confirmed block (code points; stop is exclusive): see RESULT."""
+    """One row per license and place (code points; stop is exclusive): see RESULT."""
     small_batches(docs.sparkSession)
 
     def run(batches):
@@ -167,10 +210,9 @@ def scan(docs: DataFrame) -> DataFrame:
             some = batch.filter(pc.match_substring_regex(batch.column(1).fill_null(""), _ANCHOR))
             rows = []
             for doc, text in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), strict=True):
-                for k, (a, b) in enumerate(blocks(text)):
-                    if found := judge_block(text[a:b]):
-                        name, saved, lacking, extra = found
-                        rows.append((doc, k, a, b, name, saved, len(lacking), len(extra), " ".join([f"-{w}" for w in lacking] + [f"+{w}" for w in extra])))
+                for k, block in enumerate(blocks(text)):
+                    for start, stop, name, saved, lacking, extra in judge_block(text, block):
+                        rows.append((doc, k, start, stop, name, saved, len(lacking), len(extra), " ".join([f"-{w}" for w in lacking] + [f"+{w}" for w in extra])))
             cols = zip(*rows, strict=True) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
