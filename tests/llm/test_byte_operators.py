@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -216,6 +217,18 @@ def test_each_license_of_a_line(spark):
     assert license_scan.judge_block(lesser, next(license_scan.blocks(lesser))) == []
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "//    ", "C "])
+def test_wrapped_licenses(spark, mark):
+    wordings = [(name, t) for name, texts in license_scan.TEMPLATES.items() for t in texts]
+    texts = ["intro\n\n" + "\n".join(mark + line for line in textwrap.wrap(t, 60)) + "\n\nint main()" for _, t in wordings]
+    got = collections.defaultdict(list)
+    for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[r.doc_id].append(r.license)
+        assert r.bytes_saved > 0 and r.n_lacking + r.n_extra <= (mark == "C ") * 5
+    # a letter as comment mark counts as a word more, which the shortest wordings may not have
+    assert {k: v for k, v in got.items()} == {k: [name] for k, (name, t) in enumerate(wordings) if mark != "C " or k in got} and len(got) >= len(texts) - 3 * (mark == "C ")
+
+
 def least_differences(template, said):
     """By brute force over all stretches."""
     most, best = int(license_scan.MISSING * len(template)), None

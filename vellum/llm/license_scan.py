@@ -1,10 +1,11 @@
 """License scans by conditional compression.
 
-A candidate block is what stands within ``REACH`` words of a licensing word in its
-line. In a block the places of every template are looked for: stretches that hold
+A candidate block is what stands within ``REACH`` words of a licensing word,
+whatever the lines. In a block the places of every template are looked for: stretches that hold
 the template's words in order, with at most ``MISSING`` of them missing or replaced
 and every word that tells the license from its versions (numbers and codes)
-present. Each place is compressed on its own and with each such template as a raw
+present; line feeds, indents and comment marks are no words. Each place, its lines
+joined, is compressed on its own and with each such template as a raw
 zstandard dictionary; of places that overlap, the one that gets smallest by its
 template is the license that stands there.
 
@@ -78,6 +79,8 @@ TEMPLATES = {
 _ANCHOR = r"(?i)licen[cs]|copyright|redistribut|permission|waived|cc0"
 _anchor = re.compile(_ANCHOR)
 _WORD = re.compile(r"[^\W_]+")
+#: Line feeds with the blanks and comment marks around them.
+_FOLD = re.compile(r"[^\S\n]*\n(?:[^\w\"'(]|_)*")
 #: Words that must not differ: numbers and the short codes of license families.
 _CODES = frozenset("mit apache gnu gpl lgpl agpl lesser library affero bsd mozilla cc cc0 by sa nc nd attribution sharealike noncommercial noderivatives".split())
 
@@ -106,10 +109,6 @@ def blocks(text: str) -> Iterator[list[tuple[str, int, int]]]:
     block: list[tuple[str, int, int]] = []
     since = None  # words after the last licensing word
     for m in _WORD.finditer(text):
-        if block and "\n" in text[block[-1][2] : m.start()]:
-            if since is not None:
-                yield block
-            block, since = [], None
         block.append((m[0].lower(), m.start(), m.end()))
         if _anchor.search(m[0]):
             block, since = block if since is not None else block[-REACH - 1 :], 0
@@ -187,7 +186,7 @@ def judge_block(text: str, block: list[tuple[str, int, int]]) -> list[tuple]:
     found = []
     for name, template, compressor in made:
         for cost, a, b in places(template, said):
-            raw = text[block[a][1] : block[b - 1][2]].lower().encode("utf-8", "surrogatepass")
+            raw = _FOLD.sub(" ", text[block[a][1] : block[b - 1][2]]).lower().encode("utf-8", "surrogatepass")
             found.append((len(compressor.compress(raw)) - len(plain.compress(raw)), cost, name, a, b, template))
     out: list[tuple] = []
     for size, _, name, a, b, template in sorted(found):
