@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from vellum.operators import images as I
+from vellum.operators import routing
 
 
 def mask(points, h=14, w=14):
@@ -121,6 +122,64 @@ def test_repairs():
     assert (I.bridged_ends(apart) == apart).all()
 
 
+def ring(side=40, low=12, high=28):
+    return mask({(x, y) for x in range(low, high) for y in range(low, high) if not (low + 2 <= x < high - 2 and low + 2 <= y < high - 2)}, side, side)
+
+
+def test_every_routed_repair_exists():
+    assert {tool for tools in routing.REPAIRS.values() for tool in tools} <= set(I.REPAIRS) == set(I._REPAIR) and len(I.REPAIRS) == 11
+    for m in (np.zeros((5, 6), bool), np.ones((9, 12), bool), mask({(3, 3)})):
+        assert all(repair(m).shape == m.shape and I.hypotheses(m) for repair in I._REPAIR.values())
+
+
+def test_lines_and_stamps_go():
+    glyph = ring()
+    line = mask({(x, 20) for x in range(2, 38)}, 40, 40)
+    cleaned = I.without_line(glyph | line)
+    assert not (cleaned & line & ~I.dilated(glyph, 2)).any() and (cleaned & glyph).sum() >= 0.8 * glyph.sum()
+    slanted = mask({(x, 10 + x // 2) for x in range(2, 38)}, 40, 40)
+    cleaned = I.without_line(glyph | slanted)
+    assert (cleaned & slanted & ~I.dilated(glyph, 2)).sum() <= 8 and (cleaned & glyph).sum() >= 0.8 * glyph.sum()
+    edge = mask({(x, 3) for x in range(4, 36)}, 40, 40)
+    assert (I.without_stamp(glyph | edge) == glyph).all()
+    found = {h["tool"]: h for h in I.hypotheses(glyph | edge)}
+    assert (found["stamp_external_artifact_removal"]["mask"] == glyph).all() and found["stamp_external_artifact_removal"]["accepted"]
+    assert "linear_artifact_removal" in {h["tool"] for h in I.hypotheses(glyph | line)}
+
+
+def test_normalized_median_and_border():
+    block = mask({(x, y) for x in range(2, 12) for y in range(2, 12)}, 14)
+    holed, speck = block.copy(), block.copy()
+    holed[6, 6], speck[0, 13] = False, True
+    assert (I.normalized(holed) == block).all() and (I.normalized(speck) == block).all()
+    assert I.median(holed)[6, 6] and not I.median(speck)[0, 13]
+    bar = mask({(x, 6) for x in range(1, 9)}, 14)
+    assert sorted(zip(*(I.continued_border(bar) & ~bar).nonzero(), strict=True)) == [(y, x) for y in (5, 6, 7) for x in range(3) if (y, x) not in {(6, 1), (6, 2)}]
+    assert all((I.continued_border(np.rot90(bar, k)) == np.rot90(I.continued_border(bar), k)).all() for k in range(4))
+
+
+def test_every_damage_of_the_survey():
+    assert {"bleed_through", "edge_crop_loss", "threshold_failure", "compression_artifacts", "ink_overlap"} < set(I.DAMAGES) and len(I.DAMAGES) == 10
+    glyph = ring()
+    for recipe, (_, least, most) in I._TRIED.items():
+        done = [I.damaged(glyph, recipe, seed) for seed in range(20)]
+        share = [(d ^ glyph).sum() for d in done]
+        assert all(c == 0 or least <= c <= most * glyph.sum() for c in share) and sum(c > 0 for c in share) >= 15, recipe
+        if recipe in ("bleed_through", "ink_overlap"):
+            assert all((d & glyph == glyph).all() for d in done)
+        if recipe == "edge_crop_loss":
+            assert all((d & ~glyph).sum() == 0 for d in done)
+        assert (I.damaged(np.zeros((6, 6), bool), recipe, 1) == 0).all() and I.damaged(mask({(3, 3)}), recipe, 1).shape == (14, 14)
+
+
+def test_vertical_fragments_group_by_column():
+    lines = mask({(10, y) for y in (*range(5, 30), *range(40, 60))} | {(14, y) for y in range(70, 85)} | {(60, y) for y in range(5, 20)} | {(x, 90) for x in range(40)}, 100, 100)
+    groups, found = I.vertical_groups(lines)
+    assert [(g["center_x"], g["fragments"], g["y1"], g["y2"], g["total_height"], g["structural"]) for g in groups] == [(11, 3, 5, 85, 60, True), (60, 1, 5, 20, 15, False)]
+    assert found[5:30, 8:15].all() and not found[30:40].any() and not found[:, 15:].any()
+    assert (I.vertical_lines(lines) == (lines & (np.arange(100) != 90)[:, None])).all()
+
+
 def test_characters():
     two = mask({(x, y) for x in (*range(1, 6), *range(8, 13)) for y in range(4, 10)})
     assert len(I.character_parts(two)) == 2

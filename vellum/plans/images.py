@@ -74,8 +74,18 @@ def quadrants(t):
     return I.per_mask(glyphs(t), lambda m: [row(I.features(m))], ", ".join(f"{n} bigint" for n in names))
 
 
+@query("i6_vertical_groups")
+def vertical_groups(t):
+    """Vertical line fragments of each glyph by their middle column."""
+    return I.per_mask(glyphs(t), lambda m: [(k, g["center_x"], g["fragments"], g["y1"], g["y2"], g["total_height"], g["structural"]) for k, g in enumerate(I.vertical_groups(I.vertical_lines(m), reach=2)[0])], "line int, center_x int, fragments int, y1 int, y2 int, total_height int, structural boolean")
+
+
+# The recipes that the SQL of f18 and i15 names.
+SQL_DAMAGES = ("cut_line", "blur", "black_noise", "erosion", "stamp")
+
+
 @query("i14_damaged_samples")
-def damaged_samples(t):
+def damaged_samples(t, recipes=I.DAMAGES):
     """Every glyph under every kind of damage, epochs and variants: identity and pixels changed."""
 
     def run(pdf_batches):
@@ -90,13 +100,13 @@ def damaged_samples(t):
                 rows.append((r.id, r.recipe, r.epoch, r.variant, sample, int((I.damaged(mask, r.recipe, seed) ^ mask).sum())))
             yield pd.DataFrame(rows, columns=["id", "recipe", "epoch", "variant", "sample", "changed"])
 
-    plan = glyphs(t).withColumn("recipe", F.explode(F.array(*map(F.lit, I.DAMAGES)))).withColumn("epoch", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("variant", F.lit(0))
+    plan = glyphs(t).withColumn("recipe", F.explode(F.array(*map(F.lit, recipes)))).withColumn("epoch", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("variant", F.lit(0))
     return plan.mapInPandas(run, "id long, recipe string, epoch int, variant int, sample string, changed int")
 
 
 @query("f18_sample_identities", "SELECT p_partkey AS id, r AS recipe, e AS epoch, sha256(p_partkey || '|' || r || '|' || e || '|0') AS sample FROM part, unnest(['cut_line', 'blur', 'black_noise', 'erosion', 'stamp']) u(r), unnest([0, 1]) v(e)")
 def sample_identities(t):
-    return damaged_samples(t).select("id", "recipe", "epoch", "sample")
+    return damaged_samples(t, SQL_DAMAGES).select("id", "recipe", "epoch", "sample")
 
 
 _PIX = "q AS (SELECT event_id AS id, (event_id * 37 % 256)::BIGINT AS b, (user_id * 53 % 256)::BIGINT AS g, (value * 7)::BIGINT % 256 AS r FROM events), h AS (SELECT *, greatest(b, g, r) AS v, greatest(b, g, r) - least(b, g, r) AS c FROM q), z AS (SELECT *, CASE WHEN v > 0 THEN round(255.0 * c / v) ELSE 0 END AS s FROM h)"
@@ -149,7 +159,7 @@ def image_differences(t):
 def manifest_regeneration(t):
     """Samples made again from their coordinates: none may differ from the manifest."""
     keys = ["id", "recipe", "epoch", "variant"]
-    first, again = damaged_samples(t), damaged_samples(t).withColumnsRenamed({"sample": "s", "changed": "c"})
+    first, again = damaged_samples(t, SQL_DAMAGES), damaged_samples(t, SQL_DAMAGES).withColumnsRenamed({"sample": "s", "changed": "c"})
     both = first.join(again, keys, "full_outer")
     return both.agg(F.count("*").alias("samples"), F.count_if(~(F.col("sample").eqNullSafe(F.col("s")) & F.col("changed").eqNullSafe(F.col("c")))).alias("drifted"))
 
