@@ -129,6 +129,21 @@ def test_warc_salvage(gzip):
     assert whole[0][0] == 0 and whole[-1][1] == len(raw) and all(x[1] == y[0] for x, y in zip(whole, whole[1:], strict=False))
 
 
+def test_warc_records_of_other_archives(spark):
+    def plain(*lines, block=b"some text"):
+        return "\r\n".join(["WARC/1.1", *lines, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
+
+    own = warc.record(3, "http://x/3", b"payload", gzip=False)
+    parts = [plain("WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:1>"), own, plain("WARC-Type: request"), plain("WARC-Type: request", "WARC-Record-ID: <urn:uuid:2>"), own.replace(b"page:3>", b"page:x>"), own.lower().replace(b"warc/", b"WARC/"), plain("WARC-Type: metadata", "WARC-Record-ID: <urn:uuid:3>", "X-Payload-Length: many"), own]
+    ends = np.cumsum([0, *map(len, parts)]).tolist()
+    got = sorted(warc.records(spark.createDataFrame([(1, bytearray(b"".join(parts)))], "archive long, data binary")).collect(), key=lambda r: r.start)
+    said = base64.b32encode(hashlib.sha1(b"some text").digest()).decode()
+    assert [(r.record_type, r.page_id, r.payload_bytes, r.payload_digest) for r in got if r.record_type in ("warcinfo", "request")] == [("warcinfo", None, 9, said), ("request", None, 9, said)]
+    assert [r.page_id for r in got if r.record_type == "response"] == [3, 3]
+    gaps = [(r.start, r.stop) for r in got if r.gap]
+    assert (ends[2], ends[3]) in gaps and (ends[4], ends[7]) in gaps and len(gaps) == 2
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")

@@ -66,6 +66,33 @@ class Damage(ValueError):
     """A record that fails a check."""
 
 
+def _page(said: str):
+    """The page of a record id; null for ids of other archives."""
+    if not said.startswith("<urn:vellum:page:"):
+        return None
+    said = said.removeprefix("<urn:vellum:page:").removesuffix(">")
+    try:
+        return None if said in ("None", "") else int(said)
+    except ValueError as e:
+        raise Damage("a page's number is malformed") from e
+
+
+def _described(fields: dict, block: bytes) -> tuple:
+    """Page, payload length, payload digest, type and page referred to of a record.
+
+    What only this module writes is taken from the block where it is absent; a revisit
+    of another archive has no length or digest unless it states them."""
+    kind, length, said = fields.get("warc-type"), fields.get("x-payload-length"), fields.get("warc-payload-digest")
+    if not kind or not fields.get("warc-record-id"):
+        raise Damage("a record without type or id")
+    if length is not None and not (length.isdecimal() and length.isascii() and len(length) < 19):
+        raise Damage("the payload's length is malformed")
+    own = None if kind == "revisit" else block
+    size = int(length) if length is not None else None if own is None else len(own)
+    hashed = said.removeprefix("sha1:") if said else None if own is None else digest(own)
+    return _page(fields["warc-record-id"]), size, hashed, kind, _page(fields.get("warc-refers-to", ""))
+
+
 def parse(raw: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     """Header fields (lower-cased names), block and end of the record at ``at``."""
     if raw[at : at + 5] != b"WARC/" or (stop := raw.find(b"\r\n\r\n", at)) < 0:
@@ -87,6 +114,7 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict, bytes, int]:
         raise Damage("the block's digest is wrong")
     if fields.get("warc-type") == "response" and (said := fields.get("warc-payload-digest")) and said != f"sha1:{digest(block)}":
         raise Damage("the payload's digest is wrong")
+    _described(fields, block)
     return fields, block, end + 4
 
 
@@ -167,19 +195,15 @@ RECORD = "archive long, start long, stop long, page_id long, payload_bytes long,
 def records(stored: DataFrame) -> DataFrame:
     """Salvaged records of archives, and their quarantined gaps (gap: what failed)."""
 
-    def number(text: str):
-        said = text.removeprefix("<urn:vellum:page:").removesuffix(">")
-        return None if said in ("None", "") else int(said)
-
     def run(batches):
         for batch in batches:
             for archive, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows = []
-                for what, start, stop, fields, _ in read(raw.as_py()):
+                for what, start, stop, fields, block in read(raw.as_py()):
                     if what == "gap":
                         rows.append((archive, start, stop, None, None, None, None, None, fields))
                     else:
-                        rows.append((archive, start, stop, number(fields["warc-record-id"]), int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:"), fields["warc-type"], number(fields.get("warc-refers-to", "")), None))
+                        rows.append((archive, start, stop, *_described(fields, block), None))
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 cols = zip(*rows, strict=True) if rows else [[]] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [c.split()[0] for c in RECORD.split(", ")])
