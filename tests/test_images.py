@@ -140,7 +140,7 @@ def test_lines_and_stamps_go():
     slanted = mask({(x, 10 + x // 2) for x in range(2, 38)}, 40, 40)
     cleaned = I.without_line(glyph | slanted)
     assert (cleaned & slanted & ~I.dilated(glyph, 2)).sum() <= 8 and (cleaned & glyph).sum() >= 0.8 * glyph.sum()
-    edge = mask({(x, 3) for x in range(4, 36)}, 40, 40)
+    edge = mask({(x, 3) for x in range(4, 17)}, 40, 40)
     assert (I.without_stamp(glyph | edge) == glyph).all()
     found = {h["tool"]: h for h in I.hypotheses(glyph | edge)}
     assert (found["stamp_external_artifact_removal"]["mask"] == glyph).all() and found["stamp_external_artifact_removal"]["accepted"]
