@@ -241,3 +241,11 @@ def test_weights_prefer_the_better_estimate():
     cells = [(5 * lm_scoring.GRID**2, 100, 100 * 0.5, 100 * 0.001), (7 * lm_scoring.GRID**2 + 1, 100, 0.0, 100 * 0.01)]
     weights = lm_scoring.learn_weights(cells, 1000)
     assert weights[5][0] > 0.9 and weights[7][1] > 0.9 and (weights[6] == weights[5]).all()
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda sample: seen.extend(lang for lang, _ in sample) or {"families": []})
+    docs = spark.range(230 * 8).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id % 230) AS lang")
+    language_id.learn(docs, docs.doc_id.isNotNull())
+    assert set(collections.Counter(seen).values()) == {language_id.LEAST_ROWS} and len(set(seen)) == 230

@@ -3,16 +3,17 @@ linear support vector machines between the languages of that family.
 
 Features are hashed runs of one to three bytes of the lower-cased text (all that
 is not a letter counts as one space), square-rooted and of unit length. Weights
-are trained in numpy on a sample of at most ``SAMPLE_ROWS`` labelled documents,
-as many of each language; whole texts are read for training and prediction.
+are trained in numpy on a sample of about ``SAMPLE_ROWS`` labelled documents, as
+many of each language and ``LEAST_ROWS`` at least where there are that many; whole texts are read for training and prediction.
 
 Defined cases: a text that is null, empty or without letters is ``und`` with
 score 0; null labels and null doc_ids are not learned from, and a null doc_id is
 not held out; with no label to learn from everything is ``und``; ties go to the
 label that sorts first; equal texts get equal results; other columns are ignored.
 
-Size: the driver gets label counts of at most ``MOST_LABELS`` languages and the
-sample's feature vectors (``SAMPLE_ROWS`` x 16 KB), whatever the input holds.
+Size: the driver gets each label's count and the sample's feature vectors of 16 KB:
+``SAMPLE_ROWS``, or ``LEAST_ROWS`` of each label if that is more. Every label is
+learned, so the sample grows with the number of languages, not with the input.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ from .common import free_name, slices, small_batches, table, utf8_view
 
 DIM = 4096
 SAMPLE_ROWS = 1200
-MOST_LABELS = 200
+#: Sample rows of a language at least, however many there are.
+LEAST_ROWS = 6
 #: Score below which the pipeline's stage rejects a document.
 REJECT = 0.2
 
@@ -143,10 +145,10 @@ def predict(x: np.ndarray, model: dict) -> tuple[list[str], np.ndarray]:
 def learn(docs: DataFrame, may_learn) -> dict:
     """A model from rows of (text, lang, doc_id) where ``may_learn`` holds."""
     labelled = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS).collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().orderBy("lang").collect()}
     if not counts:
         return {"families": []}
-    each = max(1, SAMPLE_ROWS // len(counts))
+    each = max(LEAST_ROWS, SAMPLE_ROWS // len(counts))
     share = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, min(1.0, 1.5 * each / n + 20 / n))])
     luck = F.xxhash64("doc_id", F.lit("language"))
     near = labelled.filter(F.pmod(luck, F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
