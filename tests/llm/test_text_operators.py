@@ -249,3 +249,12 @@ def test_every_language_is_learned(spark, monkeypatch):
     docs = spark.range(230 * 8).selectExpr("id AS doc_id", "concat('text ', id) AS text", "concat('l', id % 230) AS lang")
     language_id.learn(docs, docs.doc_id.isNotNull())
     assert set(collections.Counter(seen).values()) == {language_id.LEAST_ROWS} and len(set(seen)) == 230
+
+
+def test_one_row_of_a_class_is_kept(spark):
+    long = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, long), (1, long), (None, long), (4, "another text of a few words"), (1, "another text of a few words"), (None, "third text with no id at all"), (None, "fourth one with no id either"), (7, long), (8, None), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = sorted(((r.text or "", r.doc_id) for r in near_dedup.keep_first(docs).collect()), key=str)
+    assert kept == sorted([(long, 1), ("another text of a few words", 1), ("third text with no id at all", None), ("fourth one with no id either", None), ("", 8), ("", 8)], key=str)
+    assert {r.class_id for r in near_dedup.classes(docs.filter(docs.text == long)).collect()} == {1}

@@ -20,7 +20,7 @@ bucket is compared in tiles of bounded size that let out links only. So no link
 inside a bucket is lost, and large groups of copies never become all pairs.
 
 Defined cases: null texts and texts without words have a class of their own;
-class_id is the least doc_id of the class (null where all are null); rows with
+class_id is the least doc_id of the class that isn't null (null where all are); rows with
 equal doc_ids are judged by their texts; an empty table gives no rows; further
 columns don't matter.
 """
@@ -234,7 +234,7 @@ def classes(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     keyed = docs.select("doc_id", F.md5("text").alias("key"), "text")
     sketch = store(keyed.mapInArrow(_sketch, "doc_id long, key string, node binary, bands array<long>"), "sketch")
-    nodes = store(sketch.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "key")).alias("rep"), F.any_value("bands").alias("bands")), "nodes", light=True)
+    nodes = store(sketch.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("rep"), F.any_value("bands").alias("bands")), "nodes", light=True)
 
     banded = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", "band", F.xxhash64("band", "hash").alias("bucket"))
     sizes = banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
@@ -292,12 +292,17 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each class: the one with the least doc_id.
-
-    Rows that repeat a kept doc_id stay together."""
-    kept_id = free_name(docs.columns, "kept_id")
-    kept = classes(docs.select(F.col("doc_id").cast("long"), "text")).filter(F.col("class_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias(kept_id)).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)), "left_semi")
+    """``docs`` with one row of each class: the one with the least doc_id, nulls last, and
+    of its rows with equal doc_ids that of the least number. A text without words is a
+    class of its own, row by row."""
+    number, group = free_name(docs.columns, "row_number"), free_name(docs.columns, "class_node")
+    rows = store(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    # the number stands in for the doc_id, so that rows with equal ids are told apart
+    own = F.col("doc_id").cast("long")
+    found = classes(rows.select(F.col(number).alias("doc_id"), "text")).withColumnsRenamed({"doc_id": number, "class_id": group})
+    ids = rows.select(number, own.alias("id"))
+    first = found.join(ids, number).groupBy(group).agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", number)).alias("first"))
+    return rows.join(first.select(F.col(f"first.{number}").alias(number)), number, "left_semi").select(*docs.columns)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
