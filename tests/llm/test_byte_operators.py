@@ -99,6 +99,21 @@ def test_flac_other_subframes():
     assert media.decode([raw])[0][1].ravel().tolist() == [-5] * 192 + x * 3
 
 
+@pytest.mark.parametrize("n", [1, 50, 191])
+def test_flac_short_last_block(n):
+    raw, tail = media.encode([bytes(range(192)) * 3])[0], bytes(range(7, 7 + n))
+    meta = media._header(raw)
+    pcm = bytes(range(192)) * 3 + tail
+    head = np.frombuffer(raw[meta["at"] :][:2] + bytes([0x60 | raw[meta["at"] + 2] & 15, raw[meta["at"] + 3], 3, n - 1]) + bytes(6), np.uint8)[None]
+    frame = head[0, :6].tobytes() + bytes([int(media.crc8(head, np.array([6]))[0]), 2]) + bytes((x - 128) & 255 for x in tail)
+    frame += int(media.crc16(np.frombuffer(frame, np.uint8), np.array([0]), np.array([len(frame)]))[0]).to_bytes(2, "big")
+    word = int.from_bytes(raw[18:26], "big") - meta["samples"] + len(pcm)
+    md5 = hashlib.md5(bytes((x - 128) & 255 for x in pcm)).digest()
+    stream = raw[:18] + word.to_bytes(8, "big") + md5 + raw[42:] + frame
+    _, samples, _ = media.decode([stream])[0]
+    assert b"".join((row + 128).astype(np.uint8).tobytes() for row in samples) == pcm and [len(row) for row in samples] == [192, 192, 192, n]
+
+
 def test_warc_query(spark):
     rows = [(1, "http://a", "same"), (5, "http://b", "same"), (3, None, "same"), (2, "http://c\r\nX: y", "Ü" * 3000), (7, "u", None), (9, "u", ""), (4, "v", "alone")]
     pages = spark.createDataFrame([(a, b, c, 1) for a, b, c in rows], "page_id long, url string, html string, key int").repartition(3)
