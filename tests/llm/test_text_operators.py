@@ -258,3 +258,60 @@ def test_one_row_of_a_class_is_kept(spark):
     kept = sorted(((r.text or "", r.doc_id) for r in near_dedup.keep_first(docs).collect()), key=str)
     assert kept == sorted([(long, 1), ("another text of a few words", 1), ("third text with no id at all", None), ("fourth one with no id either", None), ("", 8), ("", 8)], key=str)
     assert {r.class_id for r in near_dedup.classes(docs.filter(docs.text == long)).collect()} == {1}
+
+
+def test_near_duplicates_in_small_tiles_and_parts(spark, monkeypatch):
+    rng = random.Random(4)
+    base = [say(90, rng) for _ in range(3)]
+    texts = [edited(b, rng.randint(0, 14), rng) for b in base for _ in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(near_dedup, "TILE", 4)
+    monkeypatch.setattr(near_dedup, "PART", 3)
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_classes(texts)
+
+
+def tile_of(texts, labels):
+    """An Arrow table of one tile in which every text is a member and an odd one."""
+    import pyarrow as pa
+
+    data, offsets = near_dedup.utf8_view(pa.array(texts))
+    rows, h, w, _ = near_dedup.bags(data, offsets)
+    best = near_dedup.signatures(rows, h, w, len(texts))
+    n = len(texts)
+    names = [b"%016d" % k for k in range(n)]
+    table = pa.table({"bucket": [1] * n, "x": [0] * n, "y": [0] * n, "band": [0] * n, "node": names, "label": [names[k] for k in labels], "odd": [False] * n, "bands": list(near_dedup.band_hashes(best)), "marks": [m.tobytes() for m in near_dedup.marks(best)], "text": texts})
+    odd = table.set_column(6, "odd", pa.array([True] * n))
+    return pa.concat_tables([table, odd]).combine_chunks().to_batches()
+
+
+def test_a_tile_lets_out_fewer_links_than_classes():
+    rng = random.Random(3)
+    base = say(200, rng)
+    for n in (40, 80):
+        texts = [edited(base, 1, rng) for _ in range(n)]  # every pair is similar
+        links = [r for b in near_dedup._links(tile_of(texts, range(n))) for r in b.to_pylist()]
+        assert len(links) == n - 1
+        links = [r for b in near_dedup._links(tile_of(texts, [0] * (n - 1) + [n - 1])) for r in b.to_pylist()]
+        assert len(links) == 1
+    apart = [say(60, rng) for _ in range(30)]
+    assert not list(near_dedup._survivors(tile_of(apart, range(30)))) and not list(near_dedup._links(tile_of(apart, range(30))))
+
+
+def test_components_by_contraction(spark):
+    rng = random.Random(9)
+    for links in ([(k, k + 1) for k in range(300)], [(500, k) for k in range(400)], [(rng.randrange(300), rng.randrange(300)) for _ in range(180)], []):
+        parent = {x: x for e in links for x in e}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in links:
+            parent[find(a)] = find(b)
+        names = near_dedup.components(spark.createDataFrame(links, "a long, b long"))
+        got = {r.node: r.label for r in names.collect()}
+        loops = {x for x in parent if all(x not in e or e[0] == e[1] for e in links)}
+        assert set(got) == set(parent) - loops
+        assert len({(got[x], find(x)) for x in got}) == len(set(got.values())) == len({find(x) for x in got})

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 256
 #: Bytes of text that the numpy kernels take at once (one longer text is taken alone).
 SLICE_BYTES = 1 << 19
+#: Rows that the numpy kernels take at once.
+MOST_ROWS = 4096
 #: Where this application has stored results.
 _stored: list[str] = []
 
@@ -90,9 +92,10 @@ def utf8_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
-    """Ranges of rows whose texts hold at most ``most`` bytes together, or one row."""
+    """Ranges of MOST_ROWS rows at most whose texts hold ``most`` bytes together, or one row."""
     first, n = 0, len(offsets) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + most, "right")) - 1)
-        yield first, min(last, n)
-        first = min(last, n)
+        last = min(last, first + MOST_ROWS, n)
+        yield first, last
+        first = last
