@@ -206,7 +206,8 @@ def test_language_held_out_accuracy_and_edge_cases(spark):
     assert kept.columns == clash.columns and kept.count() == docs.count() - 3
 
 
-def test_scores_against_brute_force(spark, docs, monkeypatch):
+@pytest.mark.parametrize("limits", [(3000, 900, 7), (300, 20, 2), (100, 10, 3)])  # of one, five and four levels
+def test_scores_against_brute_force(spark, docs, monkeypatch, limits):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     held = [k is not None and zlib.crc32(str(k).encode()) % 7 == 2 for k, _ in rows]
     tokens = [re.findall(r"[^\x20\x09-\x0D]+", lower(t)) + ["\0"] for _, t in rows]
@@ -217,12 +218,10 @@ def test_scores_against_brute_force(spark, docs, monkeypatch):
             two.update(zip(["\1", *t[:-1]], t, strict=True))
     one_of = lambda v: one["\0"] if v == "\1" else one[v]
     n, v = sum(one.values()), len(one)
-    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 3000)
-    monkeypatch.setattr(lm_scoring, "OWNER_TOKENS", 900)
     learned = []
     real = lm_scoring.learn_weights
     monkeypatch.setattr(lm_scoring, "learn_weights", lambda cells, d: learned.append((cells, real(cells, d))) or learned[-1][1])
-    got = lm_scoring.score(docs.select("doc_id", "text", language_id.held_out(7, 2).alias("held_out"))).collect()
+    got = lm_scoring.score(docs.select("doc_id", "text", language_id.held_out(7, 2).alias("held_out")), *limits).collect()
     cells, weights = learned[0]
     assert sum(c[1] for c in cells) == n  # every training token was held out once
     assert np.allclose(weights.sum(axis=1), 1) and (weights >= 0).all()
@@ -315,3 +314,20 @@ def test_components_by_contraction(spark):
         loops = {x for x in parent if all(x not in e or e[0] == e[1] for e in links)}
         assert set(got) == set(parent) - loops
         assert len({(got[x], find(x)) for x in got}) == len(set(got.values())) == len({find(x) for x in got})
+
+
+def test_requests_grow_as_the_chunks(spark):
+    """Each chunk asks in as many rows, however many chunks there are."""
+    rng = np.random.default_rng(1)
+    per = []
+    for n in (4, 16):
+        made = []
+        for k in range(n):
+            words = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 4000))]
+            batch = near_dedup.pa.RecordBatch.from_arrays([near_dedup.pa.array([k]), near_dedup.pa.array([False]), near_dedup.pa.array(words)], ["doc_id", "held_out", "text"])
+            made += [r | {"chunk": k} for b in lm_scoring._chunks(1)([batch]) for r in b.to_pylist()]
+        asked = [r for b in lm_scoring._requests(n, 7)([near_dedup.pa.RecordBatch.from_pylist(made)]) for r in b.to_pylist()]
+        per.append(len(asked) / n)
+        parted = [lm_scoring._spread(2, n, 7)(g) for _, g in lm_scoring.pd.DataFrame(asked).groupby(["kind", "part", "home"])]
+        assert all(len(p) <= 128 for p in parted)
+    assert per == [256, 256]

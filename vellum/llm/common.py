@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -27,6 +28,17 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, key: str, value: str):
+    """The session's setting for what runs inside; the caller's value holds again after."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; a folder of our own only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -48,7 +60,9 @@ def store(df: DataFrame, name: str, light: bool = False) -> DataFrame:
         df = df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
     path = f"{scratch_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
     _stored.append(path)
-    df.write.parquet(path)
+    # nothing reads the shuffle files of this plan once its result is stored
+    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -10,23 +10,24 @@ seen). The weights of each bucket are learned by expectation-maximisation on
 deleted counts: every training token is held out once, from counts without it.
 
 How the counts meet the texts: texts are gathered into chunks of about
-``CHUNK_BYTES``; a chunk sends each of its distinct n-grams once, as a packed
-array of 64-bit hashes with its training counts, to the n-gram's owner among
-partitions of bounded size, and gets the totals back in the same order. A common
-word costs each chunk one entry, so no owner is hot. All tokens of the input take
-part in every step; the driver only gets sums over a fixed grid of cells.
+``CHUNK_BYTES``; a chunk sends each of its distinct n-grams once, as packed arrays
+of 64-bit hashes with its training counts, one array for each of ``FAN`` ranges of
+the hash. While a range would hold more than ``OWNER_TOKENS``, the arrays of FAN
+chunks meet in a task that parts them by the next FAN ranges, so each level has at
+most FAN rows a chunk, however many chunks and ranges there are. The last range's
+owner adds up, and totals go back the same way in the order they were asked. A
+common word costs each chunk one entry, so no owner is hot. All tokens of the input
+take part in every step; the driver only gets sums over a fixed grid of cells.
 
 Defined cases: a null or empty text is its end alone; null doc_ids are not held
-out, so their texts are learned from; repeated rows count as often as they come;
-an empty table gives no rows; without training texts all weight is uniform;
-other columns don't matter.
+out, so their texts are learned from; repeated rows count as often as they come; a
+very long text is a chunk of its own; equal scores are left as they are; an empty
+table gives no rows; without training texts all weight is uniform; other columns
+don't matter.
 """
 
 from __future__ import annotations
 
-import gc
-import time
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,12 +36,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import BATCH_ROWS, discard, slices, small_batches, store, table, utf8_view
+from .common import discard, setting, slices, small_batches, store, table, utf8_view
 from .language_id import held_out
 
 CHUNK_BYTES = 4 << 20
-#: Tokens of the input per owner partition.
-OWNER_TOKENS = 2_000_000
+#: Tokens of the input per owner, and bits of the hash by which a level parts n-grams.
+OWNER_TOKENS, FAN_BITS = 2_000_000, 7
 BUCKETS, GRID, ROUNDS = 34, 96, 60
 END, BEGIN = np.uint64(0x5DEECE66D1234567), np.uint64(0x27BB2EE687B0B0FD)
 
@@ -67,10 +68,10 @@ def _unpack_sorted(raw: bytes) -> np.ndarray:
 CHUNK = "doc_ids array<long>, held binary, sizes binary, vocabulary binary, codes binary, tokens long"
 
 
-def _chunks(batches):
+def _chunks(most: int):
     """Texts as codes into a sorted vocabulary of hashes, many to a row."""
 
-    def flush():
+    def flush(some):
         ids, held = sum((x[0] for x in some), []), np.concatenate([x[1] for x in some])
         sizes, tokens = np.concatenate([x[2] for x in some]).astype(np.uint32), np.concatenate([x[3] for x in some])
         vocabulary, codes = np.unique(tokens, return_inverse=True)
@@ -78,22 +79,25 @@ def _chunks(batches):
         types = [pa.list_(pa.int64()), *[pa.binary()] * 4, pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, types, strict=True)], ["doc_ids", "held", "sizes", "vocabulary", "codes", "tokens"])
 
-    some, size = [], 0
-    for batch in batches:
-        data, offsets = utf8_view(batch.column(2))
-        ids, held = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-        for a, b in slices(offsets):
-            low, own = W.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
-            starts, ends, rows = W.split(low, own, W.NOT_SPACE)
-            bounds = np.searchsorted(rows, np.arange(b - a + 1))
-            tokens = np.insert(W.hashes(low, starts, ends), bounds[1:], END)
-            some.append((ids[a:b], held[a:b], np.diff(bounds) + 1, tokens))
-            size += len(low) + 8 * (b - a)
-            if size >= CHUNK_BYTES:
-                yield flush()
-                some, size = [], 0
-    if some:
-        yield flush()
+    def run(batches):
+        some, size = [], 0
+        for batch in batches:
+            data, offsets = utf8_view(batch.column(2))
+            ids, held = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for a, b in slices(offsets):
+                low, own = W.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
+                starts, ends, rows = W.split(low, own, W.NOT_SPACE)
+                bounds = np.searchsorted(rows, np.arange(b - a + 1))
+                tokens = np.insert(W.hashes(low, starts, ends), bounds[1:], END)
+                some.append((ids[a:b], held[a:b], np.diff(bounds) + 1, tokens))
+                size += len(low) + 8 * (b - a)
+                if size >= most:
+                    yield flush(some)
+                    some, size = [], 0
+        if some:
+            yield flush(some)
+
+    return run
 
 
 def _bigrams(vocabulary: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -111,39 +115,118 @@ def _opened(row: dict):
     return _unpack_sorted(row["vocabulary"]), _unpack(row["codes"], np.uint32).astype(np.int64), sizes, held
 
 
-def _requests(owners: int):
+def home(chunks: np.ndarray, level: int, many: int, bits: int) -> np.ndarray:
+    """The group in which chunks meet at a level; groups of one level stay together at the next."""
+    group = np.asarray(chunks).astype(np.uint64)
+    for k in range(2, level + 1):
+        group = W.mix(group + np.uint64(k)) % np.uint64(max(1, -(-many >> bits * (k - 1))))
+    return group.astype(np.int64)
+
+
+ASKED = "part long, kind int, home long, members array<long>, sizes binary, grams binary, counts binary"
+
+
+def _requests(many: int, bits: int):
+    """Of each chunk and range its n-grams in order, with their training counts."""
+
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 vocabulary, codes, sizes, held = _opened(row)
                 learned = np.repeat(~held, sizes)
                 grams, inverse = np.unique(_bigrams(vocabulary, codes, sizes), return_inverse=True)
-                for kind, keys, at in ((1, vocabulary, codes), (2, grams, inverse)):
-                    counts = np.bincount(at[learned], minlength=len(keys)).astype(np.uint32)
-                    cut = np.searchsorted(keys, np.array([(k << 64) // owners for k in range(1, owners)], np.uint64))
-                    parts = list(zip(np.split(keys, cut), np.split(counts, cut), strict=True))
-                    made = [pa.array([k for k in range(owners)], pa.int32()), pa.array([kind] * owners, pa.int32()), pa.array([row["chunk"]] * owners, pa.int64()), pa.array([_pack_sorted(k) for k, _ in parts], pa.binary()), pa.array([_pack(c) for _, c in parts], pa.binary())]
-                    yield pa.RecordBatch.from_arrays(made, ["owner", "kind", "chunk", "grams", "counts"])
+                at = int(home([row["chunk"]], 2, many, bits)[0])
+                out = []
+                for kind, keys, where in ((1, vocabulary, codes), (2, grams, inverse)):
+                    counts = np.bincount(where[learned], minlength=len(keys)).astype(np.uint32)
+                    bounds = [0, *np.searchsorted(keys >> np.uint64(64 - bits), np.arange(1, 1 << bits, dtype=np.uint64)).tolist(), len(keys)]
+                    for part, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                        if b > a:
+                            out.append((part, kind, at, [row["chunk"]], _pack(np.array([b - a], np.uint32)), _pack_sorted(keys[a:b]), _pack(counts[a:b])))
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 3)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], _names(ASKED))
 
     return run
 
 
-RESPONSE = "owner int, kind int, chunk long, totals binary, distinct long, learned long"
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
 
+def _joined(rows: pd.DataFrame, column: str, kind):
+    """The arrays of all rows one after another, and the member of each entry."""
+    sizes = np.concatenate([_unpack(x, np.uint32) for x in rows["sizes"]]).astype(np.int64)
+    values = np.concatenate([_unpack(x, kind) if kind else _unpack_sorted(x) for x in rows[column]])
+    return values, np.repeat(np.arange(len(sizes)), sizes), len(sizes)
 
-def _own(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Totals of the n-grams of one owner, for each chunk in the order it asked."""
-    out = []
-    for kind, rows in pdf.groupby("kind"):
-        keys = [_unpack_sorted(x) for x in rows["grams"]]
-        counts = np.concatenate([_unpack(x, np.uint32) for x in rows["counts"]])
-        each, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(inverse, counts, len(each)).astype(np.uint64)
-        distinct, learned = int((totals > 0).sum()), int(totals.sum())
-        for chunk, part in zip(rows["chunk"], np.split(inverse, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
-            out.append((int(rows["owner"].iloc[0]), int(kind), int(chunk), _pack(totals[part]), distinct, learned))
-            distinct = learned = 0
-    return pd.DataFrame(out, columns=[c.split()[0] for c in RESPONSE.split(", ")])
+
+def _spread(level: int, many: int, bits: int):
+    """One range's arrays of a group of chunks, parted by the ranges of the next level."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        members = np.concatenate([np.asarray(m, np.int64) for m in pdf["members"]])
+        keys, member, n = _joined(pdf, "grams", None)
+        counts = np.concatenate([_unpack(x, np.uint32) for x in pdf["counts"]])
+        sub = ((keys >> np.uint64(64 - bits * level)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+        order = np.argsort(sub, kind="stable")
+        bounds = np.searchsorted(sub[order], np.arange((1 << bits) + 1))
+        part, kind = int(pdf["part"].iloc[0]), int(pdf["kind"].iloc[0])
+        up = int(home(members[:1], level + 1, many, bits)[0])
+        out = []
+        for q, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            if b > a:
+                at = order[a:b]
+                out.append(((part << bits) | q, kind, up, members, _pack(np.bincount(member[at], minlength=n).astype(np.uint32)), _pack_sorted(keys[at]), _pack(counts[at])))
+        return pd.DataFrame(out, columns=_names(ASKED))
+
+    return run
+
+
+TOLD = "part long, kind int, home long, members array<long>, sizes binary, totals binary, distinct long, learned long"
+
+
+def _own(level: int, many: int, bits: int):
+    """Totals of the n-grams of one range, for each request in its order."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for kind, rows in pdf.groupby("kind"):
+            keys = [_unpack_sorted(x) for x in rows["grams"]]
+            counts = np.concatenate([_unpack(x, np.uint32) for x in rows["counts"]])
+            each, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            totals = np.bincount(inverse, counts, len(each)).astype(np.uint64)
+            distinct, learned = int((totals > 0).sum()), int(totals.sum())
+            for row, part in zip(rows.itertuples(), np.split(inverse, np.cumsum([len(k) for k in keys])[:-1]), strict=True):
+                at = int(home(row.members[:1], level, many, bits)[0])
+                out.append((row.part, int(kind), at, row.members, row.sizes, _pack(totals[part]), distinct, learned))
+                distinct = learned = 0
+        return pd.DataFrame(out, columns=_names(TOLD))
+
+    return run
+
+
+def _gathered(level: int, many: int, bits: int):
+    """Totals of a group of chunks from the ranges of a level, as the level before asked."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        members = np.asarray(pdf["members"].iloc[0], np.int64)
+        totals, at, _ = _joined(pdf, "totals", np.uint64)
+        member = at % len(members)  # every row has all members of the group, in one order
+        group = home(members, level - 1, many, bits)
+        part, kind = int(pdf["part"].iloc[0]) >> bits, int(pdf["kind"].iloc[0])
+        order = np.argsort(member, kind="stable")
+        sizes = np.bincount(member, minlength=len(members))
+        ends = np.cumsum(sizes)
+        out, k = [], 0
+        while k < len(members):  # a group of the level before is a run of members
+            last = k + int(np.argmax(np.append(group[k:] != group[k], True)))
+            own = totals[order[ends[k] - sizes[k] : ends[last - 1]]]
+            out.append((part, kind, int(group[k]), members[k:last], _pack(sizes[k:last].astype(np.uint32)), _pack(own), 0, 0))
+            k = last
+        return pd.DataFrame(out, columns=_names(TOLD))
+
+    return run
 
 
 COUNTED = "doc_ids array<long>, held binary, sizes binary, codes binary, words binary, pairs binary"
@@ -155,14 +238,14 @@ def _counted(batches):
         for row in batch.to_pylist():
             vocabulary, codes, sizes, _ = _opened(row)
             by = {1: [], 2: []}
-            for part in sorted(row["parts"], key=lambda x: (x["kind"], x["owner"])):
+            for part in sorted(row["parts"], key=lambda x: x["part"]):
                 by[part["kind"]].append(_unpack(part["totals"], np.uint64))
             inverse = np.unique(_bigrams(vocabulary, codes, sizes), return_inverse=True)[1]
             pairs = np.concatenate(by[2])[inverse]
             end = np.concatenate(by[1])
             made = [[row["doc_ids"]], [row["held"]], [row["sizes"]], [row["codes"]], [_pack(end)], [_pack(pairs)]]
             types = [pa.list_(pa.int64()), *[pa.binary()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, types, strict=True)], [c.split()[0] for c in COUNTED.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, types, strict=True)], _names(COUNTED))
 
 
 def _token_counts(row: dict, ends: int):
@@ -249,47 +332,38 @@ def _scored(total: int, distinct: int, ends: int, weights: np.ndarray):
                 first = np.cumsum(sizes) - sizes
                 made = [row["doc_ids"], held, sizes, np.add.reduceat((word > 0).astype(np.int64), first), [total] * len(sizes), np.add.reduceat(base, first), np.add.reduceat(np.log10(p), first)]
                 types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, types, strict=True)], [c.split()[0] for c in SCORED.split(", ")])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, types, strict=True)], _names(SCORED))
 
     return run
 
 
-def _settle(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of finished steps now, not at some later GC."""
-    for _ in range(2):  # the first round only lets go of what Python held
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.7)
-
-
-def score(docs: DataFrame) -> DataFrame:
+def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, owner_tokens: int = OWNER_TOKENS, bits: int = FAN_BITS) -> DataFrame:
     """One row per document of (doc_id, text, held_out): see SCORED."""
     spark = docs.sparkSession
     small_batches(spark)
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    chunks = store(docs.select("doc_id", "held_out", "text").mapInArrow(_chunks, CHUNK).select(F.monotonically_increasing_id().alias("chunk"), "*"), "chunks")
-    tokens = chunks.agg(F.sum("tokens")).first()[0] or 0
-    owners = max(1, -(-tokens // OWNER_TOKENS))
-    spark.conf.set(rows, "1")  # a row is a whole chunk
-    try:
-        asked = chunks.select("chunk", "sizes", "held", "vocabulary", "codes").mapInArrow(_requests(owners), "owner int, kind int, chunk long, grams binary, counts binary")
-        told = store(asked.repartition(owners, "owner").groupBy("owner").applyInPandas(_own, RESPONSE), "totals")
-        del asked
-        _settle(spark)
+    chunks = store(docs.select("doc_id", "held_out", "text").mapInArrow(_chunks(chunk_bytes), CHUNK).select(F.monotonically_increasing_id().alias("chunk"), "*"), "chunks")
+    many, tokens = chunks.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
+    owners = max(1, -(-tokens // owner_tokens))
+    levels = max(1, -(-(owners - 1).bit_length() // bits))
+    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1"):  # a row is a whole chunk
+        asked = chunks.select("chunk", "sizes", "held", "vocabulary", "codes").mapInArrow(_requests(many, bits), ASKED)
+        for level in range(2, levels + 1):
+            asked = asked.groupBy("kind", "part", "home").applyInPandas(_spread(level, many, bits), ASKED)
+        told = store(asked.repartition(owners, "part").groupBy("part").applyInPandas(_own(levels, many, bits), TOLD), "totals")
         distinct, total = told.filter("kind = 1").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("learned"), F.lit(0))).first()
         ends = docs.filter(~F.col("held_out")).count()
-        parts = told.groupBy("chunk").agg(F.collect_list(F.struct("kind", "owner", "totals")).alias("parts"))
+        answers = told
+        for level in range(levels, 1, -1):
+            answers = answers.withColumn("above", F.shiftright("part", bits)).groupBy("kind", "above", "home").applyInPandas(_gathered(level, many, bits), TOLD)
+        parts = answers.groupBy(F.col("home").alias("chunk")).agg(F.collect_list(F.struct("kind", "part", "totals")).alias("parts"))
         counted = store(chunks.drop("tokens").join(parts, "chunk").drop("chunk").mapInArrow(_counted, COUNTED), "counted")
         for df in (chunks, told):
             discard(df)
-        _settle(spark)
         cells = counted.mapInArrow(_deleted(total, ends), "cell long, n long, p2 double, p1 double")
         sums = cells.groupBy("cell").agg(F.sum("n"), F.sum("p2"), F.sum("p1")).collect()  # at most BUCKETS * GRID * GRID
         weights = learn_weights([tuple(r) for r in sums], distinct)
         out = store(counted.mapInArrow(_scored(total, distinct, ends, weights), SCORED), "scores")
         discard(counted)
-    finally:
-        spark.conf.set(rows, str(BATCH_ROWS))
     return out
 
 
