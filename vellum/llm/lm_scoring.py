@@ -41,7 +41,7 @@ from .language_id import held_out
 
 CHUNK_BYTES = 4 << 20
 #: Tokens of the input per owner, and bits of the hash by which a level parts n-grams.
-OWNER_TOKENS, FAN_BITS = 4_000_000, 11
+OWNER_TOKENS, FAN_BITS = 4_000_000, 9
 BUCKETS, GRID, ROUNDS = 34, 96, 60
 END, BEGIN = np.uint64(0x5DEECE66D1234567), np.uint64(0x27BB2EE687B0B0FD)
 
