@@ -1,18 +1,20 @@
 """License scans by conditional compression.
 
 A candidate block is what stands within ``REACH`` words of a licensing word,
-whatever the lines. In a block the places of every template are looked for: stretches that hold
-the template's words in order, with at most ``MISSING`` of them missing or replaced
-and every word that tells the license from its versions (numbers and codes)
-present; line feeds, indents and comment marks are no words. Each place, its lines
-joined, is compressed on its own and with each such template as a raw
-zstandard dictionary; of places that overlap, the one that gets smallest by its
-template is the license that stands there.
+whatever the lines. A block, its lines joined (line feeds, indents and comment marks
+are no words), is compressed on its own and with each template as a raw zstandard
+dictionary, and templates are ranked by the bytes saved. From the best down to the
+last that saves any, the exact wording decides: a place is a stretch that holds the
+template's words in order, with at most ``MISSING`` of them missing or replaced and
+every word that tells the license from its versions (numbers and codes) present. Of
+places that overlap, the one whose own text its template shrinks most is the license
+that stands there.
 
 Defined cases: null and empty texts have no blocks; a tie in size goes to the
 template with fewer differences, then to the name that sorts first; equal texts
 get equal rows; each place in a block is a row, so a block with several licenses
-has several; other columns don't matter. No step shuffles, and a worker holds one
+has several; very long texts are read through block by block, as a whole; null
+doc_ids stay null; other columns don't matter. No step shuffles, and a worker holds one
 batch.
 """
 
@@ -39,6 +41,7 @@ TEMPLATES = {
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -51,9 +54,19 @@ TEMPLATES = {
     "GPL-2.0": [
         "This work is licensed under the GNU General Public License, version 2.",
     ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ],
+    "Zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    ],
+    "BSD-2-Clause": [
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS",
+    ],
     "BSD-3-Clause": [
         "Licensed under the BSD 3-Clause License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -125,7 +138,8 @@ def blocks(text: str) -> Iterator[list[tuple[str, int, int]]]:
 
 def places(template: list[str], said: list[str]) -> list[tuple[int, int, int]]:
     """(differences, first word, word after the last) of a template's places in a block,
-    apart from each other: fewest differences first, then the shortest."""
+    apart from each other: fewest differences first, then the shortest. A word that is
+    missing, added or replaced is one difference."""
     n, most = len(template), int(MISSING * len(template))
     price = [most + 1 if w in _CODES or w.isdigit() else 1 for w in template]
     there = set(said)
@@ -140,9 +154,8 @@ def places(template: list[str], said: list[str]) -> list[tuple[int, int, int]]:
         extra = most + 1 if w in _CODES else 1
         corner, best[0] = (0, -j), (0, -j - 1)
         for i in range(1, n + 1):
-            cost, start = min((best[i][0] + extra, best[i][1]), (best[i - 1][0] + price[i - 1], best[i - 1][1]))
-            if template[i - 1] == w:
-                cost, start = min((cost, start), corner)
+            other = 0 if template[i - 1] == w else max(price[i - 1], extra)
+            cost, start = min((best[i][0] + extra, best[i][1]), (best[i - 1][0] + price[i - 1], best[i - 1][1]), (corner[0] + other, corner[1]))
             corner, best[i] = best[i], (cost, start)
         if best[n][0] <= most:
             ends.append((best[n][0], j + 1 + best[n][1], -best[n][1], j + 1))
@@ -183,11 +196,17 @@ def judge_block(text: str, block: list[tuple[str, int, int]]) -> list[tuple]:
     that stands in a block, in order of place."""
     made, plain = _compressors()
     said = [w for w, _, _ in block]
+
+    def raw(a: int, b: int) -> bytes:
+        return _FOLD.sub(" ", text[block[a][1] : block[b - 1][2]]).lower().encode("utf-8", "surrogatepass")
+
+    whole = raw(0, len(block))
+    alone = len(plain.compress(whole))
+    ranked = sorted((len(compressor.compress(whole)) - alone, k) for k, (_, _, compressor) in enumerate(made))
     found = []
-    for name, template, compressor in made:
+    for name, template, compressor in (made[k] for size, k in ranked if size < 0):
         for cost, a, b in places(template, said):
-            raw = _FOLD.sub(" ", text[block[a][1] : block[b - 1][2]]).lower().encode("utf-8", "surrogatepass")
-            found.append((len(compressor.compress(raw)) - len(plain.compress(raw)), cost, name, a, b, template))
+            found.append((len(compressor.compress(raw(a, b))) - len(plain.compress(raw(a, b))), cost, name, a, b, template))
     out: list[tuple] = []
     for size, _, name, a, b, template in sorted(found):
         if all(b <= x or y <= a for x, y, *_ in out):

@@ -11,7 +11,8 @@ Defined cases: null html is an empty payload; payloads are compared by their
 bytes, of equal ones the row with the greatest page_id is the response (rows that
 repeat this id all are; null ids only where there is no other) and the others are
 revisits that refer to it; payloads smaller than ``at_least`` are all
-responses; null urls are written as an empty target; an empty table gives no
+responses; archives of equal size are kept apart by number; very long payloads are
+records of their own size; null urls are written as an empty target; an empty table gives no
 rows; other columns are ignored.
 
 Size: ids are combined per digest before they are shuffled; payloads meet them in
@@ -33,6 +34,8 @@ from .common import small_batches, store, table
 
 #: Bytes of an archive, about; one record may be longer.
 ARCHIVE_BYTES = 4 << 20
+#: Compressed bytes that are looked at together.
+STEP = 1 << 14
 _VERSION = b"WARC/1.1\r\n"
 _GZIP = b"\x1f\x8b\x08"
 DATE = "2000-01-01T00:00:00Z"
@@ -80,16 +83,17 @@ def _page(said: str):
 def _described(fields: dict, block: bytes) -> tuple:
     """Page, payload length, payload digest, type and page referred to of a record.
 
-    What only this module writes is taken from the block where it is absent; a revisit
-    of another archive has no length or digest unless it states them."""
+    A response's length and digest are those of the block that was read; a revisit has
+    no payload, so they are what it states, or null."""
     kind, length, said = fields.get("warc-type"), fields.get("x-payload-length"), fields.get("warc-payload-digest")
     if not kind or not fields.get("warc-record-id"):
         raise Damage("a record without type or id")
     if length is not None and not (length.isdecimal() and length.isascii() and len(length) < 19):
         raise Damage("the payload's length is malformed")
-    own = None if kind == "revisit" else block
-    size = int(length) if length is not None else None if own is None else len(own)
-    hashed = said.removeprefix("sha1:") if said else None if own is None else digest(own)
+    if kind != "revisit":
+        size, hashed = len(block), digest(block)
+    else:
+        size, hashed = int(length) if length is not None else None, said.removeprefix("sha1:") if said else None
     return _page(fields["warc-record-id"]), size, hashed, kind, _page(fields.get("warc-refers-to", ""))
 
 
@@ -120,14 +124,16 @@ def parse(raw: bytes, at: int = 0) -> tuple[dict, bytes, int]:
 
 def _member(raw: bytes, at: int) -> tuple[bytes, int]:
     """The data of the gzip member at ``at``, its CRC checked, and where it ends."""
-    z = zlib.decompressobj(31)
+    z, parts, end = zlib.decompressobj(31), [], at
     try:
-        data = z.decompress(memoryview(raw)[at:])
+        while not z.eof and end < len(raw):  # by steps, as what is left over gets copied
+            parts.append(z.decompress(raw[end : end + STEP]))
+            end += STEP
     except zlib.error as e:
         raise Damage(str(e)) from e
     if not z.eof:
         raise Damage("the member ends early")
-    return data, len(raw) - len(z.unused_data)
+    return b"".join(parts), min(end, len(raw)) - len(z.unused_data)
 
 
 def read(raw: bytes):
