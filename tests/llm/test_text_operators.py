@@ -72,6 +72,12 @@ def test_decontamination_in_blocks_equals_one_block(spark, docs, monkeypatch):
     assert sorted(map(tuple, decontamination.judge(spark, docs, bench).collect()), key=str) == whole
 
 
+def test_decontamination_index_is_bounded():
+    for texts in ([say(9000)], ["a b " * 20000], ["word"] * 3000, ["x " * k for k in range(1, 12)] * 50, [None, "", "!"]):
+        index = decontamination._Index(list(enumerate(texts)), 10)
+        assert index.nbytes() <= decontamination.BYTES_PER_CHAR * sum(len((t or "").encode()) + 1 for t in texts) + (1 << 20) * len(index.by_length) + 8 * len(texts)
+
+
 def test_decontamination_cuts_spans_and_keeps_clean_documents(spark):
     passage = say(20)
     docs = spark.createDataFrame(rows_of([BASE[1], f"alpha beta {say(60)} {passage} gamma", passage]), DOCS)

@@ -48,12 +48,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def store(df: DataFrame, name: str, light: bool = False) -> DataFrame:
+def store(df: DataFrame, name: str, light: bool = False, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The copy cuts the lineage: executors lost later only cost their own tasks.
     ``light``: rows are ids and numbers, so an eighth of the shuffle's partitions
-    suffices; each file costs a process and a directory entry.
+    suffices; each file costs a process and a directory entry. ``by``: a column that
+    names the folder of a row, so that a filter on it reads only its own files.
     """
     spark = df.sparkSession
     if light:
@@ -62,7 +63,7 @@ def store(df: DataFrame, name: str, light: bool = False) -> DataFrame:
     _stored.append(path)
     # nothing reads the shuffle files of this plan once its result is stored
     with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

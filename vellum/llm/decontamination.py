@@ -10,9 +10,13 @@ them; null item ids are ignored; an empty benchmark leaves everything clean;
 columns of the input that clash with added ones are kept and the added one gets
 leading underscores.
 
-Size: items reach the tasks in blocks of at most ``BLOCK_CHARS`` characters, so
-what is broadcast is bounded whatever the size of the benchmark. Each block is
-one more narrow step in the same scan, and no step shuffles.
+Very long texts are judged as a whole, alone in their kernel call.
+
+Size: items reach the tasks in blocks of at most ``BLOCK_CHARS`` characters (a longer
+item is a block of its own), as arrays of at most ``BYTES_PER_CHAR`` bytes a
+character and 1 MB for each window length. A worker holds one block: where there are
+more, the documents with what is marked so far are stored between two of them. No
+step shuffles.
 """
 
 from __future__ import annotations
@@ -26,53 +30,62 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import free_name, slices, small_batches, table, utf8_view
+from .common import discard, free_name, slices, small_batches, store, table, utf8_view
 
 WINDOW = 10
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 4 << 20
+#: A word has a character and a blank or more; it takes 8 bytes of hash and four numbers.
+BYTES_PER_CHAR = 16
 #: A document with at least this share of hit words goes; else its hit spans go.
 DROP_SHARE = 0.5
 
 
 class _Index:
-    """Windows of one block of items: sorted hashes by window length, words to verify."""
+    """Windows of one block of items: sorted hashes by window length with the place of the
+    words to verify and the item."""
 
     def __init__(self, items, n: int):
-        self.by_length: dict[int, dict[int, list]] = {}
         texts = [(i, t) for i, t in items if i is not None and t]
+        self.ids = np.array([i for i, _ in texts], np.int64)
         data, offsets = utf8_view(pa.array([t for _, t in texts], pa.string()))
         low = W.LOWER[data]
         starts, ends, rows = W.split(low, offsets, W.WORD)
         hashed = W.hashes(low, starts, ends)
-        for row, (item, _) in enumerate(texts):
-            a, b = np.searchsorted(rows, row), np.searchsorted(rows, row, "right")
-            if a == b:
-                continue
-            length = min(n, b - a)
-            said = [low[s:e].tobytes() for s, e in zip(starts[a:b], ends[a:b], strict=True)]
-            found = self.by_length.setdefault(length, {})
-            for k, h in enumerate(W.windows(hashed[a:b], length).tolist()):
-                found.setdefault(h, []).append((tuple(said[k : k + length]), item))
-        self.sorted = {k: np.array(sorted(v), np.uint64) for k, v in self.by_length.items()}
-        self.maps = {}
-        for k, v in self.sorted.items():
-            self.maps[k] = np.zeros(1 << 20, bool)
-            self.maps[k][(v & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        # words one blank apart, so that a window is one run of bytes
+        size = ends - starts
+        self.starts = (np.cumsum(size + 1) - size - 1).astype(np.int32)
+        self.ends = (self.starts + size).astype(np.int32)
+        self.said = np.full(int(size.sum() + len(size)), 32, np.uint8)
+        rank = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        self.said[np.repeat(self.starts, size) + rank] = low[np.repeat(starts, size) + rank]
+        words = np.bincount(rows, minlength=len(texts))
+        self.by_length = {}
+        for length in np.unique(np.minimum(words[words > 0], n)).tolist():
+            h = W.windows(hashed, length)
+            fits = np.minimum(words, n) == length
+            first = np.flatnonzero((rows[: len(h)] == rows[length - 1 :]) & fits[rows[: len(h)]])
+            first = first[np.argsort(h[first], kind="stable")]
+            seen = np.zeros(1 << 20, bool)
+            seen[(h[first] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            self.by_length[length] = (h[first], first.astype(np.int32), rows[first].astype(np.int32), seen)
+
+    def nbytes(self) -> int:
+        own = (self.ids, self.starts, self.ends, self.said)
+        return sum(x.nbytes for x in (*own, *(y for z in self.by_length.values() for y in z)))
 
     def scan(self, low, starts, ends, rows, hashed):
         """Yields (first word, length, items) of each verified occurrence."""
-        for length, wanted in self.sorted.items():
+        for length, (wanted, first, item, seen) in self.by_length.items():
             h = W.windows(hashed, length)
             if not len(h):
                 continue
-            maybe = self.maps[length][(h & np.uint64((1 << 20) - 1)).astype(np.int64)] & (rows[: len(h)] == rows[length - 1 :])
-            at = np.flatnonzero(maybe)
-            place = np.minimum(np.searchsorted(wanted, h[at]), len(wanted) - 1)
-            for i in at[wanted[place] == h[at]].tolist():
-                said = tuple(low[s:e].tobytes() for s, e in zip(starts[i : i + length], ends[i : i + length], strict=True))
-                items = [item for w, item in self.by_length[length][int(h[i])] if w == said]
-                if items:
-                    yield i, length, items
+            at = np.flatnonzero(seen[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] & (rows[: len(h)] == rows[length - 1 :]))
+            lower, upper = np.searchsorted(wanted, h[at]), np.searchsorted(wanted, h[at], "right")
+            for i, x, y in zip(at[lower < upper].tolist(), lower[lower < upper].tolist(), upper[lower < upper].tolist(), strict=True):
+                said = b" ".join(low[s:e].tobytes() for s, e in zip(starts[i : i + length], ends[i : i + length], strict=True))
+                same = [k for k in range(x, y) if self.said[self.starts[first[k]] : self.ends[first[k] + length - 1]].tobytes() == said]
+                if same:
+                    yield i, length, set(self.ids[item[same]].tolist())
 
 
 def _blocks(benchmark: DataFrame):
@@ -99,6 +112,10 @@ def mark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = WI
     before = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]
     at, text_at, out = len(before), docs.columns.index("text"), docs
     for nth, block in enumerate(_blocks(benchmark.select("item_id", "text"))):
+        if nth:
+            last, out = out, store(out, "marked")
+            discard(last)
+            shared.unpersist()
         shared, first = spark.sparkContext.broadcast(_Index(block, n)), nth == 0
 
         def run(batches, shared=shared, first=first):

@@ -12,12 +12,14 @@ The list of the query: hosts with more than half of their pages blocked by rules
 
 Defined cases: a null url, or one without ``://``, has an empty host and path,
 which no rule fits and no list holds (allow); repeated rows are judged one by
-one; an empty table gives no rows; an empty list allows all; other columns are
-ignored, and names that clash are not used.
+one; rules that fit with equal length are one host and path, so they don't tie; a very
+long url is judged as a whole; an empty table gives no rows; an empty list allows
+all; other columns are ignored, and names that clash are not used.
 
 Size: hosts are counted with map-side combination. A filter takes ``BITS`` bits a
 key and travels with the tasks as one value; beyond ``MOST_BITS`` the hosts are
-split by hash into shards that are judged in blocks, each with a cascade of its own.
+split by hash into shards, each with a cascade of its own; hosts and pages are then
+stored by shard once, so that each row is read once more, whatever their number.
 """
 
 from __future__ import annotations
@@ -109,13 +111,18 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     counts = parsed.filter("host <> ''").groupBy(F.col("host").alias("key")).agg(F.count("*").alias("n"), F.count_if(F.col("ruled") == "block").alias("blocked"))
     universe = store(counts.select("key", (F.col("blocked") * 2 > F.col("n")).alias("listed")), "hosts")
     shards = max(1, -(-universe.count() * BITS // MOST_BITS))
-    shard = lambda c: F.pmod(F.xxhash64(c, F.lit("shard")), F.lit(shards))
+    if shards > 1:  # each shard then reads its own rows alone
+        shard = lambda c: F.pmod(F.xxhash64(c, F.lit("shard")), F.lit(shards)).cast("int").alias("shard")
+        spread = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
+        universe = store(universe.select("*", shard("key")).repartition("shard"), "hosts-by-shard", by="shard")
+        salted = parsed.select("*", shard("host")).repartition("shard", F.pmod(F.xxhash64("page_id"), F.lit(spread)))
+        parsed = store(salted, "pages-by-shard", by="shard")
     out = []
     for k in range(shards):
-        cascade = Cascade(universe.filter(shard(F.col("key")) == k) if shards > 1 else universe, f"cascade-{k}")
-        block = parsed.filter(shard(F.col("host")) == k) if shards > 1 else parsed
+        own = (lambda df: df.filter(F.col("shard") == k)) if shards > 1 else (lambda df: df)  # noqa: B023
+        cascade = Cascade(own(universe), f"cascade-{k}")
         listed = (F.col("host") != "") & cascade.holds(F.col("host"))
-        out.append(block.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(listed, "block").otherwise("allow")).alias("verdict")))
+        out.append(own(parsed).select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(listed, "block").otherwise("allow")).alias("verdict")))
     return reduce(DataFrame.unionByName, out)
 
 
