@@ -132,6 +132,46 @@ def test_genetic_steps_keep_every_piece():
     assert max(p.score for p in population) >= first
 
 
+def test_genetic_steps_beat_best_fit():
+    """Where best fit leaves room, crossover saves sequences."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        lengths = [rng.randint(500, 1100) for _ in range(600)]
+        population = packing.first_packings(lengths, 2048, rng, 4)
+        first = min(len(p.bins) for p in population)
+        evolved = packing.evolve(population, lengths, 2048, rng, 60)
+        assert len(evolved[0].bins) < first
+        assert sorted(i for b in evolved[0].bins for i in b) == list(range(600))
+
+
+def test_elites_migrate_between_islands(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(k, k, 0, 0, rng.randint(500, 1100), 0) for k in range(500)]
+    states, real = [], packing.store
+    monkeypatch.setattr(packing, "store", lambda df, name, **kw: states.append(real(df, name, **kw)) or states[-1])
+    packed = packing.pack_rests(spark.createDataFrame(rows, packing.PIECE), 2048, 3, 0)
+    sequences = packed.select("sequence").distinct().count()
+    best = [{r.island: (-r.n_bins, r.score) for r in s.collect()} for s in states]
+    assert len(best) == 3
+    for before, after in zip(best[:-1], best[1:], strict=True):
+        for island in before:  # an island holds what its neighbour sent, or better
+            assert after[island] >= max(before[island], before[(island - 1) % packing.ISLANDS])
+    assert sequences == -max(x for x in best[-1].values())[0]
+    assert packed.groupBy("sequence").sum("length").agg({"sum(length)": "max"}).first()[0] <= 2048
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_packing_by_other_tokenizers(spark, docs, name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    tokenizer = Tokenizer.from_file(path)
+    assert packing._cuts_safely(tokenizer) == (name == "word_bpe_49k.json")
+    got = collections.Counter((r.doc_id, r.length) for r in packing.pack(spark, docs.filter("doc_id < 20 or doc_id > 60"), path).filter("piece = 0").collect())
+    want = collections.Counter((r.doc_id, min(2048, len(tokenizer.encode(r.text or "", add_special_tokens=False).ids) + 1)) for r in docs.filter("doc_id < 20 or doc_id > 60").collect())
+    assert got == want
+
+
 def bag(text):
     w = words(text)
     return collections.Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else None

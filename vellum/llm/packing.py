@@ -12,7 +12,9 @@ another round.
 
 Defined cases: null and empty texts are one piece that holds the end id; null
 doc_ids and repeated rows are pieces like any other; an empty table gives no
-rows; columns beside doc_id and text are ignored. A sequence's pieces follow one
+rows; columns beside doc_id and text are ignored; very long texts are tokenised as a
+whole; pieces of equal length go in order of their number, packings of equal score in
+order of their island. A sequence's pieces follow one
 another without gaps from offset 0.
 
 Size: the only shuffles deal out rows of a few numbers a piece; a task holds one
@@ -22,6 +24,7 @@ shard. Shards, epochs and islands don't depend on the data beyond their count.
 from __future__ import annotations
 
 import bisect
+import json
 import random
 import zlib
 
@@ -39,7 +42,7 @@ CAPACITY = 2048
 SHARD = 4096
 ISLANDS = 3
 EPOCHS = 2
-GENERATIONS = 6
+GENERATIONS = 30
 POPULATION = 4
 #: Sequences filled less than this are taken apart and meet those of other shards.
 WELL_FILLED = 0.97
@@ -60,6 +63,35 @@ def _letters_only(word: str) -> bool:
     return word.isalpha() and word.lower().isalpha()
 
 
+def _cuts_safely(tokenizer) -> bool:
+    """Whether a tokenizer's settings are those that ``Words`` relies on."""
+    said = json.loads(tokenizer.to_str())
+    model = said["model"]
+    rules = (said["normalizer"], said["pre_tokenizer"], said["post_processor"], [t["content"] for t in said["added_tokens"]])
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    return rules == (NORMAL, SPLIT, None, SPECIAL) and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and plain
+
+
+# The settings of word_bpe_49k.json.
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+SPECIAL = ["<|startoftext|>", "<|endoftext|>"]
+
+
+class Texts:
+    """Ids of whole texts by any tokenizer, without special tokens."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        raw = data.tobytes()
+        return [np.array(self.tokenizer.encode(raw[a:b].decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+
+
 class Words:
     """Ids of words by the tokenizer, without special tokens, each word once.
 
@@ -70,10 +102,8 @@ class Words:
     be tokenised as one text. A table of word hashes leads to the ids.
     """
 
-    def __init__(self, path: str, most: int = WORDS_KEPT):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+    def __init__(self, tokenizer, most: int = WORDS_KEPT):
+        self.tokenizer, self.most = tokenizer, most
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -142,7 +172,10 @@ class Words:
 def token_ids(column: pa.Array, path: str):
     """The ids of each text of a column, in slices of bounded size."""
     if path not in _words:
-        _words[path] = Words(path)
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        _words[path] = Words(tokenizer) if _cuts_safely(tokenizer) else Texts(tokenizer)
     data, offsets = utf8_view(column)
     for a, b in slices(offsets):
         yield from _words[path](data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
