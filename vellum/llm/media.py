@@ -7,33 +7,45 @@ size and not on the number of frames.
 
 The encoder writes mono 8-bit streams of blocks of ``BLOCK`` samples: STREAMINFO
 with the MD5 of the samples, a SEEKTABLE with a point each ``SEEK`` frames, and
-frames with one subframe, the cheapest of fixed predictors of order 0 to 2 with
-one Rice partition. The decoder takes any mono 8-bit stream of fixed block size
+frames with one subframe, the cheapest of fixed predictors of order 0 to 2 and a
+linear predictor of order ``LPC`` (Levinson-Durbin, quantised), with one Rice
+partition. The decoder takes any mono 8-bit stream of fixed block size
 with constant, verbatim, fixed (order 0 to 4) and LPC subframes, Rice partitions
 and escapes included; header CRC-8, frame CRC-16 and the MD5 must agree, else
-``FlacError`` is raised.
+``FlacError`` is raised; as rows, a damaged or missing stream has its error in place
+of values.
 
 Defined cases: null and empty texts are a payload of one padded unit; the payload
 is padded with spaces to a positive multiple of 192 bytes, so every frame is
 full; equal texts give equal bytes; null doc_ids and repeated rows are kept;
-other columns are ignored. No step shuffles; a worker holds one slice.
+predictors of equal cost go in the order above; a very long text is one stream, taken
+alone; other columns are ignored; an empty table gives no rows.
+
+Size: no step shuffles; a worker holds one slice. The query stores the streams of one
+of ``PARTS`` parts of the documents, reads them back, keeps what it computed and
+deletes them before the next, so a part of the media at a time takes disk.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches, table, utf8_view
+from .common import discard, slices, small_batches, store, table, utf8_view
 
 BLOCK = 192
 SEEK = 64
 RATE = 8000
+#: Order of the linear predictor, and bits of its coefficients.
+LPC, PRECISION = 4, 7
+#: Parts of the documents whose streams are stored one after another.
+PARTS = 4
 
 
 class FlacError(ValueError):
@@ -91,30 +103,49 @@ def _coded(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- encoder
 
 
+def _predictors(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Quantised coefficients (n, LPC), the latest sample's first, and their shifts."""
+    x = samples.astype(np.float64)
+    lag = np.stack([(x[:, k:] * x[:, : x.shape[1] - k]).sum(axis=1) for k in range(LPC + 1)], axis=1)
+    factor, left = np.zeros((len(x), LPC)), lag[:, 0] * (1 + 1e-9) + 1e-9
+    for i in range(LPC):
+        mirror = (lag[:, i + 1] - (factor[:, :i] * lag[:, i:0:-1]).sum(axis=1)) / left
+        factor[:, :i] -= mirror[:, None] * factor[:, :i][:, ::-1].copy()
+        factor[:, i] = mirror
+        left = np.maximum(left * (1 - mirror * mirror), 1e-9)
+    most = np.frexp(np.abs(factor).max(axis=1))[1]
+    shift = np.clip(PRECISION - 1 - most, 0, 15)
+    top = 1 << (PRECISION - 1)
+    return np.clip(np.rint(factor * (1 << shift)[:, None]), -top, top - 1).astype(np.int32), shift.astype(np.int32)
+
+
 def _frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All frames one after another (bytes, offsets) of samples (n, BLOCK)."""
     n = len(samples)
+    factors, shifts = _predictors(samples)
+    guess = sum(factors[:, j : j + 1] * samples[:, LPC - 1 - j : BLOCK - 1 - j] for j in range(LPC)) >> shifts[:, None]
     residuals, costs, params = [], [], []
-    for order in range(3):
-        r = np.diff(samples, order, axis=1) if order else samples
+    warm = (0, 1, 2, LPC)  # samples before the residuals of each predictor
+    for kind, before in enumerate(warm):
+        r = samples[:, LPC:] - guess if kind == 3 else np.diff(samples, before, axis=1) if before else samples
         u = ((r << 1) ^ (r >> 31)).astype(np.int32)
         k = np.clip(np.log2(np.maximum(u.mean(axis=1), 1)).astype(np.int32), 0, 14)
         best, which = None, k
         for shift in (-1, 0, 1):
             kk = np.clip(k + shift, 0, 14)
-            cost = 8 * order + (u >> kk[:, None]).sum(axis=1) + (1 + kk) * u.shape[1]
+            cost = 8 * before + (kind == 3) * (9 + LPC * PRECISION) + (u >> kk[:, None]).sum(axis=1) + (1 + kk) * u.shape[1]
             best, which = (cost, kk) if best is None else (np.minimum(best, cost), np.where(cost < best, kk, which))
         residuals.append(u)
         costs.append(best)
         params.append(which)
-    order = np.argmin(costs, axis=0)
+    chosen = np.argmin(costs, axis=0)
     head, head_size = _coded(numbers)
     rows = np.zeros((n, 12), np.uint8)
     rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3] = 0xFF, 0xF8, 0x14, 0x02  # fixed blocks of 192; 8 kHz; mono, 8 bits
     rows[:, 4:10] = head
     rows[np.arange(n), 4 + head_size] = crc8(rows, 4 + head_size)
     head_size = head_size + 5
-    bits = 8 * head_size + 8 + np.choose(order, costs) + 10
+    bits = 8 * head_size + 8 + np.choose(chosen, costs) + 10
     size = (bits + 7) // 8 + 2
     offsets = np.append(0, np.cumsum(size))
     data = np.zeros(int(offsets[-1]) * 8, np.uint8)  # one bit each
@@ -128,20 +159,26 @@ def _frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.nd
         on = np.flatnonzero(j < head_size)
         put(start[on] + 8 * j, rows[on, j], 8)
     at = start + 8 * head_size
-    put(at, (0x08 | order) << 1, 8)
+    put(at, np.where(chosen == 3, 0x20 | (LPC - 1), 0x08 | chosen) << 1, 8)
     at += 8
-    for o in range(3):
-        f = np.flatnonzero(order == o)
+    for kind, before in enumerate(warm):
+        f = np.flatnonzero(chosen == kind)
         if not len(f):
             continue
         here = at[f].copy()
-        for j in range(o):
+        for j in range(before):
             put(here, samples[f, j] & 0xFF, 8)
             here += 8
-        k = params[o][f]
+        if kind == 3:
+            put(here, ((PRECISION - 1) << 5) | shifts[f], 9)
+            here += 9
+            for j in range(LPC):
+                put(here, factors[f, j] & ((1 << PRECISION) - 1), PRECISION)
+                here += PRECISION
+        k = params[kind][f]
         put(here, k, 10)  # method 0, partition order 0, then four bits of parameter
         here += 10
-        u = residuals[o][f]
+        u = residuals[kind][f]
         q = u >> k[:, None]
         width = q + 1 + k[:, None]
         stop = here[:, None] + np.cumsum(width, axis=1) - k[:, None] - 1
@@ -376,10 +413,13 @@ def decode(streams: list[bytes]) -> list[tuple[dict, np.ndarray, np.ndarray]]:
     """
     try:
         return _decode(streams)
-    except FlacError:
+    except (FlacError, IndexError):
         if len(streams) > 1:
             return [decode([raw])[0] for raw in streams]
+    try:
         return [_sequential(streams[0])]
+    except IndexError as e:
+        raise FlacError("the stream ends early") from e
 
 
 def _sequential(raw: bytes) -> tuple[dict, np.ndarray, np.ndarray]:
@@ -473,30 +513,51 @@ def stored(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
+def _or_error(raw: bytes | None):
+    """(what ``decode`` gives, None) or (None, what is wrong)."""
+    try:
+        return (decode([raw])[0], None) if raw is not None else (None, "no stream")
+    except FlacError as e:
+        return None, str(e)
+
+
 def _decoded(column: pa.Array):
-    raws, some, size = column.to_pylist(), [], 0
-    for raw in raws:
-        if some and size + len(raw) > 1 << 20:
-            yield from zip(some, decode(some), strict=True)
+    """Of each stream its bytes, what ``decode`` gives and what is wrong with it."""
+
+    def several(raws):
+        try:
+            return zip(raws, ((x, None) for x in decode(raws)), strict=True)
+        except (FlacError, TypeError):  # one of them is damaged, or null
+            return zip(raws, map(_or_error, raws), strict=True)
+
+    some, size = [], 0
+    for raw in column.to_pylist():
+        if some and size + len(raw or b"") > 1 << 20:
+            yield from several(some)
             some, size = [], 0
         some.append(raw)
-        size += len(raw)
+        size += len(raw or b"")
     if some:
-        yield from zip(some, decode(some), strict=True)
+        yield from several(some)
 
 
 def blocks(media: DataFrame) -> DataFrame:
-    """PCM blocks of streams: doc_id, block, sample_offset, byte_offset, pcm (unsigned 8 bits)."""
+    """PCM blocks of streams: doc_id, block, sample_offset, byte_offset, pcm (unsigned 8
+    bits); a row with its error alone for a stream that can't be read."""
     kind = media.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
-            for doc, (_, (meta, samples, at)) in zip(batch.column(0).to_pylist(), _decoded(batch.column(1)), strict=True):
+            for doc, (_, (got, error)) in zip(batch.column(0).to_pylist(), _decoded(batch.column(1)), strict=True):
+                meta, samples, at = got or ({"block": 0}, [], [])
                 pcm = [(row + 128).astype(np.uint8).tobytes() for row in samples]
                 n = len(pcm)
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, batch.column(0).type), pa.array(range(n), pa.int64()), pa.array(np.arange(n) * meta["block"], pa.int64()), pa.array(at, pa.int64()), pa.array(pcm, pa.binary())], ["doc_id", "block", "sample_offset", "byte_offset", "pcm"])
+                cols = (range(n), np.arange(n) * meta["block"], at, pcm) if got else ([None], [None], [None], [None])
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                rows = n if got else 1
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * rows, batch.column(0).type), *(pa.array(c, t) for c, t in zip(cols, types, strict=True)), pa.array([error] * rows, pa.string())], ["doc_id", "block", "sample_offset", "byte_offset", "pcm", "error"])
 
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, block long, sample_offset long, byte_offset long, pcm binary")
+    return media.select("doc_id", "media").mapInArrow(run, f"doc_id {kind}, block long, sample_offset long, byte_offset long, pcm binary, error string")
 
 
 def feature(samples: np.ndarray) -> str:
@@ -513,15 +574,26 @@ def judge(media: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for raw, (_, samples, _) in _decoded(batch.column(2)):
+            for raw, (got, error) in _decoded(batch.column(2)):
+                if error:
+                    rows.append((None, None, None, None if raw is None else len(raw), None if raw is None else hashlib.sha256(raw).hexdigest(), None, error))
+                    continue
+                samples = got[1]
                 payload = b"".join((row + 128).astype(np.uint8).tobytes() for row in samples) if isinstance(samples, list) else (samples + 128).astype(np.uint8).tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(samples)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(samples), None))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(stored(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    found = []
+    for part in range(PARTS):
+        own = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == part)
+        media = store(stored(own), "media")
+        found.append(store(judge(media), "features"))
+        discard(media)
+    return reduce(DataFrame.unionByName, found)
