@@ -1,14 +1,15 @@
 """License scans by conditional compression.
 
-A candidate block is what stands within ``REACH`` words of a licensing word,
-whatever the lines. A block, its lines joined (line feeds, indents and comment marks
-are no words), is compressed on its own and with each template as a raw zstandard
-dictionary, and templates are ranked by the bytes saved. From the best down to the
-last that saves any, the exact wording decides: a place is a stretch that holds the
-template's words in order, with at most ``MISSING`` of them missing or replaced and
-every word that tells the license from its versions (numbers and codes) present. Of
-places that overlap, the one whose own text its template shrinks most is the license
-that stands there.
+A candidate block is what stands around a licensing word, whatever the lines, as far
+as a template may reach from there. Each block, its lines joined (line feeds, indents
+and comment marks are no words), is compressed on its own and with each template as
+a raw zstandard dictionary. Where that saves bytes the exact wording decides: a place
+is a stretch that holds the template's words in order, with at most ``MISSING`` of
+them missing, added or replaced and every word that tells the license from its
+versions (numbers and codes) present. Places are ranked by the bytes that their
+template saves on their own text; of those that overlap, the first is the license
+that stands there. (Compressed with all around it, up to 450 words, a short notice
+can save nothing: on 0.1 GB this lost 101 of 1609.)
 
 Defined cases: null and empty texts have no blocks; a tie in size goes to the
 template with fewer differences, then to the name that sorts first; equal texts
@@ -113,7 +114,7 @@ def _compressors():
     return made, zstandard.ZstdCompressor(level=19, write_content_size=False, write_checksum=False)
 
 
-#: Words to each side of a licensing word: the longest template with all it may have between.
+#: Words that a block may reach from a licensing word: the longest template with all it may have between.
 REACH = max(len(words(t)) + int(MISSING * len(words(t))) for texts in TEMPLATES.values() for t in texts)
 
 
@@ -200,13 +201,27 @@ def judge_block(text: str, block: list[tuple[str, int, int]]) -> list[tuple]:
     def raw(a: int, b: int) -> bytes:
         return _FOLD.sub(" ", text[block[a][1] : block[b - 1][2]]).lower().encode("utf-8", "surrogatepass")
 
-    whole = raw(0, len(block))
-    alone = len(plain.compress(whole))
-    ranked = sorted((len(compressor.compress(whole)) - alone, k) for k, (_, _, compressor) in enumerate(made))
+    anchors = [k for k, w in enumerate(said) if _anchor.search(w)]
+    alone: dict[tuple[int, int], int] = {}
     found = []
-    for name, template, compressor in (made[k] for size, k in ranked if size < 0):
-        for cost, a, b in places(template, said):
-            found.append((len(compressor.compress(raw(a, b))) - len(plain.compress(raw(a, b))), cost, name, a, b, template))
+    for name, template, compressor in made:
+        reach = len(template) + int(MISSING * len(template))
+        around: list[list[int]] = []  # stretches in which the template saves bytes
+        for k in anchors:
+            a, b = max(0, k - reach + 1), min(len(said), k + reach)
+            text_of = raw(a, b)
+            if (a, b) not in alone:
+                alone[a, b] = len(plain.compress(text_of))
+            if len(compressor.compress(text_of)) >= alone[a, b]:
+                continue
+            if around and a <= around[-1][1]:
+                around[-1][1] = b
+            else:
+                around.append([a, b])
+        for first, last in around:
+            for cost, a, b in places(template, said[first:last]):
+                own = raw(first + a, first + b)
+                found.append((len(compressor.compress(own)) - len(plain.compress(own)), cost, name, first + a, first + b, template))
     out: list[tuple] = []
     for size, _, name, a, b, template in sorted(found):
         if all(b <= x or y <= a for x, y, *_ in out):
