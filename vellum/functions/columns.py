@@ -6,8 +6,10 @@ give a default instead of an error.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Alphabet and characters of the word normaliser.
 ARMENIAN_LETTERS = "ԱԲԳԴԵԶԷԸԹԺԻԼԽԾԿՀՁՂՃՄՅՆՇՈՉՊՋՌՍՎՏՐՑՒՓՔՕՖաբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցւփքօֆև"
@@ -93,9 +95,17 @@ def height_ratio(a: Column, b: Column) -> Column:
 # ---------------------------------------------------------------- words
 
 
-def normalized(word: Column, expand_ligature: bool = False) -> Column:
-    """Stripped of white space and punctuation, without hyphens, in lower case."""
-    out = F.translate(F.btrim(word, F.lit(PUNCTUATION_TO_STRIP)), "-֊", "")
+@F.pandas_udf(StringType())
+def composed(s: pd.Series) -> pd.Series:
+    """Unicode's composed form (NFC), which no built-in function gives."""
+    return s.str.normalize("NFC")
+
+
+def normalized(word: Column, expand_ligature: bool = False, keep_hyphen: bool = False) -> Column:
+    """Composed, stripped of white space and punctuation, in lower case, without hyphens
+    unless they are kept."""
+    out = F.btrim(composed(word), F.lit(PUNCTUATION_TO_STRIP))
+    out = out if keep_hyphen else F.translate(out, "-֊", "")
     return F.lower(F.replace(out, F.lit("և"), F.lit("եվ")) if expand_ligature else out)
 
 

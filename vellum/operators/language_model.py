@@ -30,30 +30,36 @@ def fit(words: DataFrame, orders=ORDERS) -> DataFrame:
     return exploded(words.withColumn("w", F.log1p(F.col("count").cast("double"))), "w", orders=orders).groupBy("order", "ngram").agg(F.sum("w").alias("weight"))
 
 
-def log_probabilities(model: DataFrame, smoothing: float = SMOOTHING) -> tuple[DataFrame, DataFrame]:
-    """Per n-gram ln((count + k) / (total + k * vocabulary)); per order that of an unseen one."""
-    totals = model.groupBy("order").agg(F.sum("weight").alias("total"), F.count("*").alias("size"))
-    below = F.col("total") + F.lit(smoothing) * F.col("size")
-    unseen = totals.select("order", F.ln(F.greatest(F.lit(smoothing) / below, F.lit(FLOOR))).alias("unseen"), below.alias("below"))
-    seen = model.join(F.broadcast(unseen), "order").select("order", "ngram", F.ln(F.greatest((F.col("weight") + smoothing) / F.col("below"), F.lit(FLOOR))).alias("logp"))
-    return seen, unseen.select("order", "unseen")
+def totals(model: DataFrame) -> dict[int, tuple[float, int]]:
+    """Per order the summed weight and the number of n-grams: one row an order."""
+    return {r["order"]: (r["total"], r["size"]) for r in model.groupBy("order").agg(F.sum("weight").alias("total"), F.count("*").alias("size")).collect()}
 
 
-def averages(words: DataFrame, model: DataFrame) -> DataFrame:
-    """word and its mean log probability over the n-grams of all orders."""
-    seen, unseen = log_probabilities(model)
-    rows = exploded(words.select("word").distinct(), "word")
-    scored = rows.join(seen, ["order", "ngram"], "left").join(F.broadcast(unseen), "order", "left")
-    return scored.groupBy("word").agg(F.avg(F.coalesce("logp", "unseen")).alias("average"))
+def log_probability(weight: Column, order: Column, of: dict[int, tuple[float, int]], smoothing: float = SMOOTHING) -> Column:
+    """ln((weight + k) / (total + k * vocabulary)); an n-gram without weight is unseen."""
+    out = F.lit(None).cast("double")
+    for n, (total, size) in of.items():
+        p = (F.coalesce(weight, F.lit(0.0)) + smoothing) / F.lit(total + smoothing * size)
+        out = F.when(order == n, F.ln(F.greatest(p, F.lit(FLOOR)))).otherwise(out)
+    return out
 
 
-def spread(scored: DataFrame, ranked: DataFrame, most: int = TRAINING_WORDS) -> DataFrame:
-    """One row: mean and population deviation of the scores of the first words."""
-    first = ranked.orderBy("rank").limit(most)
-    return first.join(scored, "word").agg(F.avg("average").alias("mean"), F.greatest(F.stddev_pop("average"), F.lit(1e-6)).alias("deviation"))
+def averages(words: DataFrame, model: DataFrame, of: dict[int, tuple[float, int]]) -> DataFrame:
+    """Distinct words (and what else their rows hold) with the mean log probability over
+    the n-grams of all orders."""
+    keep = words.columns
+    scored = exploded(words, *keep).join(model, ["order", "ngram"], "left")
+    first = [F.first(c).alias(c) for c in keep if c != "word"]
+    return scored.groupBy("word").agg(*first, F.avg(log_probability(F.col("weight"), F.col("order"), of)).alias("average"))
 
 
-def judged(scored: DataFrame, mean: Column, deviation: Column) -> DataFrame:
+def spread(scored: DataFrame, most: int = TRAINING_WORDS) -> tuple[float, float]:
+    """Mean and population deviation of the scores of the most frequent words."""
+    first = scored.orderBy(F.desc("count"), "word").limit(most)
+    return first.agg(F.avg("average"), F.greatest(F.stddev_pop("average"), F.lit(1e-6))).first()
+
+
+def judged(scored: DataFrame, mean: float, deviation: float) -> DataFrame:
     """Adds z, confidence (logistic of z within 12) and whether it looks like gibberish."""
     z = (F.col("average") - mean) / deviation
     confidence = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-12.0), F.least(F.lit(12.0), z))))
@@ -78,7 +84,7 @@ def candidates(tokens: DataFrame, max_positions: int = 6, max_alternatives: int
     return reduce(DataFrame.unionByName, (one, two))
 
 
-def repairs(tried: DataFrame, scored: DataFrame, mean: Column, deviation: Column, least_gain: float = 0.15, most: int = 12) -> DataFrame:
+def repairs(tried: DataFrame, scored: DataFrame, mean: float, deviation: float, least_gain: float = 0.15, most: int = 12) -> DataFrame:
     """The best repairs of each token by z-score gain over its own text."""
     z = lambda name: ((F.col(name) - mean) / deviation)
     own = scored.select(F.col("word").alias("text"), F.col("average").alias("own"))

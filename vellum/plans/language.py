@@ -2,30 +2,47 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.functions import columns as C
 from vellum.operators import language_model as L
+from vellum.operators.ordering import numbered
+from vellum.sources.durable import store
 
 from .registry import query
 
-_WORDS = r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM documents) GROUP BY word"
-_MODEL = f"""w AS ({_WORDS}),
-r AS (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM w),
+_LETTERS = r"\p{L}{2,}"
+_WORDS = rf"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{_LETTERS}')) AS word FROM documents) GROUP BY word"
+_MODEL = f"""w AS MATERIALIZED ({_WORDS}),
 o AS (SELECT unnest([2, 3, 4]) AS o),
 p AS (SELECT word, n, o, repeat('^', (o - 1)::INT) || word || '$' AS s FROM w, o),
-g AS (SELECT word, n, o, unnest(list_transform(range(1, length(s) - o + 2), lambda i: substr(s, i, o))) AS g FROM p),
-m AS (SELECT o, g, sum(ln(1 + n)) AS weight FROM g GROUP BY o, g),
-t AS (SELECT o, sum(weight) AS total, count(*) AS size FROM m GROUP BY o),
-lp AS (SELECT m.o, g, ln(greatest((weight + 0.1) / (total + 0.1 * size), 1e-12)) AS p FROM m JOIN t USING (o)),
-s AS (SELECT word, avg(p) AS average FROM g JOIN lp USING (o, g) GROUP BY word),
-z AS (SELECT avg(average) AS mean, greatest(stddev_pop(average), 1e-6) AS deviation FROM s JOIN r USING (word) WHERE rank <= 50000)"""
+g AS MATERIALIZED (SELECT word, n, o, unnest(list_transform(range(1, length(s) - o + 2), lambda i: substr(s, i, o))) AS g FROM p),
+m AS MATERIALIZED (SELECT o, g, sum(ln(1 + n)) AS weight FROM g GROUP BY o, g),
+t AS MATERIALIZED (SELECT o, sum(weight) AS total, count(*) AS size FROM m GROUP BY o),
+lp AS MATERIALIZED (SELECT m.o, g, ln(greatest((weight + 0.1) / (total + 0.1 * size), 1e-12)) AS p FROM m JOIN t USING (o)),
+s AS MATERIALIZED (SELECT word, avg(p) AS average FROM g JOIN lp USING (o, g) GROUP BY word),
+r AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS rank FROM w),
+z AS MATERIALIZED (SELECT avg(average) AS mean, greatest(stddev_pop(average), 1e-6) AS deviation FROM s JOIN r USING (word) WHERE rank <= 50000)"""
+
+
+def words_of(text) -> Column:
+    """Runs of two letters or more, of any alphabet, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(f"({_LETTERS})"), F.lit(1))
 
 
 def vocabulary(t) -> DataFrame:
     """Words of all documents with their counts."""
-    return t.documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]{2,})"), F.lit(1))).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+    return t.documents.select(F.explode(words_of("text")).alias("word")).groupBy("word").agg(F.count("*").alias("count"))
+
+
+def trained(t):
+    """The n-gram model of the documents, its totals, the words' scores, and their spread."""
+    words = store(vocabulary(t), "words")
+    model = store(L.fit(words), "ngrams")
+    of = L.totals(model)
+    scored = store(L.averages(words, model, of), "scored")
+    return model, of, scored, *L.spread(scored)
 
 
 @query("a24_ngram_weights", f"WITH {_MODEL} SELECT o AS \"order\", g AS ngram, round(weight, 6) AS weight FROM m")
@@ -35,12 +52,8 @@ def ngram_weights(t):
 
 @query("f4_word_plausibility", f"WITH {_MODEL} SELECT word, n, round(average, 6) AS average, round((average - mean) / deviation, 5) AS z, round(1 / (1 + exp(-greatest(-12.0, least(12.0, (average - mean) / deviation)))), 5) AS confidence, (average - mean) / deviation < -2 AS gibberish FROM s JOIN w USING (word), z")
 def word_plausibility(t):
-    words = vocabulary(t)
-    scored = L.averages(words, L.fit(words))
-    ranked = words.orderBy(F.desc("count"), "word").limit(L.TRAINING_WORDS).withColumn("rank", F.lit(0))
-    both = L.spread(scored, ranked).select(F.struct("mean", "deviation").alias("s")).scalar()
-    mean, deviation = both["mean"], both["deviation"]
-    out = L.judged(scored, mean, deviation).join(words, "word")
+    _, _, scored, mean, deviation = trained(t)
+    out = L.judged(scored, mean, deviation)
     return out.select("word", F.col("count").alias("n"), F.round("average", 6).alias("average"), F.round("z", 5).alias("z"), F.round("confidence", 5).alias("confidence"), "gibberish")
 
 
@@ -48,7 +61,7 @@ _TOKENS = r"SELECT conv_id, turn, regexp_extract_all(text, '\S+') AS w FROM conv
 _PUNCT = C.PUNCTUATION_TO_STRIP.replace("'", "''")
 
 
-@query("f1_normalized_words", rf"""WITH a AS (SELECT unnest(w) AS raw FROM ({_TOKENS})), b AS (SELECT raw, lower(translate(trim(raw, '{_PUNCT}'), '-֊', '')) AS word FROM a)
+@query("f1_normalized_words", rf"""WITH a AS (SELECT unnest(w) AS raw FROM ({_TOKENS})), b AS (SELECT raw, lower(translate(trim(nfc_normalize(raw), '{_PUNCT}'), '-֊', '')) AS word FROM a)
 SELECT word, count(*) AS n, count(DISTINCT raw) AS forms, length(word)::BIGINT AS letters, length(translate(word, 'abcdefghijklmnopqrstuvwxyz', ''))::BIGINT AS unknown,
 round(length(translate(word, 'abcdefghijklmnopqrstuvwxyz', '')) / greatest(1, length(word)), 6) AS unknown_ratio,
 array_to_string(list_sort(list_distinct(list_filter(string_split(word, ''), lambda c: c <> '' AND strpos('abcdefghijklmnopqrstuvwxyz', c) = 0))), '') AS unknown_letters FROM b GROUP BY word""")
@@ -65,9 +78,9 @@ def suffix_hints(t):
     return out.select("word", "n", "h.suffix", F.col("h.start").cast("bigint").alias("start"), F.col("h.stop").cast("bigint").alias("stop"), "h.confidence")
 
 
-@query("f6_lexicon_membership", rf"SELECT item_id, count(*) AS words, count(*) FILTER (word IN (SELECT word FROM ({_WORDS}))) AS known FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{{2,}}')) AS word FROM benchmark) GROUP BY item_id")
+@query("f6_lexicon_membership", rf"SELECT item_id, count(*) AS words, count(*) FILTER (word IN (SELECT word FROM ({_WORDS}))) AS known FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{_LETTERS}')) AS word FROM benchmark) GROUP BY item_id")
 def lexicon_membership(t):
-    asked = t.benchmark.select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([a-z]{2,})"), F.lit(1))).alias("word"))
+    asked = t.benchmark.select("item_id", F.explode(words_of("text")).alias("word"))
     known = vocabulary(t).select("word", F.lit(1).alias("known"))
     return asked.join(known, "word", "left").groupBy("item_id").agg(F.count("*").alias("words"), F.count("known").alias("known"))
 
@@ -111,13 +124,16 @@ def canonical_values(t):
 @query("o1_natural_order", r"SELECT c_custkey, c_name, row_number() OVER (ORDER BY n, c_custkey) AS place FROM (SELECT c_custkey, 'Page ' || (c_custkey % 97) || '-' || c_mktsegment AS c_name, list_transform(regexp_extract_all(lower('Page ' || (c_custkey % 97) || '-' || c_mktsegment), '\d+|\D+'), lambda p: CASE WHEN regexp_matches(p, '^\d') THEN '0' || lpad(p, 20, '0') ELSE '1' || p END) AS n FROM customer)")
 def natural_order(t):
     named = t.customer.select("c_custkey", F.concat(F.lit("Page "), F.col("c_custkey") % 97, F.lit("-"), "c_mktsegment").alias("c_name"))
-    return named.withColumn("place", F.row_number().over(Window.orderBy(C.natural_key(F.col("c_name")), "c_custkey")).cast("bigint"))
+    keyed = named.withColumn("key", C.natural_key(F.col("c_name")))
+    return numbered(keyed, "key", "c_custkey").select("c_custkey", "c_name", "place")
 
 
 @query("f9_edit_distance", r"WITH b AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS s FROM benchmark), n AS (SELECT item_id, s, lead(s) OVER (ORDER BY item_id) AS o FROM b) SELECT item_id, levenshtein(s, o)::BIGINT AS edits, round(levenshtein(s, o) / greatest(1, length(s)), 6) AS rate, s = o AS exact FROM n WHERE o IS NOT NULL")
 def edit_distance(t):
     b = t.benchmark.select("item_id", F.regexp_replace("text", "[^ -~]", "").alias("s"))
-    n = b.withColumn("o", F.lead("s").over(Window.orderBy("item_id"))).filter("o is not null")
+    placed = numbered(b, "item_id")
+    after = placed.select((F.col("place") - 1).alias("place"), F.col("s").alias("o"))
+    n = placed.join(after, "place").filter("o is not null")
     return n.select("item_id", F.levenshtein("s", "o").cast("bigint").alias("edits"), F.round(C.per(F.levenshtein("s", "o"), F.length("s")), 6).alias("rate"), (F.col("s") == F.col("o")).alias("exact"))
 
 
@@ -129,35 +145,32 @@ def error_rates(t):
 
 
 def repair_tokens(t) -> DataFrame:
-    """Names of part types with invented backups at each of their first positions."""
-    named = t.part.select(F.col("p_partkey").alias("token"), F.element_at(F.split(F.lower("p_name"), " "), -1).alias("text"))
-    at = named.select("token", "text", F.explode(F.sequence(F.lit(0), F.least(F.length("text"), F.lit(4)) - 1)).alias("position"))
-    held = ((F.col("token") * 7 + F.col("position") * 5) % 11) / 11.0
+    """Distinct words of the benchmark with invented backups at each of their positions."""
+    text = t.benchmark.select(F.explode(words_of("text")).alias("text")).distinct()
+    token = F.ascii("text") + 31 * F.length("text")
+    at = text.select(token.alias("number"), "text", F.explode(F.sequence(F.lit(0), F.length("text") - 1)).alias("position"))
+    held = ((F.col("number") * 7 + F.col("position") * 5) % 11) / 11.0
     alt = at.withColumn("held", held).select("*", F.explode(F.sequence(F.lit(0), F.lit(1))).alias("k"))
-    char = F.substring(F.lit("etaoinshrdlu"), ((F.col("token") + F.col("position") * 3 + F.col("k") * 5) % 12 + 1).cast("int"), F.lit(1))
-    return alt.select("token", "text", "position", "held", char.alias("char"), (0.5 - 0.1 * F.col("k")).cast("double").alias("confidence"))
+    char = F.substring(F.lit("etaoinshrdlu"), ((F.col("number") + F.col("position") * 3 + F.col("k") * 5) % 12 + 1).cast("int"), F.lit(1))
+    return alt.select(F.col("text").alias("token"), "text", "position", "held", char.alias("char"), (0.5 - 0.1 * F.col("k")).cast("double").alias("confidence"))
 
 
 @query("r12_ngram_repairs", f"""WITH {_MODEL},
-a AS (SELECT p_partkey AS token, string_split(lower(p_name), ' ')[-1] AS text FROM part),
-b AS (SELECT token, text, position, ((token * 7 + position * 5) % 11) / 11.0 AS held, k, substr('etaoinshrdlu', ((token + position * 3 + k * 5) % 12 + 1)::INT, 1) AS c, 0.5 - 0.1 * k AS f FROM a, (SELECT unnest(range(0, 4)) AS position), (SELECT unnest(range(0, 2)) AS k) WHERE position < length(text)),
+a AS MATERIALIZED (SELECT text AS token, text, unicode(text) + 31 * length(text) AS number FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{_LETTERS}')) AS text FROM benchmark)),
+b AS (SELECT token, text, position, ((number * 7 + position * 5) % 11) / 11.0 AS held, k, substr('etaoinshrdlu', ((number + position * 3 + k * 5) % 12 + 1)::INT, 1) AS c, 0.5 - 0.1 * k AS f FROM (SELECT *, unnest(range(0, length(text))) AS position FROM a), (SELECT unnest(range(0, 2)) AS k)),
 d AS (SELECT *, dense_rank() OVER (PARTITION BY token ORDER BY held, position) AS place FROM b WHERE c <> substr(text, (position + 1)::INT, 1)),
-e AS (SELECT * FROM d WHERE place <= 6),
-tried AS (SELECT token, text, substr(text, 1, position::INT) || c || substr(text, (position + 2)::INT) AS repaired, 1 AS changes, greatest(0.001, f) AS product FROM e
+e AS MATERIALIZED (SELECT * FROM d WHERE place <= 6),
+tried AS MATERIALIZED (SELECT token, text, substr(text, 1, position::INT) || c || substr(text, (position + 2)::INT) AS repaired, 1 AS changes, greatest(0.001, f) AS product FROM e
  UNION ALL SELECT x.token, x.text, substr(x.text, 1, x.position::INT) || x.c || substr(x.text, (x.position + 2)::INT, (y.position - x.position - 1)::INT) || y.c || substr(x.text, (y.position + 2)::INT), 2, greatest(0.001, x.f) * greatest(0.001, y.f) FROM e x JOIN e y ON x.token = y.token AND x.position < y.position),
-every AS (SELECT DISTINCT text AS word FROM a UNION SELECT DISTINCT repaired FROM tried),
+every AS MATERIALIZED (SELECT DISTINCT text AS word FROM a UNION SELECT DISTINCT repaired FROM tried),
 eg AS (SELECT word, o, unnest(list_transform(range(1, length(word) + 2), lambda i: substr(repeat('^', (o - 1)::INT) || word || '$', i, o))) AS g FROM every, o),
 u AS (SELECT o, ln(greatest(0.1 / (total + 0.1 * size), 1e-12)) AS unseen FROM t),
-sc AS (SELECT word, avg(coalesce(p, unseen)) AS average FROM eg LEFT JOIN lp USING (o, g) JOIN u USING (o) GROUP BY word),
+sc AS MATERIALIZED (SELECT word, avg(coalesce(p, unseen)) AS average FROM eg LEFT JOIN lp USING (o, g) JOIN u USING (o) GROUP BY word),
 j AS (SELECT token, tried.text, repaired, changes, product, (n.average - mean) / deviation AS z, (n.average - own.average) / deviation AS gain FROM tried JOIN sc own ON own.word = tried.text JOIN sc n ON n.word = repaired, z)
-SELECT token, text, max(round(z, 5)) AS best_z, max(round(gain, 5)) AS best_gain, least(12, count(*)) AS n FROM j WHERE gain >= 0.15 GROUP BY token, text""")
+SELECT token, max(round(z, 5)) AS best_z, max(round(gain, 5)) AS best_gain, least(12, count(*)) AS n FROM j WHERE gain >= 0.15 GROUP BY token""")
 def ngram_repairs(t):
-    words = vocabulary(t)
-    model = L.fit(words)
-    tried = L.candidates(repair_tokens(t))
+    model, of, _, mean, deviation = trained(t)
+    tried = store(L.candidates(repair_tokens(t)), "tried")
     every = tried.select(F.col("text").alias("word")).union(tried.select("repaired")).distinct()
-    trained = L.averages(words, model)
-    both = L.spread(trained, words.orderBy(F.desc("count"), "word").limit(L.TRAINING_WORDS).withColumn("rank", F.lit(0))).select(F.struct("mean", "deviation").alias("s")).scalar()
-    mean, deviation = both["mean"], both["deviation"]
-    best = L.repairs(tried, L.averages(every, model), mean, deviation)
-    return best.groupBy("token", "text").agg(F.max(F.round("z", 5)).alias("best_z"), F.max(F.round("gain", 5)).alias("best_gain"), F.count("*").alias("n"))
+    best = L.repairs(tried, L.averages(every, model, of), mean, deviation)
+    return best.groupBy("token").agg(F.max(F.round("z", 5)).alias("best_z"), F.max(F.round("gain", 5)).alias("best_gain"), F.count("*").alias("n"))

@@ -35,17 +35,27 @@ def merged(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def upsert(new: DataFrame, folder: str, keys: list[str]) -> None:
-    """Merge into a Parquet folder: the result is written beside it, then takes its name."""
+    """Merge into a Parquet folder. The result is written beside it; then the old folder
+    gets another name, the new one its name, and only then the old one goes, so that
+    one of them is whole at any time. A folder left by a failure is put back first."""
     spark = new.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    folder = folder.rstrip("/")
+    path, old, temporary = path_of(folder), path_of(f"{folder}.old"), path_of(f"{folder}.{uuid.uuid4().hex}")
     fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    temporary = f"{folder.rstrip('/')}.{uuid.uuid4().hex}"
+
+    def rename(one, other) -> None:
+        if not fs.rename(one, other):
+            raise OSError(f"{one} can't be renamed")
+
+    if fs.exists(old):  # a merge that failed between its renames, or before it tidied up
+        fs.delete(old, True) if fs.exists(path) else rename(old, path)
     rows = merged(spark.read.parquet(folder), new, keys) if fs.exists(path) else new
-    rows.write.parquet(temporary)
+    rows.write.parquet(temporary.toString())
     if fs.exists(path):
-        fs.delete(path, True)
-    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(temporary), path):
-        raise OSError(f"{temporary} can't be renamed")
+        rename(path, old)
+    rename(temporary, path)
+    fs.delete(old, True)
 
 
 def annotations(rows: DataFrame) -> DataFrame:
