@@ -7,20 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.functions.columns import ngrams
-
 ORDERS, SMOOTHING, TRAINING_WORDS = (2, 3, 4), 0.1, 50_000
 GIBBERISH_Z, FLOOR = -2.0, 1e-12
 
 
 def exploded(words: DataFrame, *keep: str, orders=ORDERS) -> DataFrame:
-    """Rows of order and ngram for each n-gram of each word."""
-
-    def tagged(n: int) -> Column:
-        return F.transform(ngrams(F.col("word"), n), lambda g: F.struct(F.lit(n).alias("order"), g.alias("ngram")))
+    """Rows of order and ngram for each n-gram of each word.
 
-    each = F.array(*map(tagged, orders))
-    return words.select(*keep, F.explode(F.flatten(each)).alias("g")).select(*keep, "g.order", "g.ngram")
+    A word has as many n-grams of each order as it has letters and one more, so one
+    step over its places gives all of them, in generated code."""
+    longest = max(orders)
+    padded = words.select(*keep, F.concat(F.lit("^" * (longest - 1)), "word", F.lit("$")).alias("_padded"))
+    places = padded.select(*keep, "_padded", F.explode(F.sequence(F.lit(1), F.length("_padded") - longest + 1)).alias("_at"))
+    each = [F.struct(F.lit(n).alias("order"), F.substring(F.col("_padded"), F.col("_at") + (longest - n), F.lit(n)).alias("ngram")) for n in orders]
+    return places.select(*keep, F.explode(F.array(*each)).alias("g")).select(*keep, "g.order", "g.ngram")
 
 
 def fit(words: DataFrame, orders=ORDERS) -> DataFrame:
@@ -39,7 +39,7 @@ def log_probability(weight: Column, order: Column, of: dict[int, tuple[float, in
     """ln((weight + k) / (total + k * vocabulary)); an n-gram without weight is unseen."""
     out = F.lit(None).cast("double")
     for n, (total, size) in of.items():
-        p = (F.coalesce(weight, F.lit(0.0)) + smoothing) / F.lit(total + smoothing * size)
+            p = (weight + smoothing) / F.lit(total + smoothing * size)
         out = F.when(order == n, F.ln(F.greatest(p, F.lit(FLOOR)))).otherwise(out)
     return out
 
@@ -48,9 +48,11 @@ def averages(words: DataFrame, model: DataFrame, of: dict[int, tuple[float, int]
     """Distinct words (and what else their rows hold) with the mean log probability over
     the n-grams of all orders."""
     keep = words.columns
-    scored = exploded(words, *keep).join(model, ["order", "ngram"], "left")
+    seen = model.select("order", "ngram", log_probability(F.col("weight"), F.col("order"), of).alias("seen"))
+    scored = exploded(words, *keep).join(seen, ["order", "ngram"], "left")
     first = [F.first(c).alias(c) for c in keep if c != "word"]
-    return scored.groupBy("word").agg(*first, F.avg(log_probability(F.col("weight"), F.col("order"), of)).alias("average"))
+    unseen = log_probability(F.lit(0.0), F.col("order"), of)
+    return scored.groupBy("word").agg(*first, F.avg(F.coalesce("seen", unseen)).alias("average"))
 
 
 def spread(scored: DataFrame, most: int = TRAINING_WORDS) -> tuple[float, float]:
