@@ -1,8 +1,10 @@
 """Structural rules over glyph signatures: facts, families, warnings and class effects.
 
-A rule is a condition on a signature's columns and the facts it states. Default
-rules read the signature alone, so one pass derives everything and a second one
-confirms it. Facts are a table keyed by predicate and argument.
+A rule has a condition on a signature's columns, facts that must be there already
+(optional) and the facts it states. Rules run in order, pass after pass, until a
+pass adds no fact; facts of earlier rules count for later ones of the same pass. It
+all happens within a signature's row, so nothing shuffles. Facts are written
+predicate:argument.
 """
 
 from __future__ import annotations
@@ -38,46 +40,73 @@ RULES = [
     ("history_completed_bridge", "bridge_required AND bridge_completed", ["history:bridge_repair_completed"]),
     ("combined_complex_loop_branch_endpoint", "loops >= 1 AND junctions >= 1 AND endpoints >= 3", ["family:complex_loop_branch_endpoint"]),
 ]
-PASSES = 2
+MOST_PASSES = 4
+_STATE = "struct<known:array<string>,said:array<string>,fires:int,passes:int,done:boolean>"
 
 
-def derive(signatures: DataFrame, rules=RULES, weight: float = 1.0) -> DataFrame:
+def _state(known, said, fires, passes, done) -> Column:
+    return F.struct(known.alias("known"), said.alias("said"), fires.alias("fires"), passes.alias("passes"), done.alias("done")).cast(_STATE)
+
+
+def chained(signatures: DataFrame, rules=RULES, most_passes: int = MOST_PASSES, given: Column | None = None) -> DataFrame:
+    """id and the end state of forward chaining: known (facts), said (fact, tab, rule name),
+    fires (rules whose condition held, in each pass), passes. ``given``: facts to begin with."""
+    holds = []
+    for name, condition, states, *needs in rules:
+        rule = F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, states)).alias("states"), F.array(*map(F.lit, needs[0] if needs else [])).cast("array<string>").alias("needs"))
+        holds.append(F.when(F.expr(condition), rule))
+    own = signatures.select("id", F.array_compact(F.array(*holds)).alias("rules"), (given if given is not None else F.array()).cast("array<string>").alias("given"))
+
+    def fire(state: Column, rule: Column) -> Column:
+        said = F.transform(rule["states"], lambda fact: F.concat(fact, F.lit("\t"), rule["name"]))
+        after = _state(F.array_union(state["known"], rule["states"]), F.array_union(state["said"], said), state["fires"] + 1, state["passes"], state["done"])
+        return F.when(F.size(F.array_except(rule["needs"], state["known"])) == 0, after).otherwise(state)
+
+    def one_pass(state: Column) -> Column:
+        after = F.aggregate(F.col("rules"), state, fire)
+        return F.transform(F.array(after), lambda x: _state(x["known"], x["said"], x["fires"], x["passes"] + 1, F.size(x["known"]) == F.size(state["known"])))[0]
+
+    empty = F.array().cast("array<string>")
+    start = _state(F.col("given"), empty, F.lit(0), F.lit(0), F.lit(False))
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(most_passes)), start, lambda state, _: F.when(state["done"], state).otherwise(one_pass(state)))
+    return own.select("id", end.alias("s")).select("id", "s.known", "s.said", "s.fires", "s.passes")
+
+
+def derive(signatures: DataFrame, rules=RULES, weight: float = 1.0, most_passes: int = MOST_PASSES) -> DataFrame:
     """Facts of each signature: id, predicate, argument, weight, origins (rule names).
 
     A fact that several rules state is one row with the largest weight."""
-    made = []
-    for name, condition, facts in rules:
-        rows = F.array(*[F.struct(F.lit(f.split(":", 1)[0]).alias("predicate"), F.lit(f.split(":", 1)[1]).alias("argument"), F.lit(weight).alias("weight"), F.lit(name).alias("origin")) for f in facts])
-        made.append(F.when(F.expr(condition), rows))
-    each = signatures.select("id", F.explode(F.flatten(F.array_compact(F.array(*made)))).alias("f")).select("id", "f.*")
-    return upserted(each)
+    said = chained(signatures, rules, most_passes).select("id", F.explode("said").alias("x"))
+    fact, origin = F.substring_index("x", "\t", 1), F.substring_index("x", "\t", -1)
+    at = F.instr(fact, ":")
+    return upserted(said.select("id", F.substr(fact, F.lit(1), at - 1).alias("predicate"), F.substr(fact, at + 1).alias("argument"), F.lit(weight).alias("weight"), origin.alias("origin")))
 
 
 def upserted(facts: DataFrame) -> DataFrame:
     return facts.groupBy("id", "predicate", "argument").agg(F.max("weight").alias("weight"), F.array_join(F.array_sort(F.collect_set("origin")), "|").alias("origins"))
 
 
-def fired(signatures: DataFrame, rules=RULES) -> DataFrame:
-    """How often rules fire per signature over the passes to the fixpoint."""
-    n = F.lit(0)
-    for _, condition, _ in rules:
-        n = n + F.when(F.expr(condition), 1).otherwise(0)
-    return signatures.select("id", (n * PASSES).alias("fires"), F.lit(PASSES).alias("passes"))
+def fired(signatures: DataFrame, rules=RULES, most_passes: int = MOST_PASSES) -> DataFrame:
+    """How often rules fire per signature, and the passes until nothing is new."""
+    return chained(signatures, rules, most_passes).select("id", "fires", "passes")
 
 
 def effects(facts: DataFrame, profiles: DataFrame) -> DataFrame:
     """Effects of class profiles (class, kind, family, weight) on signatures with facts.
 
     required and absent, or forbidden and present: block at the full weight; boosted
-    and weakened ones present: a quarter of it. Each (class, effect, reason) once."""
-    have = facts.filter("predicate = 'family'").groupBy("id").agg(F.collect_set("argument").alias("families"))
-    ids = facts.select("id").distinct().join(have, "id", "left").withColumn("families", F.coalesce("families", F.array().cast("array<string>")))
-    wanted = profiles.agg(F.collect_list(F.struct("class", "kind", "family", "weight")).alias("p"))  # a handful of rows
-    rows = ids.select("id", "families", F.explode(wanted.scalar()).alias("p")).select("id", "families", "p.*")
-    present = F.array_contains("families", F.col("family"))
-    effect = F.when((F.col("kind") == "required") & ~present, "block").when((F.col("kind") == "forbidden") & present, "block").when((F.col("kind") == "boost") & present, "boost").when((F.col("kind") == "weaken") & present, "weaken")
-    strength = F.when(effect == "block", F.col("weight")).otherwise(F.col("weight") * 0.25)
-    return rows.select("id", "class", effect.alias("effect"), strength.alias("strength"), F.concat_ws(":", "kind", "family").alias("reason")).filter("effect is not null").dropDuplicates(["id", "class", "effect", "reason"])
+    and weakened ones present: a quarter of it. Each (class, effect, reason) once.
+    Families that are there meet profiles in an equi-join; only those that lack give
+    rows without one, so no signature is multiplied by all profiles."""
+    there = facts.filter("predicate = 'family'").select("id", F.col("argument").alias("family")).distinct()
+    met = there.join(profiles.filter("kind <> 'required'"), "family")
+    required = profiles.filter("kind = 'required'").agg(F.coalesce(F.collect_set(F.struct("class", "kind", "family", "weight")), F.array()).alias("r")).scalar()
+    families = facts.groupBy("id").agg(F.collect_set(F.when(F.col("predicate") == "family", F.col("argument"))).alias("families"))
+    lacking = families.withColumn("required", required).select("id", F.explode(F.filter("required", lambda x: ~F.array_contains("families", x["family"]))).alias("x")).select("id", "x.*")
+    rows = met.select("id", "class", "kind", "family", "weight").unionByName(lacking)
+    blocks = F.col("kind").isin("required", "forbidden")
+    strength = F.when(blocks, F.col("weight")).otherwise(F.col("weight") * 0.25)
+    return rows.select("id", "class", F.when(blocks, "block").otherwise(F.col("kind")).alias("effect"), strength.alias("strength"), F.concat_ws(":", "kind", "family").alias("reason")).dropDuplicates(["id", "class", "effect", "reason"])
 
 
 def explanation(facts: DataFrame) -> DataFrame:

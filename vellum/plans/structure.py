@@ -11,7 +11,25 @@ from vellum.operators import joins, layout, rules, splits
 from .registry import query
 
 _SIGN = """s AS (SELECT p_partkey AS id, p_size % 4 AS loops, p_partkey % 7 AS endpoints, p_size % 6 AS junctions, p_partkey % 3 = 0 AS top_contact, p_partkey % 5 = 0 AS bottom_contact, (p_size % 20) / 10.0 AS aspect, (p_partkey % 10) / 10.0 AS horizontal, (p_partkey % 9) / 10.0 AS vertical, (p_partkey % 8) / 10.0 AS diagonal, (p_partkey % 6) / 10.0 AS curve, p_partkey % 4 AS phase, p_size % 2 = 0 AS line_removed, p_size % 3 = 0 AS bridge_required, p_partkey % 2 = 0 AS bridge_completed FROM part)"""
-_FACTS = _SIGN + ", r AS (" + " UNION ALL ".join(f"SELECT id, '{f.split(':')[0]}' AS predicate, '{f.split(':')[1]}' AS argument, '{n}' AS origin FROM s WHERE {c}" for n, c, fs in rules.RULES for f in fs) + ")"
+# the default rules once more, in SQL's words
+_SAID = """sd AS (SELECT id, unnest(list_filter([
+ CASE WHEN loops > 0 THEN 'family looped family_looped' END, CASE WHEN loops > 0 THEN 'has_structure loop family_looped' END, CASE WHEN loops < 1 THEN 'family no_loop family_no_loop' END,
+ CASE WHEN loops > 1 THEN 'family multi_loop family_multi_loop' END, CASE WHEN loops > 1 THEN 'warning multi_loop_complexity family_multi_loop' END,
+ CASE endpoints WHEN 0 THEN 'family closed_or_no_endpoint family_zero_endpoint' WHEN 1 THEN 'family single_endpoint family_single_endpoint' WHEN 2 THEN 'family two_endpoint family_two_endpoint' END,
+ CASE endpoints WHEN 0 THEN 'warning zero_endpoints_check_skeleton family_zero_endpoint' WHEN 1 THEN 'warning single_endpoint_unusual family_single_endpoint' WHEN 2 THEN 'has_structure normal_path_exit_count family_two_endpoint' END,
+ CASE WHEN endpoints > 4 THEN 'family many_endpoint family_many_endpoint' END, CASE WHEN endpoints > 4 THEN 'warning possible_fragmentation_or_noise family_many_endpoint' END,
+ CASE WHEN junctions = 0 THEN 'family unbranched family_unbranched' ELSE 'family branched family_branched' END, CASE WHEN junctions > 0 THEN 'has_structure junction family_branched' END,
+ CASE WHEN junctions > 3 THEN 'warning overbranched_check_artifact_or_bad_reconstruction warning_overbranched' END,
+ CASE WHEN top_contact THEN 'family top_contact family_top_contact' END, CASE WHEN bottom_contact THEN 'family bottom_contact family_bottom_contact' END,
+ CASE WHEN aspect >= 1.35 THEN 'family wide family_wide' WHEN aspect > 0.75 THEN 'family compact family_compact' WHEN aspect > 0 THEN 'family tall family_tall' END,
+ CASE WHEN horizontal >= 0.45 THEN 'family horizontal_dominant family_horizontal_dominant' END, CASE WHEN vertical >= 0.45 THEN 'family vertical_dominant family_vertical_dominant' END,
+ CASE WHEN diagonal >= 0.35 THEN 'family diagonal_rich family_diagonal_rich' END, CASE WHEN curve >= 0.35 THEN 'family curve_rich family_curve_rich' END,
+ CASE WHEN phase >= 1 THEN 'history reconstructed history_reconstructed' END, CASE WHEN line_removed THEN 'history line_removal_applied history_line_removal' END,
+ CASE WHEN bridge_required THEN CASE WHEN bridge_completed THEN 'history bridge_repair_completed history_completed_bridge' ELSE 'warning bridge_required_but_not_completed warning_unfinished_bridge' END END,
+ CASE WHEN bridge_required AND NOT bridge_completed THEN 'selection_risk unsafe_reconstruction_candidate warning_unfinished_bridge' END,
+ CASE WHEN loops > 0 AND junctions > 0 AND endpoints > 2 THEN 'family complex_loop_branch_endpoint combined_complex_loop_branch_endpoint' END
+], lambda x: x IS NOT NULL)) AS said FROM s)"""
+_FACTS = _SIGN + ", " + _SAID + ", r AS (SELECT id, split_part(said, ' ', 1) AS predicate, split_part(said, ' ', 2) AS argument, split_part(said, ' ', 3) AS origin FROM sd)"
 
 
 def signatures(t) -> DataFrame:
@@ -25,11 +43,31 @@ def derived_facts(t):
     return rules.derive(signatures(t))
 
 
-@query("r3_rule_fires", f"WITH {_SIGN} SELECT id, ({' + '.join(f'CASE WHEN {c} THEN 2 ELSE 0 END' for _, c, _ in rules.RULES)})::BIGINT AS fires, 2::BIGINT AS passes FROM s")
+@query("r3_rule_fires", f"WITH {_FACTS} SELECT s.id, 2 * count(DISTINCT origin) AS fires, CASE WHEN count(origin) > 0 THEN 2 ELSE 1 END::BIGINT AS passes FROM s LEFT JOIN r USING (id) GROUP BY s.id")
 def rule_fires(t):
     return rules.fired(signatures(t)).select("id", F.col("fires").cast("bigint").alias("fires"), F.col("passes").cast("bigint").alias("passes"))
 
 
+#: Rules that read facts, in an order that takes several passes: the last one feeds the first.
+CHAIN = [
+    ("risky", "true", ["risk:high"], ["doubt:shape", "family:looped"]),
+    ("doubtful", "endpoints >= 2", ["doubt:shape"], ["mark:odd"]),
+    ("odd", "aspect >= 0.5", ["mark:odd"]),
+    ("calm", "loops = 0", ["risk:none"]),
+    ("looped", "loops >= 1", ["family:looped"]),
+]
+
+
+@query("r3_chained_facts", f"""WITH {_SIGN}, c AS (SELECT id, loops >= 1 AS l, endpoints >= 2 AS e, aspect >= 0.5 AS o FROM s)
+SELECT id, array_to_string(list_sort(list_filter([CASE WHEN o THEN 'mark:odd' END, CASE WHEN o AND e THEN 'doubt:shape' END, CASE WHEN l THEN 'family:looped' ELSE 'risk:none' END, CASE WHEN o AND e AND l THEN 'risk:high' END], lambda x: x IS NOT NULL)), ' ') AS known,
+CASE WHEN o AND e AND l THEN 4 WHEN o AND e THEN 3 ELSE 2 END::BIGINT AS passes,
+CASE WHEN o AND e AND l THEN 4 + 4 + 3 + 2 WHEN o AND e THEN 3 + 3 + 2 WHEN o THEN 4 ELSE 2 END::BIGINT AS fires FROM c""")
+def chained_facts(t):
+    """A chain of rules over facts, to its fixpoint."""
+    out = rules.chained(signatures(t), CHAIN)
+    return out.select("id", F.array_join(F.array_sort("known"), " ").alias("known"), F.col("passes").cast("bigint").alias("passes"), F.col("fires").cast("bigint").alias("fires"))
+
+
 @query("r1_fact_upsert", f"WITH {_FACTS}, u AS (SELECT id, predicate, argument, 1.0 AS w, origin FROM r UNION ALL SELECT id, predicate, argument, 0.5 + (id % 4) / 4.0, 'second' FROM r WHERE predicate = 'family') SELECT id, predicate, argument, max(w)::DOUBLE AS weight, string_agg(DISTINCT origin, '|' ORDER BY origin) AS origins FROM u GROUP BY id, predicate, argument")
 def fact_upsert(t):
     """Facts stated again with another weight: the largest stays, origins add up."""
