@@ -140,6 +140,37 @@ def test_rules_cover_each_branch(spark):
     assert [r.passes for r in rules.fired(rows).collect()] == [2, 2, 2]
 
 
+def test_rules_over_facts_against_a_plain_loop(spark):
+    from pyspark.sql import functions as F
+
+    from vellum.plans.structure import CHAIN
+
+    def run(row, chain, most):
+        known, fires, passes = [], 0, 0
+        while passes < most:
+            passes, before = passes + 1, len(known)
+            for _, condition, states, *needs in chain:
+                if condition(row) and all(x in known for x in (needs[0] if needs else [])):
+                    fires += 1
+                    known += [x for x in states if x not in known]
+            if len(known) == before:
+                break
+        return sorted(known), fires, passes
+
+    plain = {"true": lambda r: True, "endpoints >= 2": lambda r: r[1] >= 2, "aspect >= 0.5": lambda r: r[2] >= 0.5, "loops = 0": lambda r: r[3] == 0, "loops >= 1": lambda r: r[3] >= 1}
+    rows = [(k, k % 4, (k % 5) / 4, k % 3) for k in range(60)]
+    signatures = spark.createDataFrame(rows, "id int, endpoints int, aspect double, loops int")
+    for most in (1, 2, 3, 4, 9):
+        got = {r.id: (sorted(r.known), r.fires, r.passes) for r in rules.chained(signatures, CHAIN, most).collect()}
+        assert got == {r[0]: run(r, [(n, plain[c], *x) for n, c, *x in CHAIN], most) for r in rows}
+    alone = [r for r in CHAIN if not r[3:]]
+    slow = rules.chained(signatures, [*alone, ("never", "false", ["x:y"], ["x:z"])])
+    key = lambda df: sorted((r.id, sorted(r.known), sorted(r.said), r.fires, r.passes) for r in df.collect())
+    assert key(rules.chained(signatures, alone)) == key(slow)
+    given = rules.chained(signatures, CHAIN, given=F.array(F.lit("mark:odd")))
+    assert all("mark:odd" in r.known for r in given.collect())
+
+
 def test_capped_grouping():
     import numpy as np
 

@@ -55,6 +55,13 @@ def chained(signatures: DataFrame, rules=RULES, most_passes: int = MOST_PASSES,
     for name, condition, states, *needs in rules:
         rule = F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, states)).alias("states"), F.array(*map(F.lit, needs[0] if needs else [])).cast("array<string>").alias("needs"))
         holds.append(F.when(F.expr(condition), rule))
+    if given is None and most_passes > 1 and not any(r[3:] for r in rules):
+        # rules of the signature alone: the first pass states everything, a second one finds nothing new
+        own = signatures.select("id", F.array_compact(F.array(*holds)).alias("rules"))
+        known = F.array_distinct(F.flatten(F.transform("rules", lambda r: r["states"])))
+        said = F.flatten(F.transform("rules", lambda r: F.transform(r["states"], lambda fact: F.concat(fact, F.lit("\t"), r["name"]))))
+        passes = F.when(F.size("rules") > 0, 2).otherwise(1)
+        return own.select("id", known.alias("known"), said.alias("said"), (passes * F.size("rules")).alias("fires"), passes.alias("passes"))
     own = signatures.select("id", F.array_compact(F.array(*holds)).alias("rules"), (given if given is not None else F.array()).cast("array<string>").alias("given"))
 
     def fire(state: Column, rule: Column) -> Column:
