@@ -1,4 +1,4 @@
 """Queries over the tables, by area; importing this package registers all of them."""
 
-from . import fusion, images, joins, language, metrics, models, profiles, records, routing, sequences, streams, structure  # noqa: F401
+from . import fusion, images, joins, language, metrics, models, preparation, profiles, records, routing, sequences, streams, structure  # noqa: F401
 from .registry import QUERIES, SQL  # noqa: F401

@@ -31,6 +31,10 @@ def glyphs(t) -> DataFrame:
     return keys.select(k.alias("id"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), data.alias("data"))
 
 
+_INK = """p AS (SELECT p_partkey AS id, i, i // 14 AS y, i % 14 AS x, p_size % 3 + 1 AS t, p_partkey % 3 + 1 AS l, 12 - p_partkey % 2 AS b, 12 - p_size % 2 AS r, p_partkey AS k, p_size AS s FROM part, unnest(range(0, 196)) u(i)),
+g AS (SELECT id, y, x FROM p WHERE (((y = t OR (y = b AND k % 4 <> 1) OR x = l OR (x = r AND k % 3 <> 2)) AND y BETWEEN t AND b AND x BETWEEN l AND r) OR (k % 5 = 0 AND y = 7 AND x BETWEEN l AND r AND x <> s % 14)) AND NOT (k % 7 = 3 AND x = l AND y BETWEEN 6 AND 7))"""
+
+
 @query("i11_topology")
 def topology(t):
     """Parts, ends, junctions, loops and holes of each glyph's skeleton."""
@@ -39,12 +43,28 @@ def topology(t):
     return I.per_mask(glyphs(t), lambda m: [row(I.topology(m))], ", ".join(f"{n} {'double' if n == 'length' else 'int'}" for n in names))
 
 
+@query("i11_parts_and_holes", f"""WITH RECURSIVE {_INK}, f AS (SELECT DISTINCT p.id, p.y * 14 + p.x AS pos, p.y, p.x FROM p WHERE NOT EXISTS (FROM g WHERE g.id = p.id AND g.y = p.y AND g.x = p.x)),
+e AS (SELECT a.id, a.pos AS a, b.pos AS b FROM f a JOIN f b ON a.id = b.id AND abs(a.y - b.y) + abs(a.x - b.x) = 1 UNION ALL SELECT a.id, a.y * 14 + a.x, b.y * 14 + b.x FROM g a JOIN g b ON a.id = b.id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+l(id, pos, least_) AS (SELECT id, pos, pos FROM f UNION SELECT id, y * 14 + x, y * 14 + x FROM g UNION SELECT e.id, e.b, l.least_ FROM l JOIN e ON l.id = e.id AND l.pos = e.a WHERE l.least_ < e.b),
+c AS (SELECT id, pos, min(least_) AS part FROM l GROUP BY id, pos),
+k AS (SELECT c.id, c.part, count(*) AS n, bool_or(pos < 14 OR pos >= 182 OR pos % 14 IN (0, 13)) AS border, bool_or(f.id IS NULL) AS ink FROM c LEFT JOIN f USING (id, pos) GROUP BY c.id, c.part)
+SELECT id, count(*) FILTER (ink) AS parts, count(*) FILTER (NOT ink AND NOT border AND n >= 2) AS holes FROM k GROUP BY id""")
+def parts_and_holes(t):
+    """8-connected parts of ink, and 4-connected holes of two pixels or more."""
+    return I.per_mask(glyphs(t), lambda m: [(I.components(m)[1], len(I.holes(m)))], "parts bigint, holes bigint")
+
+
 @query("i12_repair_hypotheses")
 def repair_hypotheses(t):
     return I.per_mask(glyphs(t), lambda m: [(h["tool"], h["stage"], h["changed"], h["score"], h["accepted"], h["selected"]) for h in I.hypotheses(m)], "tool string, stage int, changed double, score double, accepted boolean, selected boolean")
 
 
-@query("i7_micro_components")
+@query("i7_micro_components", f"""WITH RECURSIVE {_INK}, e AS (SELECT a.id, a.y * 14 + a.x AS a, b.y * 14 + b.x AS b FROM g a JOIN g b ON a.id = b.id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
+l(id, pos, least_) AS (SELECT id, y * 14 + x, y * 14 + x FROM g UNION SELECT e.id, e.b, l.least_ FROM l JOIN e ON l.id = e.id AND l.pos = e.a WHERE l.least_ < e.b),
+c AS (SELECT id, pos // 14 AS y, pos % 14 AS x, min(least_) AS part FROM l GROUP BY id, pos),
+k AS (SELECT id, part, count(*) AS ink, min(x) AS x1, min(y) AS y1, max(x) + 1 AS x2, max(y) + 1 AS y2 FROM c GROUP BY id, part),
+n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY part) AS component FROM k)
+SELECT id, component::INT AS component, x1::INT AS x1, y1::INT AS y1, x2::INT AS x2, y2::INT AS y2, ink::INT AS ink, round_even(ink / ((x2 - x1) * (y2 - y1)), 4) AS density, round_even((x2 - x1) / (y2 - y1), 3) AS aspect FROM n WHERE ink >= 2""")
 def micro_components(t):
     return I.per_mask(glyphs(t), lambda m: [(c["id"], c["x1"], c["y1"], c["x2"], c["y2"], c["ink"], c["density"], c["aspect"]) for c in I.micro_components(m)], "component int, x1 int, y1 int, x2 int, y2 int, ink int, density double, aspect double")
 
@@ -56,10 +76,6 @@ def trace_features(t):
     return I.per_mask(glyphs(t), lambda m: [row(I.features(m), I.symbols(m))], "feature_names array<string>, vector array<double>, symbols string")
 
 
-_INK = """p AS (SELECT p_partkey AS id, i, i // 14 AS y, i % 14 AS x, p_size % 3 + 1 AS t, p_partkey % 3 + 1 AS l, 12 - p_partkey % 2 AS b, 12 - p_size % 2 AS r, p_partkey AS k, p_size AS s FROM part, unnest(range(0, 196)) u(i)),
-g AS (SELECT id, y, x FROM p WHERE (((y = t OR (y = b AND k % 4 <> 1) OR x = l OR (x = r AND k % 3 <> 2)) AND y BETWEEN t AND b AND x BETWEEN l AND r) OR (k % 5 = 0 AND y = 7 AND x BETWEEN l AND r AND x <> s % 14)) AND NOT (k % 7 = 3 AND x = l AND y BETWEEN 6 AND 7))"""
-
-
 @query("i8_row_projections", f"WITH {_INK} SELECT id, y, count(*) AS ink FROM g GROUP BY ALL")
 def row_projections(t):
     out = I.per_mask(glyphs(t), lambda m: [(y, int(n)) for y, n in enumerate(I.projections(m)[0]) if n], "y int, ink int")
@@ -124,7 +140,8 @@ def pixel_layers(t):
     return h.groupBy(layer.alias("layer")).agg(F.count("*").alias("pixels"), F.sum("v").alias("value"))
 
 
-@query("i4_bridge_pixels")
+@query("i4_bridge_pixels", f"""WITH {_INK}, f AS (SELECT DISTINCT p.id, p.y, p.x FROM p WHERE NOT EXISTS (FROM g WHERE g.id = p.id AND g.y = p.y AND g.x = p.x)), a(dy, dx) AS (VALUES (0, 1), (1, 0), (1, 1), (1, -1))
+SELECT DISTINCT f.id, f.y::INT AS y, f.x::INT AS x FROM f, a, range(1, 3) m(d), range(1, 3) n(e) WHERE EXISTS (FROM g WHERE g.id = f.id AND g.y = f.y + a.dy * d AND g.x = f.x + a.dx * d) AND EXISTS (FROM g WHERE g.id = f.id AND g.y = f.y - a.dy * e AND g.x = f.x - a.dx * e)""")
 def bridge_pixels(t):
     """Pixels lent to each glyph where ink stands on both sides of a gap within four pixels."""
     return I.per_mask(glyphs(t), lambda m: [(int(y), int(x)) for y, x in zip(*I.bridges(m, ~m, 2).nonzero(), strict=True)], "y int, x int")
