@@ -90,9 +90,10 @@ def test_registered_names(spark):
 
 def test_stored_results_can_be_released(spark, folder):
     from vellum.llm import common
+    from vellum.sources import durable
 
     kept = store(spark.range(3).selectExpr("id"), "release")
     assert kept.count() == 3
     common.release(spark)
-    assert not common._stored
+    assert not durable._stored
     assert store(spark.range(2).selectExpr("id"), "release").count() == 2

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from vellum.sources.durable import discard, release, setting, store  # noqa: F401
+
 #: Rows of an Arrow batch; a worker holds one batch at a time.
 BATCH_ROWS = 256
 #: Bytes of text that the numpy kernels take at once (one longer text is taken alone).
 SLICE_BYTES = 1 << 19
 #: Rows that the numpy kernels take at once.
 MOST_ROWS = 4096
-#: Where this application has stored results.
-_stored: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,64 +24,6 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-@contextlib.contextmanager
-def setting(spark: SparkSession, key: str, value: str):
-    """The session's setting for what runs inside; the caller's value holds again after."""
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = getattr(scratch_dir, "own", None) or tempfile.mkdtemp(prefix="vellum-")
-        scratch_dir.own = found
-    return found.rstrip("/")
-
-
-def store(df: DataFrame, name: str, light: bool = False, by: str | None = None) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    The copy cuts the lineage: executors lost later only cost their own tasks.
-    ``light``: rows are ids and numbers, so an eighth of the shuffle's partitions
-    suffices; each file costs a process and a directory entry. ``by``: a column that
-    names the folder of a row, so that a filter on it reads only its own files.
-    """
-    spark = df.sparkSession
-    if light:
-        df = df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
-    path = f"{scratch_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
-    _stored.append(path)
-    # nothing reads the shuffle files of this plan once its result is stored
-    with setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
-        df.write.parquet(path, partitionBy=by)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def release(spark: SparkSession) -> None:
-    """Delete all stored results of this application, once nothing reads them any more."""
-    for path in _stored:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-    _stored.clear()
-
-
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stored result that nothing reads any more."""
-    path = getattr(df, "stored_at", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
-
-
 def free_name(columns, wanted: str) -> str:
     """``wanted``, with underscores in front until no column has the name."""
     taken = {c.lower() for c in columns}

@@ -339,8 +339,9 @@ def pack_rests(rests: DataFrame, capacity: int, epochs: int, round_: int) -> Dat
     dealt = rests.withColumn("shard", F.pmod(F.xxhash64("uid", F.lit(round_)), F.lit(shards)))
     lengths = dealt.select("shard", "uid", "length").groupBy("shard").applyInPandas(_gathered, "shard long, lengths binary")
     islands = lengths.select("shard", F.explode(F.array(*map(F.lit, range(ISLANDS)))).alias("island"), "lengths", F.lit(None).cast("array<binary>").alias("packings"))
+    tasks = min(shards * ISLANDS, int(spark.conf.get("spark.sql.shuffle.partitions")))  # rows are few, but each is long work
     for epoch in range(epochs):
-        state = store(islands.groupBy("shard", "island").applyInPandas(_epoch(capacity, epoch), STATE), "islands")
+        state = store(islands.repartition(tasks, "shard", "island").groupBy("shard", "island").applyInPandas(_epoch(capacity, epoch), STATE), "islands")
         elites = state.select("shard", ((F.col("island") + 1) % ISLANDS).alias("island"), "lengths", F.slice("packings", 1, 1).alias("packings"))
         islands = state.select("shard", "island", "lengths", "packings").unionByName(elites)
     best = state.groupBy("shard").agg(F.min_by(F.element_at("packings", 1), F.struct("n_bins", -F.col("score"), "island")).alias("labels"))
