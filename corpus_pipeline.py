@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept;
 all but the last return the columns of ``docs``.
+
+Defined cases: a null or empty text has no language and goes in the first stage; rows
+with equal texts, or with near copies, leave one row; ties go as each operator's
+docstring says; very long texts pass through as a whole; further columns are kept as
+they are, clashing names included; an empty table gives no rows in any stage.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vellum.sources.durable import discard, release, setting, store  # noqa: F401
 
-#: Rows of an Arrow batch; a worker holds one batch at a time.
+#: Rows of an Arrow batch in stored steps; a worker holds one batch at a time.
 BATCH_ROWS = 256
 #: Bytes of text that the numpy kernels take at once (one longer text is taken alone).
 SLICE_BYTES = 1 << 19
@@ -20,8 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def in_batches(spark: SparkSession, rows: int = BATCH_ROWS):
+    """Arrow batches of so many rows for the steps that are stored inside; outside, the
+    session's own settings bound a batch (64 MB unless set otherwise)."""
+    return setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def free_name(columns, wanted: str) -> str:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words as W
-from .common import discard, free_name, slices, small_batches, store, table, utf8_view
+from .common import discard, free_name, slices, store, table, utf8_view
 
 WINDOW = 10
 BLOCK_CHARS = 4 << 20
@@ -106,7 +106,6 @@ def mark(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, n: int = WI
     n_words, hits (word positions hit), cuts (character-free byte spans of runs of
     hit words, [start, end, start, end, ...]), items (ids with an occurring window).
     """
-    small_batches(spark)
     names = {k: free_name(docs.columns, k) for k in ("n_words", "hits", "cuts", "items")}
     fields = [T.StructField(names["n_words"], T.LongType())] + [T.StructField(names[k], T.ArrayType(T.LongType())) for k in ("hits", "cuts", "items")]
     before = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices, small_batches, table, utf8_view
+from .common import free_name, slices, table, utf8_view
 
 DIM = 4096
 SAMPLE_ROWS = 1200
@@ -190,7 +190,6 @@ def held_out(modulus: int, fold: int):
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out(4, 2))
     model = learn(docs, ~F.col("held_out") & F.col("doc_id").isNotNull())
     return identify(docs, model, ["doc_id", "held_out"])
@@ -198,7 +197,6 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame) -> DataFrame:
     """``docs`` without those whose language is not found (und or a score under REJECT)."""
-    small_batches(docs.sparkSession)
     model = learn(docs.withColumn("held_out", held_out(4, 2)), ~F.col("held_out") & F.col("doc_id").isNotNull())
     lang, score = free_name(docs.columns, "lang_pred"), free_name(docs.columns, "lang_score")
     found = identify(docs, model, docs.columns, (lang, score))

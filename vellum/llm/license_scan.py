@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import table
 
 #: Share of a template's words that a block may lack or replace.
 MISSING = 0.15
@@ -234,7 +234,6 @@ RESULT = "doc_id long, block int, start long, stop long, license string, bytes_s
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per license and place (code points; stop is exclusive): see RESULT."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         names = [c.split()[0] for c in RESULT.split(", ")]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import discard, setting, slices, small_batches, store, table, utf8_view
+from .common import discard, in_batches, slices, store, table, utf8_view
 from .language_id import held_out
 
 CHUNK_BYTES = 4 << 20
@@ -340,12 +340,12 @@ def _scored(total: int, distinct: int, ends: int, weights: np.ndarray):
 def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES, owner_tokens: int = OWNER_TOKENS, bits: int = FAN_BITS) -> DataFrame:
     """One row per document of (doc_id, text, held_out): see SCORED."""
     spark = docs.sparkSession
-    small_batches(spark)
-    chunks = store(docs.select("doc_id", "held_out", "text").mapInArrow(_chunks(chunk_bytes), CHUNK).select(F.monotonically_increasing_id().alias("chunk"), "*"), "chunks")
+    with in_batches(spark):
+        chunks = store(docs.select("doc_id", "held_out", "text").mapInArrow(_chunks(chunk_bytes), CHUNK).select(F.monotonically_increasing_id().alias("chunk"), "*"), "chunks")
     many, tokens = chunks.agg(F.count("*"), F.coalesce(F.sum("tokens"), F.lit(0))).first()
     owners = max(1, -(-tokens // owner_tokens))
     levels = max(1, -(-(owners - 1).bit_length() // bits))
-    with setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1"):  # a row is a whole chunk
+    with in_batches(spark, 1):  # a row is a whole chunk
         asked = chunks.select("chunk", "sizes", "held", "vocabulary", "codes").mapInArrow(_requests(many, bits), ASKED)
         for level in range(2, levels + 1):
             asked = asked.groupBy("kind", "part", "home").applyInPandas(_spread(level, many, bits), ASKED)

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, slices, small_batches, store, table, utf8_view
+from .common import discard, in_batches, slices, store, table, utf8_view
 
 BLOCK = 192
 SEEK = 64
@@ -496,8 +496,6 @@ def seek(raw: bytes, sample: int) -> int:
 
 def stored(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the FLAC stream (media) of each document's padded text."""
-    small_batches(docs.sparkSession)
-
     def run(batches):
         for batch in batches:
             data, offsets = utf8_view(batch.column(1))
@@ -593,7 +591,8 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = []
     for part in range(PARTS):
         own = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) == part)
-        media = store(stored(own), "media")
-        found.append(store(judge(media), "features"))
+        with in_batches(spark):
+            media = store(stored(own), "media")
+            found.append(store(judge(media), "features"))
         discard(media)
     return reduce(DataFrame.unionByName, found)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import MOST_ROWS, discard, free_name, slices, small_batches, store, table, utf8_view
+from .common import MOST_ROWS, discard, free_name, in_batches, slices, store, table, utf8_view
 
 SHINGLE = 5
 SIMILAR = 0.8
@@ -360,7 +360,11 @@ def _links(batches):
 
 def classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, class_id (least doc_id of its class)."""
-    small_batches(docs.sparkSession)
+    with in_batches(docs.sparkSession):
+        return _classes(docs)
+
+
+def _classes(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.md5("text").alias("key"), "text")
     sketch = store(keyed.mapInArrow(_sketch, SKETCH), "sketch")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("rep")

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import slices, small_batches, store, table, utf8_view
+from .common import in_batches, slices, store, table, utf8_view
 
 CAPACITY = 2048
 SHARD = 4096
@@ -183,7 +183,6 @@ def token_ids(column: pa.Array, path: str):
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece; uid is unique among the rows once they are stored."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
         import os
@@ -350,7 +349,8 @@ def pack_rests(rests: DataFrame, capacity: int, epochs: int, round_: int) -> Dat
 
 def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    cut = store(pieces(docs, path or public_tokenizers.path("word_bpe_49k.json"), capacity), "pieces")
+    with in_batches(spark):
+        cut = store(pieces(docs, path or public_tokenizers.path("word_bpe_49k.json"), capacity), "pieces")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     # a full piece's number is even, a packed sequence's odd: the uid of its first piece
     full = cut.filter(F.col("length") == capacity).select(*columns, (F.col("uid") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))

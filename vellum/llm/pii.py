@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table
+from .common import BATCH_ROWS, table
 
 KINDS = ("email", "ip", "card", "phone")
 HIDDEN, STEPS, BATCH, WINDOW, STRIDE, PAD = 20, 260, 32, 72, 36, 36
@@ -374,14 +374,19 @@ def said(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
+def _in_turn(texts: list, net):
+    """``all_spans`` of some rows at a time, so that a kernel's arrays stay small."""
+    for a in range(0, len(texts), BATCH_ROWS):
+        yield from all_spans([t or "" for t in texts[a : a + BATCH_ROWS]], net)
+
+
 def find(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(trained())
 
     def run(batches):
         for batch in batches:
-            found = all_spans([t or "" for t in batch.column(1).to_pylist()], shared.value)
+            found = list(_in_turn(batch.column(1).to_pylist(), shared.value))
             counts = [[sum(k == kind for _, k, _ in own) for own, _ in found] for kind in range(4)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array([hashlib.sha256(said(own).encode()).hexdigest() for own, _ in found], pa.string()), pa.array([said(spans) for _, spans in found], pa.string())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
@@ -390,13 +395,12 @@ def find(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with each span replaced by its kind in angle brackets (n_chars follows)."""
-    small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(trained()), docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             texts = batch.column(at).to_pylist()
-            for r, (_, spans) in enumerate(all_spans([t or "" for t in texts], shared.value)):
+            for r, (_, spans) in enumerate(_in_turn(texts, shared.value)):
                 out, end = [], 0
                 for a, k, b in spans:
                     if b > end:  # of overlapping spans the rest of the later one goes too

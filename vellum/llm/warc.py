@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, store, table
+from .common import in_batches, store, table
 
 #: Bytes of an archive, about; one record may be longer.
 ARCHIVE_BYTES = 4 << 20
@@ -185,14 +185,14 @@ def _write(batches):
 
 def archives(pages: DataFrame, at_least: int = 0) -> DataFrame:
     """Rows of archive (number) and data (bytes), stored in the shared folder."""
-    small_batches(pages.sparkSession)
     base = pages.select(F.col("page_id").cast("long"), "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     base = base.withColumn("key", F.when(F.length("payload") >= at_least, F.sha2("payload", 256)))
     ids = base.select("page_id", "key").filter("key is not null").groupBy("key").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
     ids = ids.select("key", "head", F.lit(True).alias("copied"))
     joined = base.join(ids, "key", "left").withColumn("revisit", F.coalesce("copied", F.lit(False)) & ~F.col("page_id").eqNullSafe(F.col("head")))
     written = joined.select("page_id", "url", "payload", F.when(F.col("revisit"), F.col("head")).alias("refers_to"), "revisit").mapInArrow(_write, "data binary")
-    return store(written.select(F.monotonically_increasing_id().alias("archive"), "data"), "warc")
+    with in_batches(pages.sparkSession):
+        return store(written.select(F.monotonically_increasing_id().alias("archive"), "data"), "warc")
 
 
 RECORD = "archive long, start long, stop long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, gap string"
