@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
+from vellum.operators import borders
 from vellum.operators import images as I
 from vellum.operators import preparation as P
 
@@ -115,3 +116,34 @@ SELECT id, CASE damage WHEN 'clean' THEN 'clean' ELSE 'uncertain' END AS conditi
 def image_conditions(t):
     """What the pixels of each glyph tell of damage, worn down so that some fall apart."""
     return I.per_mask(glyphs(t), lambda m: [P.condition(np.where(m, 0, 255).astype(np.uint8))[:4]], "condition string, repair boolean, damage string, confidence double")
+
+
+@query("b29_border_profiles", f"""WITH {_INK}, u AS (SELECT id, count(*) FILTER (x <= 5) AS a, count(*) FILTER (x > 6) AS b FROM g GROUP BY id),
+m AS (SELECT id, count(*) AS matched FROM (SELECT id, y FROM g WHERE x IN (4, 5) GROUP BY ALL INTERSECT SELECT id, y FROM g WHERE x IN (7, 8) GROUP BY ALL) GROUP BY id)
+SELECT u.id, 1::BIGINT AS gap, 1.0::DOUBLE AS overlap, coalesce(matched, 0) AS matched, CASE WHEN coalesce(matched, 0) < 2 THEN 'profiles_do_not_align' END AS blocked FROM u LEFT JOIN m USING (id)""")
+def border_profiles(t):
+    """What speaks for joining a glyph's left part to its right one, a column apart."""
+    limits = borders.Limits(tolerance=0)
+
+    def kernel(m):
+        e = borders.edge(m, {"id": 1, "box": (0, 0, 6, 14), "groups": 1}, {"id": 2, "box": (7, 0, 14, 14), "groups": 1}, "right", limits)
+        return [(e["gap"], e["overlap"], e["matched"], e["blocked"])]
+
+    return I.per_mask(glyphs(t), kernel, "gap bigint, overlap double, matched bigint, blocked string")
+
+
+@query("j10_attached_units", f"""WITH {_INK}, q AS (SELECT id, x > 6 AS r, y > 6 AS d, y, x FROM g WHERE x <> 6 AND y <> 6),
+h AS (SELECT id, d, count(*) >= 2 AS joined FROM (SELECT id, d, y FROM q WHERE x IN (4, 5) GROUP BY ALL INTERSECT SELECT id, d, y FROM q WHERE x IN (7, 8) GROUP BY ALL) GROUP BY ALL),
+v AS (SELECT id, r, count(*) >= 2 AS joined FROM (SELECT id, r, x FROM q WHERE y IN (4, 5) GROUP BY ALL INTERSECT SELECT id, r, x FROM q WHERE y IN (7, 8) GROUP BY ALL) GROUP BY ALL),
+n AS (SELECT i.id, (SELECT count(*) FROM h WHERE h.id = i.id AND joined) AS across, (SELECT count(*) FROM v WHERE v.id = i.id AND joined) AS down FROM (SELECT DISTINCT id FROM g) i)
+SELECT id, 4 - least(3, across + down) AS units, least(3, across + down) AS accepted FROM n""")
+def attached_units(t):
+    """Quarters of each glyph that belong together by their borders; four edges join three at most."""
+    limits = borders.Limits(tolerance=0)
+    quarters = [{"id": 2 * r + c, "box": (7 * c, 7 * r, 6 + 8 * c, 6 + 8 * r), "groups": 1, "layer": "black"} for r in (0, 1) for c in (0, 1)]
+
+    def kernel(m):
+        units, accepted, _ = borders.attached(m, quarters, limits)
+        return [(len(units), len(accepted))]
+
+    return I.per_mask(glyphs(t), kernel, "units bigint, accepted bigint")

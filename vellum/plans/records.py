@@ -165,3 +165,120 @@ def ranked_observations(t):
     g = t.lineitem.groupBy(F.col("l_returnflag").alias("class"), F.col("l_linenumber").alias("feature")).agg(F.count("*").alias("n"))
     order = Window.partitionBy("class").orderBy(F.col("feature") % 3, F.desc("n"), F.col("feature").cast("string"))
     return g.withColumn("place", F.row_number().over(order).cast("bigint"))
+
+
+@query("p8_thresholds", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN (c_custkey % 10) / 10.0 ELSE 0.45 END::DOUBLE AS printed_threshold, CASE WHEN c_custkey % 4 = 0 THEN 0.3 WHEN c_custkey % 5 = 0 THEN (c_custkey % 7) / 10.0 ELSE 0.45 END::DOUBLE AS handwriting_threshold, 0.65::DOUBLE AS noise_threshold FROM customer")
+def thresholds(t):
+    """Thresholds of each customer over the defaults; one has an older name."""
+    k = F.col("c_custkey")
+    pairs = [(F.when(k % 3 == 0, "printed_threshold"), k % 10 / 10.0), (F.when(k % 4 == 0, "handwriting_threshold"), F.lit(0.3)), (F.when(k % 5 == 0, "handwritten_threshold"), k % 7 / 10.0), (F.when(k % 2 == 0, "noise_threshold"), F.lit("none"))]
+    entries = F.filter(F.array(*[F.struct(n.alias("k"), v.cast("string").alias("v")) for n, v in pairs]), lambda x: x["k"].isNotNull())
+    defaults = {f"{n}_threshold": routing.THRESHOLDS[n] for n in ("printed", "handwriting", "noise")}
+    return t.customer.select("c_custkey", *[c.alias(n) for n, c in R.overlaid(F.map_from_entries(entries), defaults, {"handwriting_threshold": "handwritten_threshold"}).items()])
+
+
+@query("b1_refiner_settings", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'old' ELSE 'scribemap_2_layers' END AS input_mode, CASE WHEN c_custkey % 3 = 0 THEN c_custkey % 9 ELSE 2 END AS crop_padding_px, c_custkey % 5 <> 0 AS correction_routing_enabled, 0.35::DOUBLE AS correction_min_horizontal_span_ratio, 'blue,red,green,unknown_color,black' AS layers_to_refine, 4::BIGINT AS stacked_text_max_segments FROM customer")
+def refiner_settings(t):
+    k = F.col("c_custkey")
+    pairs = [(F.when(k % 2 == 0, "input_group_mode"), F.lit("old")), (F.when(k % 3 == 0, "crop_padding_px"), k % 9), (F.when(k % 5 == 0, "correction_routing_enabled"), F.lit(False)), (F.when(k % 7 == 0, "unknown_name"), F.lit(1))]
+    entries = F.filter(F.array(*[F.struct(n.alias("k"), v.cast("string").alias("v")) for n, v in pairs]), lambda x: x["k"].isNotNull())
+    made = R.overlaid(F.map_from_entries(entries), R.REFINER, R.REFINER_ALIASES)
+    return t.customer.select("c_custkey", *[made[n].alias(n) for n in ("input_mode", "crop_padding_px", "correction_routing_enabled", "correction_min_horizontal_span_ratio", "layers_to_refine", "stacked_text_max_segments")])
+
+
+@query("b3_replacements", "SELECT l_orderkey AS doc, l_linenumber AS crop, w, h, (w >= 8 AND h >= 8 AND w * h >= 80 AND greatest(w / h, h / w) <= 12) AS candidate FROM (SELECT *, l_quantity::BIGINT * 3 + 1 AS w, l_partkey % 40 + 1 AS h FROM lineitem)")
+def replacements(t):
+    w, h = F.col("l_quantity").cast("bigint") * 3 + 1, F.col("l_partkey") % 40 + 1
+    return t.lineitem.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("crop"), w.alias("w"), h.alias("h"), R.is_replacement(w, h, w * h).alias("candidate"))
+
+
+@query("b3_crop_masks", """WITH c AS (SELECT ['blue', 'green', 'black', 'red', 'unknown_color', 'pencil'][(l_partkey % 6 + 1)::INT] AS layer FROM lineitem)
+SELECT layer, layer AS analysis, CASE layer WHEN 'blue' THEN 'blue_continuity' WHEN 'red' THEN 'red_continuity' ELSE layer END AS analysis_mask, CASE layer WHEN 'blue' THEN 'blue+black' WHEN 'green' THEN 'green+black' WHEN 'red' THEN 'red+blue+black' WHEN 'unknown_color' THEN 'unknown_color+blue+black' ELSE layer END AS context, count(*) AS crops FROM c GROUP BY layer""")
+def crop_mask_names(t):
+    names = F.array(*map(F.lit, ("blue", "green", "black", "red", "unknown_color", "pencil")))
+    c = t.lineitem.select(F.get(names, (F.col("l_partkey") % 6).cast("int")).alias("layer")).groupBy("layer").agg(F.count("*").alias("crops"))
+    return c.select("layer", *[F.array_join(v, "+").alias(k) for k, v in R.crop_masks(F.col("layer")).items()], "crops")
+
+
+def _document(k):
+    """Records with a payload under one of several names, empty ones among them."""
+    q = F.lit("}")
+    own = F.concat(F.lit('{"endpoints":'), k % 5, q)
+    made = F.concat(F.lit('{"endpoints":'), k % 5, q)
+    for n, doc in enumerate((F.concat(F.lit('{"auto":{},"observed":'), own, q), F.concat(F.lit('{"traced":'), own, F.lit(',"observed":{"endpoints":9}}')), F.concat(F.lit('{"reconstruction":{"selected_scrilog_observation":'), own, F.lit('},"expected":{"endpoints":2}}')), F.concat(F.lit('{"metrics":{"scrilog_observation":'), own, F.lit('},"metadata":{"geometry":{"width":7}}}')))):
+        made = F.when(k % 6 == n, doc).otherwise(made)
+    return made
+
+
+@query("p22_payloads", """SELECT event_id, '{"endpoints":' || (event_id % 5) || '}' AS observed, CASE WHEN event_id % 6 = 2 THEN '{"endpoints":2}' END AS expected, CASE WHEN event_id % 6 = 3 THEN '{"width":7}' END AS geometry FROM events""")
+def payloads(t):
+    doc = _document(F.col("event_id"))
+    return t.events.select("event_id", R.observed_payload(doc).alias("observed"), R.expected_payload(doc).alias("expected"), R.geometry_payload(doc).alias("geometry"))
+
+
+@query("b12_executed_jobs", """WITH s AS (SELECT l_orderkey AS unit, l_linenumber % 2 AS path, l_linenumber AS segment, l_linestatus = 'F' AS selected, l_partkey AS result FROM lineitem),
+j AS (SELECT o_orderkey AS unit, o_orderkey % 2 AS path, n AS segment, o_custkey % 3 <> 0 AS asked FROM orders, (SELECT unnest([1, 2, 3, 9]) AS n))
+SELECT unit, path, segment, CASE WHEN asked THEN (SELECT min(result) FROM s WHERE s.unit = j.unit AND s.path = j.path AND s.segment = j.segment AND selected) END AS executed FROM j""")
+def executed_jobs(t):
+    s = t.lineitem.select(F.col("l_orderkey").alias("unit"), (F.col("l_linenumber") % 2).cast("bigint").alias("path"), F.col("l_linenumber").alias("segment"), (F.col("l_linestatus") == "F").alias("selected"), F.col("l_partkey").alias("result"))
+    s = s.groupBy("unit", "path", "segment", "selected").agg(F.min("result").alias("result"))
+    experts = F.when(F.col("o_custkey") % 3 != 0, F.array(F.lit("glyph"), F.lit("trace"))).otherwise(F.array(F.lit("trace")))
+    j = t.orders.select(F.col("o_orderkey").alias("unit"), (F.col("o_orderkey") % 2).alias("path"), F.explode(F.array(*map(F.lit, (1, 2, 3, 9)))).alias("segment"), experts.alias("experts"))
+    return R.executed(j, s, "glyph").select("unit", "path", "segment", "executed")
+
+
+@query("b27_feature_vectors", "SELECT event_id, round(value, 6) AS a, 0.0::DOUBLE AS b, CASE WHEN event_id % 2 = 0 THEN user_id ELSE 0 END::DOUBLE AS c, 0.0::DOUBLE AS d FROM events")
+def feature_vectors(t):
+    """Named features as a vector; what lacks or is no number is 0."""
+    m = F.create_map(F.lit("value"), F.col("value").cast("string"), F.lit("kind"), F.col("event_type"), F.lit("user"), F.when(F.col("event_id") % 2 == 0, F.col("user_id").cast("string")), F.lit("bad"), F.lit("NaN"))
+    v = R.vector(m, ["value", "kind", "user", "bad"])
+    return t.events.select("event_id", F.round(v[0], 6).alias("a"), v[1].alias("b"), v[2].alias("c"), v[3].alias("d"))
+
+
+@query("b28_refinement_summary", """WITH r AS (SELECT l_orderkey AS doc, CASE WHEN l_tax < 0.02 THEN 'accepted' WHEN l_tax < 0.05 THEN 'rejected' WHEN l_tax < 0.07 THEN 'review' END AS status, CASE l_returnflag WHEN 'A' THEN 'none' WHEN 'N' THEN 'visual_classification' END AS node, CASE WHEN l_quantity > 40 THEN 'too_faint' WHEN l_quantity > 30 THEN 'mostly_empty,too_faint' ELSE 'quality_ok' END AS reason FROM lineitem)
+SELECT doc, count(*) FILTER (status = 'accepted') AS accepted_count, count(*) FILTER (status IS NULL OR status = 'review') AS review_count, count(*) FILTER (status = 'rejected') AS rejected_count, count(*) FILTER (node IS NULL OR node <> 'none') AS visual_classification_count, count(*) FILTER (node = 'none') AS none_count, count(*) FILTER (reason LIKE '%too_faint') AS faint FROM r GROUP BY doc""")
+def refinement_summaries(t):
+    i = F.col
+    status = F.when(i("l_tax") < 0.02, "accepted").when(i("l_tax") < 0.05, "rejected").when(i("l_tax") < 0.07, "review")
+    node = F.when(i("l_returnflag") == "A", "none").when(i("l_returnflag") == "N", "visual_classification")
+    faults = F.when(i("l_quantity") > 40, F.array(F.lit("too_faint"))).when(i("l_quantity") > 30, F.array(F.lit("mostly_empty"), F.lit("too_faint"))).otherwise(F.array().cast("array<string>"))
+    rows = t.lineitem.select(i("l_orderkey").alias("doc"), R.refiner_payload(status, i("l_discount"), faults, node).alias("p")).select("doc", "p.*").withColumn("faint", i("status_reason").endswith("too_faint"))
+    faint = rows.groupBy("doc").agg(F.count_if("faint").alias("faint"))
+    return R.refinement_summary(rows, "doc").join(faint, "doc")
+
+
+@query("b32_evidence_policy", "SELECT DISTINCT p_type AS name, CASE p_size % 4 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS importance, CASE p_size % 4 WHEN 0 THEN 1.0 WHEN 1 THEN 0.55 ELSE 0.2 END::DOUBLE AS weight, CASE WHEN p_size % 3 = 0 THEN 'quadrants.' || p_size ELSE p_type END AS observed_path FROM part")
+def evidence_policies(t):
+    tier = F.when(F.col("p_size") % 4 == 0, "high").when(F.col("p_size") % 4 == 1, "medium").when(F.col("p_size") % 4 == 2, "other")
+    fields = t.part.select(F.col("p_type").alias("name"), tier.alias("importance"), F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("quadrants."), F.col("p_size").cast("string"))).alias("observed_path")).distinct()
+    return R.evidence_policy(fields).distinct()
+
+
+@query("f22_case_metrics", "SELECT event_type AS label, event_id AS source, (event_id % 100) / 10.0 AS elapsed_seconds, 2::BIGINT AS feature_count, sha256('value=' || printf('%.6f', value) || '|user=' || printf('%.6f', user_id::DOUBLE)) AS vector_hash FROM events")
+def case_metrics(t):
+    started = F.col("ts").cast("timestamp")
+    ended = F.timestamp_micros(F.unix_micros(started) + (F.col("event_id") % 100) * 100_000)
+    cases = t.events.select(F.col("event_type").alias("label"), F.col("event_id").alias("source"), started.alias("started"), ended.alias("ended"), F.array(F.lit("value"), F.lit("user")).alias("names"), F.array(F.col("value"), F.col("user_id").cast("double")).alias("vector"))
+    return R.case_metrics(cases)
+
+
+@query("b22_active_features", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'reconstructed' ELSE 'original' END AS active_source, round(CASE WHEN event_id % 3 = 0 THEN value / 2 ELSE value END, 6) AS first FROM events")
+def active_features(t):
+    names = F.array(F.lit("a"), F.lit("b"))
+    rows = t.events.select("event_id", names.alias("names"), F.array(F.col("value"), F.lit(1.0)).alias("vector"), F.when(F.col("event_id") % 3 == 0, "reconstructed").alias("source"), names.alias("selected_names"), F.array(F.col("value") / 2, F.lit(1.0)).alias("selected_vector"))
+    return R.active_features(rows).select("event_id", "active_source", F.round(F.col("active_vector")[0], 6).alias("first"))
+
+
+@query("m6_word_cuts", """WITH u AS (SELECT DISTINCT user_id AS unit FROM events), b AS (SELECT unit, i AS bin, ((unit * 7 + i * 13) % 20) / 20.0 AS a, ((unit + i * 3) % 10) / 40.0 AS g FROM u, unnest(range(0, 12)) r(i)),
+s AS (SELECT unit, bin, greatest(0.0, a - g) AS score FROM b), p AS (SELECT s.*, unit % 5 AS expected FROM s WHERE score >= 0.35),
+k AS (SELECT *, row_number() OVER (PARTITION BY unit ORDER BY score DESC, bin) AS place FROM p)
+SELECT u.unit, u.unit % 5 AS expected, 0.6::DOUBLE AS confidence, coalesce((SELECT array_to_string(list_sort(list(bin)), ',') FROM k WHERE k.unit = u.unit AND place <= greatest(0, expected - 1)), '') AS cuts FROM u""")
+def word_cuts(t):
+    """Cuts of units from invented scores of a sequence model's heads, neighbours allowed."""
+    u = t.events.select(F.col("user_id").alias("unit")).distinct()
+    bins = F.sequence(F.lit(0), F.lit(11))
+    score = F.transform(bins, lambda i: (F.col("unit") * 7 + i * 13) % 20 / 20.0)
+    bridge = F.transform(bins, lambda i: (F.col("unit") + i * 3) % 10 / 40.0)
+    length = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when(F.col("unit") % 5 == i, 0.6).otherwise(0.1))
+    heads = u.select("unit", score.alias("boundary"), bridge.alias("bridge"), F.array_repeat(F.lit(1.0), 12).alias("safety"), length.alias("length"))
+    return R.word_cuts(heads, min_distance=1).select("unit", F.col("expected").cast("bigint").alias("expected"), "confidence", F.array_join("cuts", ",").alias("cuts"))
