@@ -36,17 +36,17 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def store(df: DataFrame, name: str, light: bool = False, by: str | None = None) -> DataFrame:
+def store(df: DataFrame, name: str, light: int = 0, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     The copy cuts the lineage: executors lost later only cost their own tasks.
-    ``light``: rows are ids and numbers, so an eighth of the shuffle's partitions
-    suffices; each file costs a process and a directory entry. ``by``: a column that
+    ``light``: rows are ids and numbers, so one file for so many of the shuffle's
+    partitions suffices; each file costs a process and a directory entry. ``by``: a column that
     names the folder of a row, so that a filter on it reads only its own files.
     """
     spark = df.sparkSession
     if light:
-        df = df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+        df = df.coalesce(max(2, int(spark.conf.get("spark.sql.shuffle.partitions")) // light))
     path = f"{scratch_dir(spark)}/vellum-{name}-{uuid.uuid4().hex}"
     _stored.append(path)
     # nothing reads the shuffle files of this plan once its result is stored
