@@ -203,19 +203,19 @@ def components(links: DataFrame) -> DataFrame:
 
     Every node takes its least neighbour's least neighbour; links between what is
     then still apart are the next round's."""
-    edges = store(links.select(*_pair("a", "b")).filter("a <> b").distinct(), "links", light=True)
+    edges = store(links.select(*_pair("a", "b")).filter("a <> b").distinct(), "links", light=16)
     labels = None
     while True:
         both = edges.select("a", "b").union(edges.select("b", "a"))
         near = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label"))
         far = near.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        step = store(near.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("to")), "steps", light=True)
+        step = store(near.join(far, "label", "left").select("node", F.coalesce("far", "label").alias("to")), "steps", light=16)
         rest = edges
         for end in ("a", "b"):
             rest = rest.join(step.withColumnsRenamed({"node": end, "to": f"to_{end}"}), end)
-        rest = store(rest.select(*_pair("to_a", "to_b")).filter("a <> b").distinct(), "links", light=True)
+        rest = store(rest.select(*_pair("to_a", "to_b")).filter("a <> b").distinct(), "links", light=16)
         known = step.withColumnRenamed("to", "label") if labels is None else _moved(labels, step)
-        known = store(known, "labels", light=True)
+        known = store(known, "labels", light=16)
         for df in (edges, step, labels):
             discard(df)
         edges, labels = rest, known
@@ -241,7 +241,7 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
         between = between.join(known, end, "left").withColumn(end, F.coalesce("of", end)).drop("of")
     step = components(between).withColumnRenamed("label", "to")
     own = step.select("node", F.col("node").alias("label"))
-    out = store(_moved(labels.unionByName(own).distinct(), step), "labels", light=True)
+    out = store(_moved(labels.unionByName(own).distinct(), step), "labels", light=16)
     for df in (labels, step):
         discard(df)
     return out
@@ -368,16 +368,16 @@ def _classes(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.md5("text").alias("key"), "text")
     sketch = store(keyed.mapInArrow(_sketch, SKETCH), "sketch")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("rep")
-    nodes = store(sketch.filter("node is not null").groupBy("node").agg(first, F.any_value("bands").alias("bands"), F.any_value("marks").alias("marks")), "nodes", light=True)
+    nodes = store(sketch.filter("node is not null").groupBy("node").agg(first, F.any_value("bands").alias("bands"), F.any_value("marks").alias("marks")), "nodes", light=8)
 
     banded = nodes.select("node", F.posexplode("bands").alias("band", "hash")).select("node", "band", F.xxhash64("band", "hash").alias("bucket"))
-    sizes = store(banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "sizes", light=True)
-    shared = store(banded.join(sizes, "bucket").select("*", _part("size")), "shared", light=True)
+    sizes = store(banded.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"), "sizes", light=8)
+    shared = store(banded.join(sizes, "bucket").select("*", _part("size")), "shared", light=8)
     # texts near the middle of a group share bands with most others: the best leaders
     weights = shared.groupBy("node").agg(F.sum("size").alias("weight"))
     weighed = shared.join(weights, "node")
     leaders = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("leader"), F.any_value("size").alias("size"))
-    buckets = store(weighed.join(_each_part(leaders), ["bucket", "part"]), "buckets", light=True)
+    buckets = store(weighed.join(_each_part(leaders), ["bucket", "part"]), "buckets", light=8)
 
     seen = weights.select("node").join(nodes.select("node", "rep.doc_id", "rep.key"), "node")
     t = keyed.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "text")
@@ -392,14 +392,14 @@ def _classes(docs: DataFrame) -> DataFrame:
         """The pairs whose texts are similar."""
         alike = with_both(pairs, nodes, "marks").mapInArrow(_agree, "a binary, b binary")
         verified = with_both(alike, texts, "text").mapInArrow(_verify, "a binary, b binary, similarity double")
-        return store(verified.filter(F.col("similarity") >= SIMILAR).select("a", "b"), "tested", light=True)
+        return store(verified.filter(F.col("similarity") >= SIMILAR).select("a", "b"), "tested", light=8)
 
     def mixed(labels: DataFrame) -> DataFrame:
         """Buckets of three or more whose members have several classes, with the largest."""
         known = buckets.filter("size > 2").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
         per = known.groupBy("bucket", "label", "size").agg(F.count("*").alias("n"))
         main = per.groupBy("bucket", "size").agg(F.max(F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
-        return store(known.join(_each_part(main), ["bucket", "part"]), "mixed", light=True)
+        return store(known.join(_each_part(main), ["bucket", "part"]), "mixed", light=8)
 
     star = linked(buckets.filter("node <> leader").select(*_pair("node", "leader")).distinct())
     labels = components(star)
@@ -413,16 +413,16 @@ def _classes(docs: DataFrame) -> DataFrame:
         left = mixed(labels)
     if left.limit(1).count():
         near = _by_tile(_tiled(left).join(nodes.select("node", "bands", "marks"), "node")).mapInArrow(_survivors, TILED)
-        near = store(near, "near", light=True)
+        near = store(near, "near", light=8)
         whole = near.join(nodes.select("node", "bands", "marks"), "node").join(texts, "node")
         of = [*(c.split()[0] for c in TILED.split(", ")), "bands", "marks", "text"]
         found = _by_tile(whole.select(*of)).mapInArrow(_links, "a binary, b binary")
-        labels = merged(labels, store(found.distinct(), "rest", light=True))
+        labels = merged(labels, store(found.distinct(), "rest", light=8))
         discard(near)
 
     member = nodes.select("node", "rep.doc_id").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "doc_id")
-    least = store(member.groupBy("label").agg(F.min("doc_id").alias("class_id")), "least", light=True)
-    known = store(member.join(least, "label").select("node", "class_id"), "classes", light=True)
+    least = store(member.groupBy("label").agg(F.min("doc_id").alias("class_id")), "least", light=8)
+    known = store(member.join(least, "label").select("node", "class_id"), "classes", light=8)
     for df in (sizes, shared, buckets, texts, nodes, star, left, least, labels):
         discard(df)
     out = sketch.select("doc_id", "node").join(known, "node", "left")

@@ -354,7 +354,7 @@ def pack(spark: SparkSession, docs: DataFrame, path: str | None = None, capacity
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     # a full piece's number is even, a packed sequence's odd: the uid of its first piece
     full = cut.filter(F.col("length") == capacity).select(*columns, (F.col("uid") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    first = store(pack_rests(cut.filter(F.col("length") < capacity), capacity, EPOCHS, 0), "packed", light=True)
+    first = store(pack_rests(cut.filter(F.col("length") < capacity), capacity, EPOCHS, 0), "packed", light=8)
     well = F.col("fill") >= WELL_FILLED * capacity
     rest = first.filter(~well).select(*[c.split()[0] for c in PIECE.split(", ")])
     second = pack_rests(rest, capacity, 1, 1)
