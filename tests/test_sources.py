@@ -86,11 +86,28 @@ def test_streams_equal_batches(spark, tmp_path):
     rows = spark.range(200).select((F.lit("2024-01-01").cast("timestamp") + F.make_interval(secs=F.col("id") * 60)).alias("ts"), F.concat(F.lit("c"), F.col("id") % 3).alias("class"), F.lit("f").alias("feature"), (F.col("id") % 5).cast("string").alias("value"), (F.col("id") % 7).alias("document"), F.concat(F.lit("p"), F.col("id") % 4).alias("phase"))
     rows.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = stages.stage_stream(spark, str(tmp_path / "in"), rows.schema, 1)
-    stages.to_memory(stages.feature_counts(stream), "feature_counts").awaitTermination()
+    stages.to_updates(stages.feature_counts(stream), f"{tmp_path}/counts", f"{tmp_path}/counts-checkpoint").awaitTermination()
     want = rows.groupBy("class", "feature", "value").count()
-    assert sorted(map(tuple, spark.table("feature_counts").collect())) == sorted(map(tuple, want.collect()))
-    stages.to_memory(stages.phase_states(stream, 4), "phase_states", "update").awaitTermination()
-    last = spark.table("phase_states").groupBy("document").agg(F.max("seen").alias("seen"), F.bool_or("complete").alias("complete")).collect()
+    assert sorted(map(tuple, stages.latest(spark.read.parquet(f"{tmp_path}/counts"), "class", "feature", "value").collect())) == sorted(map(tuple, want.collect()))
+    stages.to_updates(stages.phase_states(stream, 4), f"{tmp_path}/phases", f"{tmp_path}/phases-checkpoint").awaitTermination()
+    last = spark.read.parquet(f"{tmp_path}/phases").groupBy("document").agg(F.max("seen").alias("seen"), F.bool_or("complete").alias("complete")).collect()
     assert {(r.document, r.seen, r.complete) for r in last} == {(k, 4, True) for k in range(7)}
     stages.to_folder(stream.select("class", "value"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 200
+
+
+def test_upsert_survives_failures(spark, tmp_path):
+    """A folder left between two renames is put back; an old one left behind goes."""
+    import os
+    import shutil
+
+    folder = f"{tmp_path}/table"
+    rows = lambda *pairs: spark.createDataFrame(list(pairs), "k int, v string")
+    read = lambda: sorted(map(tuple, spark.read.parquet(folder).collect()))
+    writers.upsert(rows((1, "a"), (2, "b")), folder, ["k"])
+    os.rename(folder, f"{folder}.old")  # failed before the new one got its name
+    writers.upsert(rows((2, "c")), folder, ["k"])
+    assert read() == [(1, "a"), (2, "c")] and not os.path.exists(f"{folder}.old")
+    shutil.copytree(folder, f"{folder}.old")  # failed before the old one went
+    writers.upsert(rows((3, "d")), folder, ["k"])
+    assert read() == [(1, "a"), (2, "c"), (3, "d")] and not os.path.exists(f"{folder}.old")

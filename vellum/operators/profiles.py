@@ -65,7 +65,7 @@ def numbers(long: DataFrame) -> DataFrame:
 def errors(pairs: DataFrame, samples: DataFrame) -> DataFrame:
     """Differing (class, feature, expected, observed) counted, as percent of (class, samples)."""
     counts = pairs.filter(F.col("expected") != F.col("observed")).groupBy("class", "feature", "expected", "observed").agg(F.count("*").alias("n"))
-    return counts.join(F.broadcast(samples), "class").withColumn("percent", percent(F.col("n"), F.col("samples")))
+    return counts.join(samples, "class").withColumn("percent", percent(F.col("n"), F.col("samples")))
 
 
 def watchlist(now: DataFrame, before: DataFrame, watch: int = 10, rise: int = 5) -> DataFrame:
@@ -83,10 +83,10 @@ def likelihoods(observed: DataFrame, profile: DataFrame, importance: DataFrame,
     an unseen value, two at least); a feature weighs its importance times the support
     of its mode (0.15 at least). Likelihoods are a softmax at ``temperature``."""
     per = profile.groupBy("class", "feature").agg(F.max("total").alias("total"), F.count("*").alias("size"), (F.max(F.when(F.col("rank") == 1, F.col("percent"))) / 100.0).alias("support"))
-    per = per.join(F.broadcast(importance), "feature", "left").withColumn("weight", _of(WEIGHTS, F.coalesce("importance", F.lit("unknown")), 0.1) * F.greatest(F.lit(0.15), F.col("support")))
+    per = per.join(importance, "feature", "left").withColumn("weight", _of(WEIGHTS, F.coalesce("importance", F.lit("unknown")), 0.1) * F.greatest(F.lit(0.15), F.col("support")))
     # equal observations are scored once: there are as many as distinct pairs
     asked = observed.select("feature", "value").distinct()
-    known = asked.join(F.broadcast(per), "feature").join(profile.select("class", "feature", "value", "n"), ["class", "feature", "value"], "left")
+    known = asked.join(per, "feature").join(profile.select("class", "feature", "value", "n"), ["class", "feature", "value"], "left")
     count = F.coalesce("n", F.lit(0))
     categories = F.greatest(F.lit(2), F.col("size") + F.when(count == 0, 1).otherwise(0))
     p = (count + 0.5) / (F.col("total") + 0.5 * categories)

@@ -85,9 +85,7 @@ def row_projections(t):
 @query("a25_quadrants", f"WITH {_INK}, c AS (SELECT id, (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy FROM g GROUP BY id) SELECT id, count(*) FILTER (x <= cx AND y <= cy) AS top_left, count(*) FILTER (x > cx AND y <= cy) AS top_right, count(*) FILTER (x <= cx AND y > cy) AS bottom_left, count(*) FILTER (x > cx AND y > cy) AS bottom_right FROM g JOIN c USING (id) GROUP BY id")
 def quadrants(t):
     """Ink around the centre of its box, left and top inclusive."""
-    names = ["top_left", "top_right", "bottom_left", "bottom_right"]
-    row = lambda named: tuple(int(named[n]) for n in names)
-    return I.per_mask(glyphs(t), lambda m: [row(I.features(m))], ", ".join(f"{n} bigint" for n in names))
+    return I.per_mask(glyphs(t), lambda m: [tuple(I.quadrants(m).values())], "top_left bigint, top_right bigint, bottom_left bigint, bottom_right bigint")
 
 
 @query("i6_vertical_groups")

@@ -121,7 +121,7 @@ def position_alerts(t):
     """Scores lowered by the largest risk of the predicted class, and an alert from 0.5 on."""
     k = remembered(t).groupBy(F.col("predicted").alias("said")).agg(F.max(M.risk(F.col("weighted"), F.col("share"))).alias("risk"))
     risk = F.coalesce("risk", F.lit(0.0))
-    return predictions(t).join(F.broadcast(k), "said", "left").select("vec_id", "said", F.round(risk, 6).alias("risk"), F.round(0.8 * (1 - 0.5 * risk), 6).alias("adjusted"), (risk >= 0.5).alias("alert"))
+    return predictions(t).join(k, "said", "left").select("vec_id", "said", F.round(risk, 6).alias("risk"), F.round(0.8 * (1 - 0.5 * risk), 6).alias("adjusted"), (risk >= 0.5).alias("alert"))
 
 
 @query("a20_source_coverage", "SELECT o_custkey AS unit, round(avg(l_discount) FILTER (l_quantity > 5), 9) AS confidence, count(*) FILTER (l_returnflag = 'A') AS trace, count(*) FILTER (l_returnflag = 'N') AS glyph, count(*) FILTER (l_returnflag = 'R') AS word, count(*) AS total FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")

@@ -9,11 +9,12 @@ from vellum.operators import metrics, models
 from .registry import query
 
 
-@query("m3_expert_contract", "WITH e AS (SELECT vec_id, i - 1 AS c, embedding[i]::DOUBLE AS s FROM embeddings, unnest(range(1, 11)) t(i)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c) AS rank FROM e) SELECT vec_id AS crop_id, true AS attempted, 'completed' AS status, string_agg('L' || c, ',' ORDER BY rank) AS labels FROM r WHERE rank <= 5 GROUP BY vec_id")
+@query("m3_expert_contract", "WITH e AS (SELECT vec_id, i - 1 AS c, embedding[i]::DOUBLE AS s FROM embeddings, unnest(range(1, len(embedding) + 1)) t(i)), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c) AS rank FROM e) SELECT vec_id AS crop_id, true AS attempted, 'completed' AS status, string_agg('L' || c, ',' ORDER BY rank) AS labels FROM r WHERE rank <= 5 GROUP BY vec_id")
 def expert_contract(t):
-    """An expert whose scores are the first ten components: five candidates a crop."""
-    expert = models.Expert("vectors", lambda crops: crops.withColumn("scores", F.transform(F.slice("embedding", 1, 10), lambda x: x.cast("double"))), enabled=True)
-    out = expert.run(t.embeddings.select(F.col("vec_id").alias("crop_id"), "embedding"), [f"L{k}" for k in range(10)])
+    """An expert whose scores are a vector's components: five candidates a crop."""
+    expert = models.Expert("vectors", lambda crops: crops.withColumn("scores", F.transform("embedding", lambda x: x.cast("double"))), enabled=True)
+    first = t.embeddings.select(F.size("embedding")).first()
+    out = expert.run(t.embeddings.select(F.col("vec_id").alias("crop_id"), "embedding"), [f"L{k}" for k in range(first[0] if first else 1)])
     return out.select("crop_id", "attempted", "status", F.array_join(F.transform("candidates", lambda c: c["label"]), ",").alias("labels"))
 
 

@@ -44,7 +44,7 @@ def layers(t):
 
 
 _GRID = [(p, h, n) for p, h, n in [(0.3, 0.3, 0.5), (0.35, 0.35, 0.5), (0.4, 0.4, 0.5), (0.45, 0.45, 0.5), (0.45, 0.35, 0.5), (0.35, 0.45, 0.5), (0.5, 0.5, 0.5), (0.55, 0.55, 0.5), (0.6, 0.6, 0.5), (0.5, 0.4, 0.6), (0.4, 0.5, 0.6)]]
-_GRID_SQL = ", ".join(f"({p}::DOUBLE, {h}::DOUBLE, {n}::DOUBLE)" for p, h, n in _GRID)
+_GRID_SQL = "(0.3::DOUBLE, 0.3::DOUBLE, 0.5::DOUBLE), (0.35, 0.35, 0.5), (0.4, 0.4, 0.5), (0.45, 0.45, 0.5), (0.45, 0.35, 0.5), (0.35, 0.45, 0.5), (0.5, 0.5, 0.5), (0.55, 0.55, 0.5), (0.6, 0.6, 0.5), (0.5, 0.4, 0.6), (0.4, 0.5, 0.6)"
 
 
 @query("a17_threshold_grid", f"""WITH {_CROPS}, g(p, h, n) AS (VALUES {_GRID_SQL}), r AS (SELECT p, h, n, {_SAFE} AS truth, CASE WHEN noise >= n AND NOT printed >= p AND NOT handwriting >= h THEN 'empty_or_noise' WHEN printed >= p AND handwriting >= h THEN 'mixed' WHEN printed >= p THEN 'printed_only' WHEN handwriting >= h THEN 'handwriting_only' ELSE 'review' END AS said FROM c, g)
@@ -58,7 +58,7 @@ def threshold_grid(t):
     return rows.groupBy("p", "h", "n", F.col("visual").alias("truth"), said.alias("said")).agg(F.sum("k").alias("crops"))
 
 
-@query("p7_skip_reasons", f"WITH {_CROPS} SELECT layer, coalesce(CASE WHEN layer = 'red' THEN '{R.NOT_REQUIRED}' WHEN l_quantity > 45 THEN '{R.REJECTED}' WHEN l_suppkey % 17 = 0 THEN '{R.NO_INPUT}' END, 'processed') AS reason, count(*) AS n FROM c GROUP BY ALL")
+@query("p7_skip_reasons", f"WITH {_CROPS} SELECT layer, coalesce(CASE WHEN layer = 'red' THEN 'minos_not_required_by_n02_policy' WHEN l_quantity > 45 THEN 'rejected_by_refiner' WHEN l_suppkey % 17 = 0 THEN 'no_valid_minos_input_crop' END, 'processed') AS reason, count(*) AS n FROM c GROUP BY ALL")
 def skip_reasons(t):
     rows = R.with_policy(crops(t))
     path = F.when(F.col("l_suppkey") % 17 != 0, F.lit("crop.png"))
@@ -66,7 +66,10 @@ def skip_reasons(t):
     return rows.groupBy("layer", F.coalesce(reason, F.lit("processed")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-_POLICY_SQL = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v).upper() for v in row) + ")" for row in R.POLICIES)
+# the policies once more, in SQL's words
+_POLICY_SQL = """('blue', 'probable_handwriting', 'probable_handwriting', 'N05_handwritten_ocr', true, 'handwriting_audit', true, false), ('green', 'probable_handwriting', 'probable_handwriting', 'N05_handwritten_ocr', true, 'handwriting_audit', true, false),
+('red', 'probable_markup_or_correction', 'correction_markup', 'N06_correction_resolver', false, 'skip_markup_evidence', false, true), ('black', 'dark_ink_unknown_role', 'dark_ink_needs_visual_routing', 'N03_visual_classification_router', true, 'primary_router', true, false),
+('unknown_color', 'ambiguous_colored_ink', 'unknown_colored_ink', 'N03_visual_classification_router', true, 'fallback_router', true, false)"""
 
 
 @query("p10_layer_policies", f"""WITH {_CROPS}, p(layer, hypothesis, role, next_node, required, mode, candidate, evidence) AS (VALUES {_POLICY_SQL})

@@ -56,5 +56,17 @@ def to_folder(rows: DataFrame, folder: str, checkpoint: str, mode: str = "append
     return rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(folder)
 
 
-def to_memory(rows: DataFrame, name: str, mode: str = "complete"):
-    return rows.writeStream.outputMode(mode).trigger(availableNow=True).format("memory").queryName(name).start()
+def to_updates(rows: DataFrame, folder: str, checkpoint: str):
+    """Runs a stream over all that is there now; each batch's changed rows go to a folder
+    of the batch, which a batch that runs again after a failure writes anew."""
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+
+    return rows.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def latest(updates: DataFrame, *keys: str) -> DataFrame:
+    """The last row of each key from the folder of ``to_updates``."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last")).select(*keys, "last.*")
