@@ -184,6 +184,46 @@ def test_capped_grouping():
     assert len(set(layout.grouped(wide))) == 2
 
 
+def belong(a, b, s):
+    """Whether two components belong together, said plainly."""
+    left, right = (a, b) if a[0] <= b[0] else (b, a)
+    heights = [x[3] - x[1] for x in (a, b)]
+    centres = abs((a[1] + a[3]) / 2 - (b[1] + b[3]) / 2)
+    ratio = max(heights) / max(min(heights), 1)
+    if a[4] != b[4]:
+        large = a if b[4] else b
+        apart = [max(0, max(a[k], b[k]) - min(a[k + 2], b[k + 2])) for k in (0, 1)]
+        return not large[5] and apart[0] <= s.satellite_gap[0] and apart[1] <= s.satellite_gap[1] and centres <= s.satellite_center and ratio <= s.satellite_ratio
+    if any((a[4], b[4], a[5], b[5])):
+        return False
+    gap, over = right[0] - left[2], max(0, min(a[3], b[3]) - max(a[1], b[1])) / max(min(heights), 1)
+    size = [max(a[k + 2], b[k + 2]) - min(a[k], b[k]) for k in (0, 1)]
+    return -max(a[2] - a[0], b[2] - b[0]) <= gap <= s.max_gap and centres <= s.y_tolerance and over >= s.min_overlap and ratio <= s.max_height_ratio and size[0] <= s.max_pair[0] and size[1] <= s.max_pair[1]
+
+
+def test_grouping_against_a_plain_loop():
+    import numpy as np
+
+    rng, s = np.random.default_rng(6), layout.Grouping()
+    for _ in range(12):
+        n = 60
+        x, y = rng.integers(0, 500, n), rng.integers(0, 260, n)
+        boxes = [(int(a), int(b), int(a + rng.integers(2, 70)), int(b + rng.integers(2, 50)), bool(rng.random() < 0.25), bool(rng.random() < 0.15)) for a, b in zip(x, y, strict=True)]
+        order = sorted(range(n), key=lambda i: (boxes[i][1], boxes[i][0], i))
+        group, box = list(range(n)), [b[:4] for b in boxes]
+        for k, i in enumerate(order):
+            for j in order[k + 1 :]:
+                if boxes[j][1] - boxes[i][3] > s.y_window:
+                    break
+                p, q = group[i], group[j]
+                if not belong(boxes[i], boxes[j], s) or p == q:
+                    continue
+                one = (min(box[p][0], box[q][0]), min(box[p][1], box[q][1]), max(box[p][2], box[q][2]), max(box[p][3], box[q][3]))
+                if one[2] - one[0] <= s.max_group[0] and one[3] - one[1] <= s.max_group[1]:
+                    box[p], group = one, [p if g == q else g for g in group]
+        assert layout.grouped(np.array(boxes, object)).tolist() == group
+
+
 def test_split_contract(spark):
     rows = [(c, f"{c}{s}", v) for c in range(3) for s in range(10) for v in range(5)]
     out = splits.stratified(spark.createDataFrame(rows, "class int, source string, variant int"))

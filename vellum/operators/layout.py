@@ -14,6 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+#: Components whose partners are looked up together.
+BLOCK = 256
+
+
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
     """Dealt by key to as many partitions as shuffles have: the work on a group is much
     more than its bytes, by which adaptive execution would put groups together."""
@@ -36,24 +40,23 @@ class Grouping:
     satellite_ratio: float = 9.0
 
 
-def connects(a, b, s: Grouping) -> bool:
-    """Whether two components (x1, y1, x2, y2, small, wide) belong together."""
-    if b[0] < a[0]:
-        a, b = b, a
-    ha, hb = a[3] - a[1], b[3] - b[1]
-    apart = abs((a[1] + a[3]) / 2 - (b[1] + b[3]) / 2)
-    ratio = max(ha, hb) / max(min(ha, hb), 1)
-    if a[4] != b[4]:
-        anchor = b if a[4] else a
-        gx, gy = max(0, max(a[0], b[0]) - min(a[2], b[2])), max(0, max(a[1], b[1]) - min(a[3], b[3]))
-        if not anchor[5] and gx <= s.satellite_gap[0] and gy <= s.satellite_gap[1] and apart <= s.satellite_center and ratio <= s.satellite_ratio:
-            return True
-    if a[4] or b[4] or a[5] or b[5]:
-        return False
-    gap = b[0] - a[2]
-    shared = max(0, min(a[3], b[3]) - max(a[1], b[1])) / max(min(ha, hb), 1)
-    size = max(a[2], b[2]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[1], b[1])
-    return -max(a[2] - a[0], b[2] - b[0]) <= gap <= s.max_gap and apart <= s.y_tolerance and shared >= s.min_overlap and ratio <= s.max_height_ratio and size[0] <= s.max_pair[0] and size[1] <= s.max_pair[1]
+def connects(some: np.ndarray, others: np.ndarray, s: Grouping) -> np.ndarray:
+    """(some, others): which components (rows of x1, y1, x2, y2, small, wide) belong together."""
+    ax1, ay1, ax2, ay2, a_small, a_wide = some.T[:, :, None]
+    x1, y1, x2, y2, small, wide = others.T[:, None, :]
+    ha, hb = ay2 - ay1, y2 - y1
+    apart = np.abs((ay1 + ay2) / 2 - (y1 + y2) / 2)
+    ratio = np.maximum(ha, hb) / np.maximum(np.minimum(ha, hb), 1)
+    between = np.maximum(ax1, x1) - np.minimum(ax2, x2), np.maximum(ay1, y1) - np.minimum(ay2, y2)
+    # a small one near one that is neither small nor wide
+    anchor_wide = np.where(small > 0, a_wide, wide)
+    mark = (small != a_small) & (anchor_wide == 0) & (between[0] <= s.satellite_gap[0]) & (between[1] <= s.satellite_gap[1]) & (apart <= s.satellite_center) & (ratio <= s.satellite_ratio)
+    right = x1 >= ax1  # of the other; equal starts count as right
+    gap = np.where(right, x1 - ax2, ax1 - x2)
+    shared = np.maximum(0, -between[1]) / np.maximum(np.minimum(ha, hb), 1)
+    width, height = np.maximum(ax2, x2) - np.minimum(ax1, x1), np.maximum(ay2, y2) - np.minimum(ay1, y1)
+    near = (gap <= s.max_gap) & (gap >= -np.maximum(ax2 - ax1, x2 - x1)) & (apart <= s.y_tolerance) & (shared >= s.min_overlap) & (ratio <= s.max_height_ratio)
+    return mark | (near & (width <= s.max_pair[0]) & (height <= s.max_pair[1]) & (small + wide + a_small + a_wide == 0))
 
 
 def grouped(boxes: np.ndarray, s: Grouping = Grouping()) -> np.ndarray:
@@ -62,8 +65,11 @@ def grouped(boxes: np.ndarray, s: Grouping = Grouping()) -> np.ndarray:
     Edges come in order of (y1, x1) of both ends; a scan ends at the first
     component that starts beyond the window below."""
     n = len(boxes)
-    order = sorted(range(n), key=lambda i: (boxes[i][1], boxes[i][0]))
-    parent, bounds = list(range(n)), [list(b[:4]) for b in boxes]
+    boxes = np.asarray(boxes, float).reshape(n, 6)
+    order = np.lexsort((boxes[:, 0], boxes[:, 1]))
+    ranked = boxes[order]
+    last = np.searchsorted(ranked[:, 1], ranked[:, 3] + s.y_window, "right")
+    parent, bounds = list(range(n)), boxes[:, :4].tolist()
 
     def find(i):
         while parent[i] != i:
@@ -71,12 +77,13 @@ def grouped(boxes: np.ndarray, s: Grouping = Grouping()) -> np.ndarray:
             i = parent[i]
         return i
 
-    for k, i in enumerate(order):
-        for j in order[k + 1 :]:
-            if boxes[j][1] - boxes[i][3] > s.y_window:
-                break
-            if not connects(boxes[i], boxes[j], s):
-                continue
+    for first in range(0, n, BLOCK):
+        end = min(first + BLOCK, n)
+        until = int(last[first:end].max())
+        places = np.arange(first, until)
+        after = (places > np.arange(first, end)[:, None]) & (places < last[first:end, None])
+        for k, m in np.argwhere(connects(ranked[first:end], ranked[first:until], s) & after).tolist():
+            i, j = int(order[first + k]), int(order[first + m])
             a, b = find(i), find(j)
             if a == b:
                 continue
@@ -91,22 +98,41 @@ def component_groups(components: DataFrame, settings: Grouping = Grouping()) ->
     """Groups of (doc, layer, id, x1, y1, x2, y2, ink, small, wide), numbered top to bottom."""
     schema = "doc long, layer string, group_id int, components array<long>, x1 long, y1 long, x2 long, y2 long, ink long, density double, aspect double, satellites int"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        root = grouped(pdf[["x1", "y1", "x2", "y2", "small", "wide"]].to_numpy(object), settings)
-        members: dict[int, list[int]] = {}
-        for k, r in enumerate(root.tolist()):
-            members.setdefault(r, []).append(k)
-        ids, x1s, y1s, x2s, y2s, inks, smalls = (pdf[c].tolist() for c in ("id", "x1", "y1", "x2", "y2", "ink", "small"))
-        doc, layer, rows = pdf.doc.iloc[0], pdf.layer.iloc[0], []
-        for at in members.values():
-            x1, y1, x2, y2 = min(x1s[k] for k in at), min(y1s[k] for k in at), max(x2s[k] for k in at), max(y2s[k] for k in at)
-            w, h, ink = x2 - x1, y2 - y1, sum(inks[k] for k in at)
-            rows.append((doc, layer, 0, [ids[k] for k in at], x1, y1, x2, y2, ink, round(ink / max(w * h, 1), 4), round(w / max(h, 1), 3), sum(map(bool, (smalls[k] for k in at)))))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def of_layer(doc, layer, ids, boxes, ink) -> list[tuple]:
+        root = grouped(boxes, settings)
+        order = np.argsort(root, kind="stable")
+        cuts = np.flatnonzero(np.diff(root[order])) + 1
+        rows = []
+        for at in np.split(order, cuts):
+            own = boxes[at]
+            (x1, y1), (x2, y2), n = own[:, :2].min(axis=0).tolist(), own[:, 2:4].max(axis=0).tolist(), int(ink[at].sum())
+            w, h = x2 - x1, y2 - y1
+            rows.append((doc, layer, 0, ids[at].tolist(), x1, y1, x2, y2, n, round(n / max(w * h, 1), 4), round(w / max(h, 1), 3), int(own[:, 4].sum())))
         rows.sort(key=lambda g: (g[5], g[4], g[3]))
-        return pd.DataFrame([(g[0], g[1], k, *g[3:]) for k, g in enumerate(rows, 1)], columns=[c.split()[0] for c in schema.split(", ")])
-
-    return spread(components, "doc", "layer").groupBy("doc", "layer").applyInPandas(run, schema)
+        return [(doc, layer, k, *g[3:]) for k, g in enumerate(rows, 1)]
+
+    def whole(pdf: pd.DataFrame, starts: list[int]) -> pd.DataFrame:
+        ids, ink = pdf["id"].to_numpy(), pdf["ink"].to_numpy()
+        boxes = pdf[["x1", "y1", "x2", "y2", "small", "wide"]].to_numpy(np.int64)
+        docs, layers = pdf["doc"].tolist(), pdf["layer"].tolist()
+        return pd.DataFrame([row for a, b in zip(starts[:-1], starts[1:], strict=True) for row in of_layer(docs[a], layers[a], ids[a:b], boxes[a:b], ink[a:b])], columns=names)
+
+    def run(batches):
+        held = None  # a layer whose rows may go on in the next batch
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            doc, layer = pdf["doc"].to_numpy(), pdf["layer"].to_numpy()
+            starts = [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (layer[1:] != layer[:-1])) + 1).tolist()]
+            if len(starts) > 1:
+                yield whole(pdf, starts)
+            held = pdf.iloc[starts[-1] :]
+        if held is not None and len(held):
+            yield whole(held, [0, len(held)])
+
+    columns = ["doc", "layer", "id", "x1", "y1", "x2", "y2", "ink", "small", "wide"]
+    return spread(components.select(*columns), "doc", "layer").sortWithinPartitions("doc", "layer", "id").mapInPandas(run, schema)
 
 
 def line_buckets(groups: DataFrame, max_center: float = 18.0, min_overlap: float = 0.45) -> DataFrame:
