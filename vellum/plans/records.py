@@ -30,7 +30,7 @@ def class_labels(t):
     return c.select("event_type", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("bigint").alias("class_id"), F.col("event_type").isin("click", "purchase").cast("int").alias("printed"), F.col("event_type").isin("error", "purchase").cast("int").alias("noise"))
 
 
-@query("f8_greedy_tokens", r"SELECT word, n, CASE WHEN array_to_string(t, '') = word THEN array_to_string(t, ' ') END AS tokens FROM (SELECT word, count(*) AS n, regexp_extract_all(word, 'tion|ing|th|er|on|an|a|d|e|g|h|i|n|o|r|s|t') AS t FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS word FROM documents) GROUP BY word)")
+@query("f8_greedy_tokens", r"SELECT word, n, CASE WHEN array_to_string(t, '') = word THEN array_to_string(t, ' ') END AS tokens FROM (SELECT word, count(*) AS n, regexp_extract_all(word, 'tion|ing|th|er|on|an|a|d|e|g|h|i|n|o|r|s|t') AS t FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}{2,}')) AS word FROM documents) GROUP BY word)")
 def greedy_tokens(t):
     from .language import vocabulary
 
