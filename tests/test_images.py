@@ -2,12 +2,14 @@
 
 import itertools
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 
 from vellum.operators import images as I
 from vellum.operators import routing
+from vellum.plans.images import glyphs
 
 RANDOM = [np.random.default_rng(seed).random((9 + seed % 5, 8 + seed % 7)) < (0.15, 0.3, 0.5, 0.7)[seed % 4] for seed in range(24)]
 
@@ -162,6 +164,42 @@ def test_repairs():
     assert (I.bridged_ends(apart) == apart).all()
 
 
+def test_equal_masks_are_worked_once(spark):
+    shapes = [(14, 14, 30), (14, 14, 1), (7, 28, 5)]  # the last has the bytes of the first
+    square = np.zeros((14, 14), np.uint8)
+    square[3:9, 4:10] = 255
+    data = {0: square.tobytes(), 1: np.roll(square, 2).tobytes(), 2: square.tobytes()}
+    rows = [(100 * k + i, h, w, bytearray(data[k])) for k, (h, w, n) in enumerate(shapes) for i in range(n)]
+    masks = spark.createDataFrame([*rows, (999, 4, 4, bytearray(16))], "id long, height int, width int, data binary").repartition(5)
+    worked = spark.sparkContext.accumulator(0)
+
+    def kernel(m):
+        worked.add(1)
+        return [(k, len(m), int(y.sum())) for k, y in enumerate(m) if y.any()]  # none for the empty one
+
+    schema = "row int, height int, ink int"
+    want = sorted(map(tuple, I.per_mask(masks, kernel, schema).collect()))
+    assert worked.value == len(rows) + 1 and len({r[0] for r in want}) == len(rows)
+    assert sorted(map(tuple, I.per_distinct_mask(masks, kernel, schema).collect())) == want
+    assert worked.value == len(rows) + 1 + 4
+
+
+def test_glyphs_against_a_plain_drawing(spark):
+    t = SimpleNamespace(spark=spark)
+    for s in (1, 2, 6, 9, 13, 14, 50):
+        t.part = spark.range(1, 64).selectExpr("id AS p_partkey", f"{s} AS p_size")
+        found = {r["id"]: bytes(r["data"]) for r in glyphs(t).collect()}
+        for k in range(1, 64):
+            top, left, bottom, right = s % 3 + 1, k % 3 + 1, 12 - k % 2, 12 - s % 2
+
+            def inked(y, x):
+                side = top <= y <= bottom and (y == top or (y == bottom and k % 4 != 1) or x == left or (x == right and k % 3 != 2))
+                return left <= x <= right and (side or (k % 5 == 0 and y == 7 and x != s % 14)) and not (k % 7 == 3 and x == left and y in (6, 7))
+
+            assert found[k] == bytes(255 * inked(y, x) for y in range(14) for x in range(14))
+    assert not glyphs(t).schema["data"].nullable  # else a join draws them in the scan, to test that
+
+
 def ring(side=40, low=12, high=28):
     return mask({(x, y) for x in range(low, high) for y in range(low, high) if not (low + 2 <= x < high - 2 and low + 2 <= y < high - 2)}, side, side)
 

@@ -18,14 +18,27 @@ def glyphs(t) -> DataFrame:
     top, left = s % 3 + 1, k % 3 + 1
     bottom, right = F.lit(SIDE - 2) - k % 2, F.lit(SIDE - 2) - s % 2
 
-    def pixel(i):
-        y, x = F.floor(i / SIDE), i % SIDE
-        frame = ((y == top) | ((y == bottom) & (k % 4 != 1)) | (x == left) | ((x == right) & (k % 3 != 2))) & y.between(top, bottom) & x.between(left, right)
-        bar = (k % 5 == 0) & (y == 7) & x.between(left, right) & (x != s % 14)
-        gap = (k % 7 == 3) & (x == left) & y.between(6, 7)
-        return F.when((frame | bar) & ~gap, "FF").otherwise("00")
-
-    data = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), pixel), ""))
+    whole = (1 << SIDE) - 1
+
+    def bit(x):
+        """The pixel of column x in a row of bits, the first column highest."""
+        return F.call_function("shiftleft", F.lit(1), (SIDE - 1 - x).cast("int")).bitwiseAND(whole)
+
+    across = (bit(left - 1) - 1).bitwiseAND(whole).bitwiseAND(F.bitwise_not(bit(right) - 1))
+    sides = bit(left).bitwiseOR(F.when(k % 3 != 2, bit(right)).otherwise(0)).bitwiseAND(across)
+
+    def row(y):
+        frame = F.when(~F.lit(y).between(top, bottom), 0).when((F.lit(y) == top) | ((F.lit(y) == bottom) & (k % 4 != 1)), across).otherwise(sides)
+        if y == 7:
+            frame = F.when(k % 5 == 0, frame.bitwiseOR(across.bitwiseAND(F.bitwise_not(bit(s % 14))))).otherwise(frame)
+        if y in (6, 7):
+            frame = F.when(k % 7 == 3, frame.bitwiseAND(F.bitwise_not(bit(left)))).otherwise(frame)
+        return F.lpad(F.bin(F.coalesce(frame, F.lit(0))), SIDE, "0")
+
+    # whole rows as bits: a pixel each costs many times as much
+    bits = F.concat(*map(row, range(SIDE)))
+    # never null, as Spark knows: else a join on them draws them in the scan to test that
+    data = F.coalesce(F.unhex(F.replace(F.replace(bits, F.lit("0"), F.lit("00")), F.lit("1"), F.lit("FF"))), F.lit(b""))
     # kernels cost far more than their bytes: as many tasks as a shuffle has
     keys = t.part.select("p_partkey", "p_size").repartition(int(t.spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     return keys.select(k.alias("id"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"), data.alias("data"))
@@ -56,7 +69,7 @@ def parts_and_holes(t):
 
 @query("i12_repair_hypotheses")
 def repair_hypotheses(t):
-    return I.per_mask(glyphs(t), lambda m: [(h["tool"], h["stage"], h["changed"], h["score"], h["accepted"], h["selected"]) for h in I.hypotheses(m)], "tool string, stage int, changed double, score double, accepted boolean, selected boolean")
+    return I.per_distinct_mask(glyphs(t), lambda m: [(h["tool"], h["stage"], h["changed"], h["score"], h["accepted"], h["selected"]) for h in I.hypotheses(m)], "tool string, stage int, changed double, score double, accepted boolean, selected boolean")
 
 
 @query("i7_micro_components", f"""WITH RECURSIVE {_INK}, e AS (SELECT a.id, a.y * 14 + a.x AS a, b.y * 14 + b.x AS b FROM g a JOIN g b ON a.id = b.id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1),
