@@ -12,6 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 #: Components whose partners are looked up together.
@@ -135,30 +136,77 @@ def component_groups(components: DataFrame, settings: Grouping = Grouping()) ->
     return spread(components.select(*columns), "doc", "layer").sortWithinPartitions("doc", "layer", "id").mapInPandas(run, schema)
 
 
-def line_buckets(groups: DataFrame, max_center: float = 18.0, min_overlap: float = 0.45) -> DataFrame:
-    """Each group's row of text: the nearest bucket that fits, whose box then grows."""
-    schema = "doc long, id long, bucket int"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf[["doc", "id", "x1", "y1", "x2", "y2"]].itertuples(index=False), key=lambda g: (g.y1, (g.y1 + g.y2) / 2, g.x1, g.id))
-        buckets, out = [], []
-        for g in rows:
-            best = None
-            for k, b in enumerate(buckets):
-                apart = abs((g.y1 + g.y2) / 2 - (b[1] + b[3]) / 2)
-                shared = max(0, min(g.y2, b[3]) - max(g.y1, b[1])) / max(min(g.y2 - g.y1, b[3] - b[1]), 1)
-                if (apart <= max_center or shared >= min_overlap) and (best is None or apart < best[0]):
-                    best = (apart, k)
-            if best is None:
-                buckets.append([g.x1, g.y1, g.x2, g.y2])
-                out.append((g.doc, g.id, len(buckets)))
+def _fresh(pdf: pd.DataFrame, keys: tuple[str, ...], before: tuple | None) -> np.ndarray:
+    """Which rows have other keys than the row before them; ``before`` has the keys of the row
+    before all. Nulls are one key."""
+    fresh = np.zeros(len(pdf), bool)
+    for k, name in enumerate(keys):
+        own = pdf[name].to_numpy()
+        null = pd.isna(own)
+        fresh[1:] |= (own[1:] != own[:-1]) & ~(null[1:] & null[:-1])
+        fresh[:1] |= before is None or not (own[0] == before[k] or (null[0] and pd.isna(before[k])))
+    return fresh
+
+
+def bucketed(y1: np.ndarray, y2: np.ndarray, starts: np.ndarray, max_center: float = 18.0, min_overlap: float = 0.45) -> np.ndarray:
+    """Bucket of each group, from 1 in each document. Documents are stretches of the rows, in
+    order, that begin at ``starts``; each step works on one group of all documents at once."""
+    sizes = np.diff(np.append(starts, len(y1)))
+    largest = np.argsort(-sizes, kind="stable")
+    first, left = np.asarray(starts)[largest], sizes[largest]
+    out, n = np.zeros(len(y1), np.int64), np.zeros(len(first), np.int64)
+    low, high = np.zeros((2, len(first), 8), np.result_type(y1, y2))
+    for t in range(int(left.max(initial=0))):
+        docs = int(np.searchsorted(-left, -t, "left"))  # that have more than t groups
+        at, have, own = first[:docs] + t, n[:docs], np.arange(docs)
+        top, bottom = y1[at], y2[at]
+        used = max(int(have.max()), 1)
+        lo, hi = low[:docs, :used], high[:docs, :used]
+        apart = np.abs(((top + bottom) / 2)[:, None] - (lo + hi) / 2)
+        shared = np.maximum(0, np.minimum(bottom[:, None], hi) - np.maximum(top[:, None], lo)) / np.maximum(np.minimum((bottom - top)[:, None], hi - lo), 1)
+        fits = ((apart <= max_center) | (shared >= min_overlap)) & (np.arange(used) < have[:, None]) & ~np.isnan(apart)
+        apart = np.where(fits, apart, np.inf)
+        k = apart.argmin(axis=1)
+        new = ~fits[own, k]
+        k = np.where(new, have, k)
+        if used == low.shape[1]:
+            low, high = (np.pad(x, ((0, 0), (0, used))) for x in (low, high))
+        low[own, k] = np.where(new, top, np.minimum(low[own, k], top))
+        high[own, k] = np.where(new, bottom, np.maximum(high[own, k], bottom))
+        n[:docs] += new
+        out[at] = k + 1
+    return out
+
+
+def line_buckets(groups: DataFrame, max_center: float = 18.0, min_overlap: float = 0.45, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each group's row of text: the nearest bucket that fits, whose box then grows; and the
+    columns ``keep``."""
+    schema = ", ".join(["doc long, id long, bucket int", *(f"{k} {groups.schema[k].dataType.simpleString()}" for k in keep)])
+
+    def whole(frames: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(frames, ignore_index=True)
+        starts = np.flatnonzero(_fresh(pdf, ("doc",), None))
+        return pdf.assign(bucket=bucketed(pdf["y1"].to_numpy(), pdf["y2"].to_numpy(), starts, max_center, min_overlap))[["doc", "id", "bucket", *keep]]
+
+    def run(batches):
+        held: list[pd.DataFrame] = []  # a document whose rows may go on in the next batch
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            starts = np.flatnonzero(_fresh(pdf, ("doc",), (held[-1]["doc"].iloc[-1],) if held else None))
+            if held and len(starts):
+                yield whole([*held, pdf.iloc[: starts[-1]]])
+                held = [pdf.iloc[starts[-1] :]]
+            elif len(starts) > 1:
+                yield whole([pdf.iloc[: starts[-1]]])
+                held = [pdf.iloc[starts[-1] :]]
             else:
-                b = buckets[best[1]]
-                buckets[best[1]] = [min(b[0], g.x1), min(b[1], g.y1), max(b[2], g.x2), max(b[3], g.y2)]
-                out.append((g.doc, g.id, best[1] + 1))
-        return pd.DataFrame(out, columns=["doc", "id", "bucket"])
+                held.append(pdf)
+        if held:
+            yield whole(held)
 
-    return spread(groups, "doc").groupBy("doc").applyInPandas(run, schema)
+    rows = spread(groups.select(*dict.fromkeys(["doc", "id", "x1", "y1", "y2", *keep])), "doc")
+    return rows.sortWithinPartitions("doc", "y1", F.col("y1") + F.col("y2"), "x1", "id").mapInPandas(run, schema)
 
 
 def text_units(rows: DataFrame, max_gap: int = 60, max_width: int = 420) -> DataFrame:
@@ -167,18 +215,28 @@ def text_units(rows: DataFrame, max_gap: int = 60, max_width: int = 420) -> Data
     Input (doc, bucket, id, x1, x2); output unit number and why it began."""
     schema = "doc long, bucket int, id long, unit int, reason string"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, unit, left, right = [], 0, None, None
-        for g in sorted(pdf[["doc", "bucket", "id", "x1", "x2"]].itertuples(index=False), key=lambda g: (g.x1, g.x2, g.id)):
-            reason = "first_in_line" if right is None else "gap_too_wide" if g.x1 - right > max_gap else "unit_too_wide" if max(right, g.x2) - left > max_width else None
-            if reason:
-                unit, left, right = unit + 1, g.x1, g.x2
-            else:
-                right = max(right, g.x2)
-            out.append((g.doc, g.bucket, g.id, unit, reason or "merged"))
-        return pd.DataFrame(out, columns=["doc", "bucket", "id", "unit", "reason"])
-
-    return spread(rows, "doc", "bucket").groupBy("doc", "bucket").applyInPandas(run, schema)
+    def run(batches):
+        before, unit, left, right = None, 0, None, None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            units, reasons = [], []
+            for fresh, x1, x2 in zip(_fresh(pdf, ("doc", "bucket"), before).tolist(), pdf["x1"].tolist(), pdf["x2"].tolist(), strict=True):
+                if fresh:
+                    unit, reason = 0, "first_in_line"
+                else:
+                    reason = "gap_too_wide" if x1 - right > max_gap else "unit_too_wide" if max(right, x2) - left > max_width else None
+                if reason:
+                    unit, left, right = unit + 1, x1, x2
+                else:
+                    right = max(right, x2)
+                units.append(unit)
+                reasons.append(reason or "merged")
+            before = pdf["doc"].iloc[-1], pdf["bucket"].iloc[-1]
+            yield pdf[["doc", "bucket", "id"]].assign(unit=units, reason=reasons)
+
+    lines = spread(rows.select("doc", "bucket", "id", "x1", "x2"), "doc", "bucket")
+    return lines.sortWithinPartitions("doc", "bucket", "x1", "x2", "id").mapInPandas(run, schema)
 
 
 def greedy_matches(pairs: DataFrame, keys: list[str], tolerance: int) -> DataFrame:

@@ -112,8 +112,7 @@ def line_buckets(t):
 
 @query("r22_text_units")
 def text_units(t):
-    c = components(t)
-    return layout.text_units(layout.line_buckets(c).join(c.select("doc", "id", "x1", "x2"), ["doc", "id"]))
+    return layout.text_units(layout.line_buckets(components(t), keep=("x1", "x2")))
 
 
 @query("j13_greedy_bin_matches")
