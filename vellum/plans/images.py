@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators import augmentation
 from vellum.operators import images as I
 
 from .registry import query
@@ -115,20 +116,24 @@ SQL_DAMAGES = ("cut_line", "blur", "black_noise", "erosion", "stamp")
 def damaged_samples(t, recipes=I.DAMAGES):
     """Every glyph under every kind of damage, epochs and variants: identity and pixels changed."""
 
-    def run(pdf_batches):
+    epochs, variant, pixels = (0, 1), 0, 1 << 19
+
+    def run(batches):
         import numpy as np
         import pandas as pd
 
-        for pdf in pdf_batches:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                mask = np.frombuffer(r.data, np.uint8).reshape(r.height, r.width) > 0
-                sample, seed = I.seed_of(str(r.id), r.recipe, int(r.epoch), int(r.variant))
-                rows.append((r.id, r.recipe, r.epoch, r.variant, sample, int((I.damaged(mask, r.recipe, seed) ^ mask).sum())))
-            yield pd.DataFrame(rows, columns=["id", "recipe", "epoch", "variant", "sample", "changed"])
-
-    plan = glyphs(t).withColumn("recipe", F.explode(F.array(*map(F.lit, recipes)))).withColumn("epoch", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("variant", F.lit(0))
-    return plan.mapInPandas(run, "id long, recipe string, epoch int, variant int, sample string, changed int")
+        for pdf in batches:
+            for (h, w), alike in pdf.groupby(["height", "width"], sort=False):
+                step = max(1, pixels // max(1, int(h) * int(w)) // len(epochs))
+                for part in (alike.iloc[k : k + step] for k in range(0, len(alike), step)):
+                    once = np.frombuffer(b"".join(part["data"]), np.uint8).reshape(len(part), h, w) > 0
+                    masks, ids, epoch = np.concatenate([once] * len(epochs)), part["id"].tolist() * len(epochs), np.repeat(epochs, len(part))
+                    for recipe in recipes:
+                        samples, seeds = zip(*(I.seed_of(str(i), recipe, e, variant) for i, e in zip(ids, epoch.tolist(), strict=True)), strict=True)
+                        changed = (augmentation.damaged_all(masks, recipe, seeds) ^ masks).sum(axis=(1, 2))
+                        yield pd.DataFrame({"id": ids, "recipe": recipe, "epoch": epoch, "variant": variant, "sample": samples, "changed": changed})
+
+    return glyphs(t).mapInPandas(run, "id long, recipe string, epoch int, variant int, sample string, changed int")
 
 
 @query("f18_sample_identities", "SELECT p_partkey AS id, r AS recipe, e AS epoch, sha256(p_partkey || '|' || r || '|' || e || '|0') AS sample FROM part, unnest(['cut_line', 'blur', 'black_noise', 'erosion', 'stamp']) u(r), unnest([0, 1]) v(e)")
