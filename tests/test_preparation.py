@@ -192,3 +192,21 @@ def test_conditions_in_order():
     assert seen(specks)[1:3] == (False, "scanner_noise") and "fragmented_components" in seen(specks)[5]
     dark = P.condition(np.where(m, 240, 0).astype(np.uint8))
     assert dark[2] == "clean"
+
+
+def test_equal_pages_are_prepared_once(spark):
+    """Pages took tens of milliseconds for each row, though glyphs repeat."""
+    from types import SimpleNamespace
+
+    from vellum.plans import images, preparation
+
+    t = SimpleNamespace(spark=spark, part=spark.range(1, 5).selectExpr("explode(array(id, id + 420)) AS p_partkey", "cast(id AS int) AS p_size"))
+    drawn = {r["id"]: np.frombuffer(r["data"], np.uint8).reshape(14, 14) for r in images.glyphs(t).collect()}
+    want = set()
+    for k, m in drawn.items():
+        page, angle, box = P.prepared(np.where(m > 0, 30, 220).astype(np.uint8), 180, strength=5, block=9, below=10, padding=2)
+        want.add((k, angle, *box, int((page == 0).sum())))
+    pages = preparation.prepared_pages(t)
+    assert {tuple(r) for r in pages.collect()} == want and len(want) == 8
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("MapInPandas") :]

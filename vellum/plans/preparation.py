@@ -27,7 +27,7 @@ def prepared_pages(t):
         page, angle, box = P.prepared(np.where(m, 30, 220).astype(np.uint8), 180, strength=5, block=9, below=10, padding=2)
         return [(angle, *box, int((page == 0).sum()))]
 
-    return I.per_mask(glyphs(t), kernel, "angle double, x1 int, y1 int, x2 int, y2 int, ink int")
+    return I.per_distinct_mask(glyphs(t), kernel, "angle double, x1 int, y1 int, x2 int, y2 int, ink int")
 
 
 @query("i5_printed_masks", f"""WITH {_INK}, n AS (SELECT *, x - row_number() OVER (PARTITION BY id, y ORDER BY x) AS run FROM g), r AS (SELECT id, y, x FROM (SELECT *, count(*) OVER (PARTITION BY id, y, run) AS long FROM n) WHERE long < 8),
